@@ -83,7 +83,7 @@ def overlap_left(spark, d):
     return overlap.overlap_left(f, fx.regions(spark, d)).select("qid", "chrom", "qstart", "qend", F.col("start").alias("istart"), F.col("end").alias("iend"))
 
 
-@query(f"SELECT q.qid, count(f.chrom) AS n, CAST(coalesce(sum(least(f.iend, q.qend) - greatest(f.istart, q.qstart)), 0) AS bigint) AS bases FROM regions q LEFT JOIN features f ON {_OVER} GROUP BY q.qid")
+@query(f"SELECT q.qid, count(f.chrom) AS n, CAST(coalesce(sum(CASE WHEN f.chrom IS NOT NULL THEN least(f.iend, q.qend) - greatest(f.istart, q.qstart) END), 0) AS bigint) AS bases FROM regions q LEFT JOIN features f ON {_OVER} GROUP BY q.qid")
 def coverage(spark, d):
     f = _f(spark, d).withColumnsRenamed({"istart": "start", "iend": "end"})
     return overlap.coverage(f, fx.regions(spark, d))
