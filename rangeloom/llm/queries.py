@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, sharding, simhash, toxicity
+from . import bpe, chat, exact_dedup, media, mixing, secrets, sharding, simhash, token_store, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,14 +37,67 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents")).withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.materialise(_table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(_table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{said}'), (-1L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.format_conversations(rows.unionByName(own)).drop("rewrites")
+
+
+OP9_SQL = r"""
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS bigint) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(10 + length(role) + length(text) + length(regexp_replace(role || text, '[^<\[\]]', '', 'g'))) AS bigint) AS formatted_chars
+FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+GROUP BY conv_id
+"""
+
+OP8_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS row_no, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS bigint) AS size FROM documents),
+by_source AS (SELECT source, CAST(sum(size) AS bigint) AS source_size FROM docs GROUP BY source),
+weighted AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, 3.0::double * source_size AS cap FROM by_source),
+levels AS (SELECT *, (sum(source_size) OVER ()::double - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS unit FROM weighted
+           WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (SELECT *, coalesce(least(cap, weight * (SELECT arg_min(unit, cap / weight) FROM levels WHERE cap > unit * weight)), cap) AS target,
+                   least(greatest((SELECT sum(source_size) FROM by_source) // 524288, 16), 4096)::bigint AS block FROM levels),
+slots_of AS (SELECT *, CAST(ceil(source_size / block) AS bigint) AS blocks, CASE WHEN source_size > 0 THEN target * CAST(ceil(source_size / block) AS bigint) / source_size ELSE 0.0::double END AS slots FROM targets),
+shares AS (SELECT *, sum(slots) OVER (ORDER BY sid) AS upto, sum(slots) OVER () AS total FROM slots_of),
+cut AS (SELECT *, CASE WHEN total > 0 THEN CASE WHEN upto >= total * (1 - 1e-12) THEN 1.0 ELSE upto / total END ELSE 0.0 END AS hi FROM shares),
+cuts AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY sid), 0.0) AS lo FROM cut),
+slot AS (SELECT i AS slot, (i % 2147483648 * 1327217885) % 2147483648 / 2147483648.0::double AS point FROM generate_series(0, (SELECT CAST(round(max(total)) AS bigint) FROM cuts) - 1) t(i)),
+ranked AS (SELECT sid, blocks, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank FROM slot JOIN cuts ON point >= lo AND point < hi),
+takes AS (SELECT sid, rank % blocks AS block_no, count(*) AS takes FROM ranked WHERE rank < 3 * blocks GROUP BY 1, 2),
+laid AS (SELECT row_no, sid, size, block, sum(size) OVER (PARTITION BY sid ORDER BY md5('mix:' || doc_id), doc_id, size, row_no ROWS UNBOUNDED PRECEDING) - size AS start FROM docs JOIN cuts ON docs.source IS NOT DISTINCT FROM cuts.source WHERE size > 0),
+pieces AS (SELECT row_no, sid, size, block, start, unnest(generate_series(CAST(start // block AS bigint), CAST((start + size - 1) // block AS bigint))) AS block_no FROM laid),
+got AS (SELECT row_no, sum(takes * (least(start + size, (block_no + 1) * block) - greatest(start, block_no * block))) AS taken FROM pieces JOIN takes USING (sid, block_no) GROUP BY row_no)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS bigint) AS taken
+FROM docs JOIN cuts ON docs.source IS NOT DISTINCT FROM cuts.source LEFT JOIN got USING (row_no)
+"""
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(_table(spark, sf_dir, "documents"))
 
@@ -59,9 +112,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_sharding": op3_sharding,
+    "op4_secrets": op4_secrets,
+    "op5_token_store": op5_token_store,
     "op6_toxicity": op6_toxicity,
+    "op7_media": op7_media,
     "op8_mixing": op8_mixing,
+    "op9_chat": op9_chat,
     "op10_simhash": op10_simhash,
     "pipeline": pipeline,
 }
-SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
+SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op8_mixing": OP8_SQL, "op9_chat": OP9_SQL}
