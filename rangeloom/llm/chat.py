@@ -115,6 +115,7 @@ def render_block(render: Callable[[list[Message]], str], context: list[Message],
 
 
 def _rewritten(render: Callable[[list[Message]], str], context: list[Message], messages: list[Message]) -> Rendered:
+    """One output of all messages; a text's span is of what the template has kept of it."""
     every = [*context, *messages]
     whole = render(every)
     loss = []
@@ -123,7 +124,7 @@ def _rewritten(render: Callable[[list[Message]], str], context: list[Message], m
             try:
                 loss.append(_within(render, every, i, whole))
             except ValueError:
-                continue  # the template has dropped or changed this text: nothing of it is trained on
+                continue  # the template has dropped this text: nothing of it is trained on
     return Rendered(whole, loss, [], True)
 
 

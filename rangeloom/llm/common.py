@@ -47,3 +47,14 @@ def utf8(col: str = "text") -> Column:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until the table has none like them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out

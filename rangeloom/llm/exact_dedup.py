@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import free_names, text_or_empty, written
 
 SCHEMA = "digest string, keep_id long, keep_chars long, keep_row long, group_size long"
 BUCKETS = 64
@@ -99,10 +99,11 @@ def apply(docs: DataFrame) -> DataFrame:
     index = DigestIndex.fresh(docs.sparkSession)
     index.append_new(rows)
     # one key per digest and document, so that a hot digest's copies are dealt out by their doc_id
+    k, n = free_names(docs, "__key", "__n")
     key = lambda digest: F.concat_ws(":", digest, "doc_id")
-    stays = written(decide(rows, index).where("kept").select(key("text_sha256").alias("__key")), "stays")
-    keyed = docs.withColumn("__key", key(F.sha2(normalised().cast("binary"), 256)))
-    kept = keyed.join(stays, "__key", "left_semi")
+    stays = written(decide(rows, index).where("kept").select(key("text_sha256").alias(k)), "stays")
+    keyed = docs.withColumn(k, key(F.sha2(normalised().cast("binary"), 256)))
+    kept = keyed.join(stays, k, "left_semi")
     # a doc_id that comes more than once with the same text: the longest of its rows
-    order = Window.partitionBy("__key").orderBy(F.char_length(text_or_empty()).desc(), text_or_empty())
-    return kept.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "__key")
+    order = Window.partitionBy(k).orderBy(F.char_length(text_or_empty()).desc(), text_or_empty())
+    return kept.withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).select(*docs.columns)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parallelism, text_or_empty, written
+from .common import free_names, parallelism, text_or_empty, written
 
 #: No document is taken more often than this.
 MOST = 3
@@ -146,8 +146,9 @@ def blocks_of(r: DataFrame, s: DataFrame) -> DataFrame:
 
 def apply(docs: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as it is taken (to the nearest whole), with all their columns."""
-    sized = written(docs.withColumns({"__row": F.monotonically_increasing_id(), "__size": words()}), "mix-docs")
-    rows = sized.select(F.col("__row").alias("row_no"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("__size").alias("size"))
-    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    taken = _mix(rows).where("taken > 0").select(F.col("row_no").alias("__row"), times.alias("__times")).where("__times > 0")
-    return sized.join(taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    row, size, times, copy = free_names(docs, "__row", "__size", "__times", "__copy")
+    sized = written(docs.withColumns({row: F.monotonically_increasing_id(), size: words()}), "mix-docs")
+    rows = sized.select(F.col(row).alias("row_no"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col(size).alias("size"))
+    n = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    taken = _mix(rows).where("taken > 0").select(F.col("row_no").alias(row), n.alias(times)).where(F.col(times) > 0)
+    return sized.join(taken, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parallelism, shared_dir, text_or_empty, utf8, written
+from .common import free_names, parallelism, scratch, text_or_empty, utf8, written
 
 #: Bytes that a document takes besides its text.
 OVERHEAD = 16
@@ -57,14 +57,13 @@ def assign(docs: DataFrame, shards: int = 40, overhead: int = OVERHEAD) -> DataF
 def apply(docs: DataFrame, shards: int = 40, path: str | None = None) -> DataFrame:
     """Write the documents as one folder per shard, in slot order within a file, and read them again with shard and slot."""
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/shards"
+    path = path or scratch(spark, "shards")
     # equal rows are interchangeable: they are numbered alike on both sides
-    crc = F.crc32(utf8())
-    key = ["__id", "__crc", "__size"]
-    number = F.row_number().over(Window.partitionBy(*key).orderBy("__tie"))
-    left = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__crc": crc, "__size": (F.octet_length(text_or_empty()) + OVERHEAD).cast("long"), "__tie": F.monotonically_increasing_id()}).withColumn("__no", number)
-    right = assign(docs, shards).select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), F.col("size").alias("__size"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"), F.col("slot").alias("__tie")).withColumn("__no", number).drop("__tie")
-    on = [left["__id"].eqNullSafe(right["__id"])] + [left[c] == right[c] for c in ("__crc", "__size", "__no")]
-    joined = left.join(right, on).select(*(left[c] for c in docs.columns), "__shard", "__slot")
-    joined.repartition(shards, "__shard").sortWithinPartitions("__shard", "__slot").write.mode("errorifexists").partitionBy("__shard").parquet(path)
+    i, crc, size, tie, no, shard, slot = free_names(docs, "__id", "__crc", "__size", "__tie", "__no", "__shard", "__slot")
+    number = F.row_number().over(Window.partitionBy(i, crc, size).orderBy(tie))
+    left = docs.withColumns({i: F.col("doc_id").cast("long"), crc: F.crc32(utf8()), size: (F.octet_length(text_or_empty()) + OVERHEAD).cast("long"), tie: F.monotonically_increasing_id()}).withColumn(no, number)
+    right = assign(docs, shards).select(F.col("doc_id").alias(i), F.col("text_crc32").alias(crc), F.col("size").alias(size), F.col("shard").alias(shard), F.col("slot").alias(slot), F.col("slot").alias(tie)).withColumn(no, number).drop(tie)
+    on = [left[i].eqNullSafe(right[i])] + [left[c] == right[c] for c in (crc, size, no)]
+    joined = left.join(right, on).select(*(left[c] for c in docs.columns), right[shard], right[slot])
+    joined.repartition(shards, shard).sortWithinPartitions(shard, slot).write.mode("errorifexists").partitionBy(shard).parquet(path)
     return spark.read.parquet(path)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import free_names, text_or_empty, written
 from .components import connected_components
 
 SHINGLE, DISTANCE = 4, 4
@@ -201,7 +201,8 @@ def query(docs: DataFrame) -> DataFrame:
 def apply(docs: DataFrame) -> DataFrame:
     """One document of each component: the one with the smallest doc_id."""
     got = near_duplicates(docs)
-    stays = got.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(stays, docs["doc_id"].cast("long").eqNullSafe(stays["__id"]), "left_semi")
+    i, n = free_names(docs, "__id", "__n")
+    stays = got.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(i)).distinct()
+    kept = docs.join(stays, docs["doc_id"].cast("long").eqNullSafe(stays[i]), "left_semi")
     order = Window.partitionBy("doc_id").orderBy(F.crc32(text_or_empty().cast("binary")))
-    return kept.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    return kept.withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).select(*docs.columns)
