@@ -28,9 +28,9 @@ def write_tsv(rows: DataFrame, path: str, mode: str = "errorifexists", ordered:
     (writer.option("compression", "gzip") if path.endswith(".gz") else writer).text(path)
 
 
-def print_tsv(rows: DataFrame, to: TextIO = sys.stdout) -> int:
-    """Lines to a stream, a partition at a time; returns how many."""
-    n = 0
+def print_tsv(rows: DataFrame, to: TextIO | None = None) -> int:
+    """Lines to a stream (standard output if none is given), a partition at a time; returns how many."""
+    n, to = 0, to or sys.stdout
     for r in rows.select(line().alias("value")).toLocalIterator():
         to.write(r.value + "\n")
         n += 1
