@@ -8,7 +8,8 @@ BPE decides a merge by neighbouring symbols only and the split pattern goes on f
 beyond such a run both encodings go on alike. A window that would cover both parts is the encoding of the whole.
 
 Within a leaf, a cut at ASCII white space is always safe (white space is never part of a token and never combines),
-so units between such cuts are encoded once and remembered, up to a bound.
+so units between such cuts are encoded once and remembered, up to a bound. Lower-casing and setting a mark apart before
+that holds for vocabularies of this kind only: lower case, letters, digits and other signs split from each other.
 
 Defined results: a null text is an empty one; empty text has no tokens and decodes to "". Special tokens' strings in
 a text are special tokens, as the library has it. Repeated rows give repeated results; an empty table gives none.
@@ -18,6 +19,7 @@ Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ LEAF_CHARS = 32_768
 #: Tokens that a window and a part must agree on, on either side.
 RUN = 8
 #: Units remembered by a worker, and the longest of them.
-MEMO, MEMO_CHARS = 300_000, 64
+MEMO, MEMO_CHARS = 400_000, 64
 
 _encoders: dict[str, Encoder] = {}
 
@@ -57,6 +59,7 @@ class Encoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.memo: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = {"": b""}
         n = max(self.tok.get_vocab(with_added_tokens=True).values()) + 1
         self.pieces = [self.tok.id_to_token(i) or "" for i in range(n)]
         self.joined = self.tok.decoder is None  # then decoding joins the tokens by spaces
@@ -70,15 +73,22 @@ class Encoder:
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit integers."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split).difference(self.memo))
-        got = self.tok.encode_batch_fast(new, add_special_tokens=False)
-        self.memo.update((u, np.asarray(e.ids, "<u4").tobytes()) for u, e in zip(new, got, strict=True))
+        new = set().union(*split).difference(self.memo)
+        if new:
+            parts = {u: plain_parts(u) for u in new}
+            cores = list({c for pair in parts.values() for c in pair}.difference(self.cores))
+            got = self.tok.encode_batch_fast(cores, add_special_tokens=False)
+            self.cores.update((c, array("I", e.ids).tobytes()) for c, e in zip(cores, got, strict=True))
+            self.memo.update((u, self.cores[c] + self.cores[mark]) for u, (c, mark) in parts.items())
         out = [b"".join(map(self.memo.__getitem__, s)) for s in split]
-        if len(self.memo) > MEMO:
-            self.memo = {"": b""}
-        for u in new:
-            if len(u) > MEMO_CHARS:
-                self.memo.pop(u, None)
+        for known, fresh in ((self.memo, new), (self.cores, cores if new else ())):
+            if len(known) > MEMO:
+                known.clear()
+                known[""] = b""
+            else:
+                for u in fresh:
+                    if len(u) > MEMO_CHARS:
+                        del known[u]
         return out
 
     def encode_placed(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -92,6 +102,15 @@ class Encoder:
         return self.tok.decode(ids.tolist(), skip_special_tokens=False)
 
 
+def plain_parts(unit: str) -> tuple[str, str]:
+    """A unit as it is encoded: ASCII in lower case, as the vocabulary has it, and without one mark after a letter or digit,
+    which the split pattern always sets apart. Units with a beginning of a special token stay as they are."""
+    if not unit.isascii() or "<|" in unit:
+        return unit, ""
+    low = unit.lower()
+    return (low[:-1], low[-1]) if len(low) > 1 and low[-1] in ".,!?;:" and low[-2].isalnum() else (low, "")
+
+
 Part = tuple[str, np.ndarray, np.ndarray]  # text, ids, starts
 
 
