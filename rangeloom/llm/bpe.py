@@ -7,9 +7,9 @@ the cut is encoded anew and grown until its tokens agree with the left part's an
 BPE decides a merge by neighbouring symbols only and the split pattern goes on from the end of its last match, so
 beyond such a run both encodings go on alike. A window that would cover both parts is the encoding of the whole.
 
-Within a leaf, a cut at ASCII white space is always safe (white space is never part of a token and never combines),
-so units between such cuts are encoded once and remembered, up to a bound. Lower-casing and setting a mark apart before
-that holds for vocabularies of this kind only: lower case, letters, digits and other signs split from each other.
+Within a leaf, a cut at ASCII white space is safe (white space is never part of a token and never combines),
+so units between such cuts are encoded once and remembered, up to a bound. This and lower-casing hold for vocabularies
+that drop white space and case and split letters, digits and other signs; with others a leaf is encoded as it is.
 
 Defined results: a null text is an empty one; empty text has no tokens and decodes to "". Special tokens' strings in
 a text are special tokens, as the library has it. Repeated rows give repeated results; an empty table gives none.
@@ -63,6 +63,9 @@ class Encoder:
         n = max(self.tok.get_vocab(with_added_tokens=True).values()) + 1
         self.pieces = [self.tok.id_to_token(i) or "" for i in range(n)]
         self.joined = self.tok.decoder is None  # then decoding joins the tokens by spaces
+        ids = lambda t: self.tok.encode(t, add_special_tokens=False).ids
+        # whether white space is dropped, case doesn't count and marks are set apart: else texts are encoded whole
+        self.by_units = all(ids(t) == [i for u in parts for i in ids(u)] for t, parts in (("Ab c", ["ab", "c"]), (" THE\n\tend. ", ["the", "end", "."]), ("x9, Yes!", ["x9", ",", "yes", "!"]), ("it's;", ["it's", ";"])))
 
     @classmethod
     def get(cls, path: str) -> Encoder:
@@ -72,6 +75,8 @@ class Encoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit integers."""
+        if not self.by_units:
+            return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         split = [t.replace("\n", " ").split(" ") for t in texts]
         new = set().union(*split).difference(self.memo)
         if new:

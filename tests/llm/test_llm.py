@@ -99,6 +99,15 @@ def test_bpe_decode(spark, awkward, tokenizer):
     assert all(hashlib.sha256(r.decoded.encode()).hexdigest() == r.decoded_sha256 for r in got) and len(got) == len(AWKWARD)
 
 
+def test_bpe_other_vocabulary(spark, awkward):
+    path = bpe.vocabulary_path("byte_bpe_50k.json")
+    enc = bpe.Encoder.get(path)
+    assert not enc.by_units and bpe.Encoder.get(bpe.vocabulary_path()).by_units
+    want = sorted((str(i), enc.tok.encode(t or "", add_special_tokens=False).ids) for i, t in AWKWARD)
+    got = bpe.encode_decode(awkward, path, with_ids=True).collect()
+    assert sorted((str(r.doc_id), np.frombuffer(r.ids, "<u4").tolist()) for r in got) == want
+
+
 def test_bpe_empty(empty):
     assert bpe.encode_decode(empty).count() == 0
 
