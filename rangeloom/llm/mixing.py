@@ -30,8 +30,8 @@ MOST = 3
 GOLDEN, MODULUS = 1_327_217_885, 1 << 31
 #: About as many slots at most while blocks are this short; beyond that, longer blocks up to BLOCK_MOST.
 SLOTS, BLOCK_LEAST, BLOCK_MOST = 1 << 19, 16, 4096
-#: Rows of a chunk, about.
-CHUNK = 1 << 15
+#: Slots of a chunk, and documents of one, about.
+CHUNK, DOC_CHUNK = 1 << 15, 1 << 12
 
 
 def words(col: str = "text"):
@@ -126,7 +126,7 @@ def stream(rows: DataFrame, s: DataFrame) -> DataFrame:
     r = rows.where("size > 0").join(number, _same("source", "__s")).withColumn("h", order)
     # chunks of a source: by the hash's first 32 bits, as many as its rows ask for
     first = F.conv(F.substring("h", 1, 8), 16, 10).cast("long")
-    r = r.withColumn("chunk", F.floor(first * (F.floor(F.col("n") / CHUNK) + 1) / F.lit(4294967296.0)))
+    r = r.withColumn("chunk", F.floor(first * (F.floor(F.col("n") / DOC_CHUNK) + 1) / F.lit(4294967296.0)))
     counts = r.groupBy("sid", "chunk").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("sid", "chunk", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("first"))
