@@ -201,8 +201,9 @@ def query(docs: DataFrame) -> DataFrame:
 def apply(docs: DataFrame) -> DataFrame:
     """One document of each component: the one with the smallest doc_id."""
     got = near_duplicates(docs)
-    i, n = free_names(docs, "__id", "__n")
-    stays = got.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(i)).distinct()
-    kept = docs.join(stays, docs["doc_id"].cast("long").eqNullSafe(stays[i]), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.crc32(text_or_empty().cast("binary")))
+    k, n = free_names(docs, "__key", "__n")
+    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("none"))  # one key for join and window: one shuffle
+    stays = got.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias(k)).distinct()
+    kept = docs.withColumn(k, key).join(stays, k, "left_semi")
+    order = Window.partitionBy(k).orderBy(F.crc32(text_or_empty().cast("binary")))
     return kept.withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).select(*docs.columns)
