@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from .common import free_names, text_or_empty, written
 
 SCHEMA = "digest string, keep_id long, keep_chars long, keep_row long, group_size long"
-BUCKETS = 64
+#: Least buckets of an index, and about how many digests each is to hold.
+BUCKETS, PER_BUCKET = 64, 1 << 20
 
 
 def normalised(col: str = "text"):
@@ -56,8 +57,9 @@ class DigestIndex:
             spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS{place}")
 
     @classmethod
-    def fresh(cls, spark: SparkSession, buckets: int = BUCKETS) -> DigestIndex:
-        return cls(spark, f"digest_index_{uuid.uuid4().hex}", None, buckets)
+    def for_rows(cls, rows: DataFrame) -> DigestIndex:
+        """A fresh one with buckets for so many rows."""
+        return cls(rows.sparkSession, f"digest_index_{uuid.uuid4().hex}", None, max(BUCKETS, rows.count() // PER_BUCKET))
 
     def _write(self, rows: DataFrame) -> None:
         # dealt as the buckets are: one file per bucket and append
@@ -88,7 +90,7 @@ def decide(rows: DataFrame, index: DigestIndex) -> DataFrame:
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = written(digests(docs), "digests")
-    index = DigestIndex.fresh(docs.sparkSession)
+    index = DigestIndex.for_rows(rows)
     index.append_new(rows)
     return decide(rows, index).drop("row_no")
 
@@ -96,7 +98,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def apply(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
     rows = written(digests(docs), "digests")
-    index = DigestIndex.fresh(docs.sparkSession)
+    index = DigestIndex.for_rows(rows)
     index.append_new(rows)
     # one key per digest and document, so that a hot digest's copies are dealt out by their doc_id
     k, n = free_names(docs, "__key", "__n")
