@@ -86,6 +86,14 @@ def test_bpe_tree_equals_the_whole(parts, leaf, window):
     assert np.frombuffer(enc.encode_many([text])[0], "<u4").tolist() == placed[0][1].tolist()
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.characters(max_codepoint=0x24F), max_size=12), max_size=30))
+def test_bpe_latin_words(units):
+    enc = bpe.Encoder.get(bpe.vocabulary_path())
+    text = " ".join(units)
+    assert enc.merges and np.frombuffer(enc.encode_many([text])[0], "<u4").tolist() == enc.encode_placed(text)[0].tolist()
+
+
 def test_bpe_long_unsplit_text(tokenizer):
     enc = bpe.Encoder.get(bpe.vocabulary_path())
     letters = "".join(random.Random(5).choice("etaoinshrdlu") for _ in range(20_000))
