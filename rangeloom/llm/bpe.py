@@ -19,6 +19,7 @@ Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -46,6 +47,18 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_signs() -> list[str]:
+    """The sign that byte-level vocabularies write for each byte: itself where it is visible, else the next from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    more = iter(range(256, 512))
+    return [chr(b if b in visible else next(more)) for b in range(256)]
+
+
+#: Below this, letters are composed, lower() is as plain as the vocabulary's, and words are one match of the split pattern.
+LATIN = "\u0250"
+_SIGNS = {c: "".join(_byte_signs()[b] for b in chr(c).encode()) for c in range(128, ord(LATIN))}
+
+
 class Encoder:
     """The vocabulary and what a worker remembers of it."""
 
@@ -66,6 +79,13 @@ class Encoder:
         ids = lambda t: self.tok.encode(t, add_special_tokens=False).ids
         # whether white space is dropped, case doesn't count and marks are set apart: else texts are encoded whole
         self.by_units = all(ids(t) == [i for u in parts for i in ids(u)] for t, parts in (("Ab c", ["ab", "c"]), (" THE\n\tend. ", ["the", "end", "."]), ("x9, Yes!", ["x9", ",", "yes", "!"]), ("it's;", ["it's", ";"])))
+        # the merges alone, for words of Latin letters that need no normalising or splitting
+        shape = json.loads(self.tok.to_str())
+        shape |= {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}
+        self.merges = Tokenizer.from_str(json.dumps(shape)) if self.by_units else None
+        trial = ["the", "straße", "señorâ", "œuvre", "xqzj" * 9, "ýþ"]
+        if self.merges and any(self.merges.encode(w.translate(_SIGNS), add_special_tokens=False).ids != ids(w) for w in trial):
+            self.merges = None
 
     @classmethod
     def get(cls, path: str) -> Encoder:
@@ -82,8 +102,11 @@ class Encoder:
         if new:
             parts = {u: plain_parts(u) for u in new}
             cores = list({c for pair in parts.values() for c in pair}.difference(self.cores))
-            got = self.tok.encode_batch_fast(cores, add_special_tokens=False)
-            self.cores.update((c, array("I", e.ids).tobytes()) for c, e in zip(cores, got, strict=True))
+            words = [c for c in cores if c.isalpha() and max(c) < LATIN] if self.merges else []
+            rest = list(set(cores).difference(words))
+            got = self.merges.encode_batch_fast([w.translate(_SIGNS) for w in words], add_special_tokens=False) if words else []
+            got += self.tok.encode_batch_fast(rest, add_special_tokens=False)
+            self.cores.update((c, array("I", e.ids).tobytes()) for c, e in zip([*words, *rest], got, strict=True))
             self.memo.update((u, self.cores[c] + self.cores[mark]) for u, (c, mark) in parts.items())
         out = [b"".join(map(self.memo.__getitem__, s)) for s in split]
         for known, fresh in ((self.memo, new), (self.cores, cores if new else ())):
@@ -108,9 +131,9 @@ class Encoder:
 
 
 def plain_parts(unit: str) -> tuple[str, str]:
-    """A unit as it is encoded: ASCII in lower case, as the vocabulary has it, and without one mark after a letter or digit,
+    """A unit as it is encoded: Latin in lower case, as the vocabulary has it, and without one mark after a letter or digit,
     which the split pattern always sets apart. Units with a beginning of a special token stay as they are."""
-    if not unit.isascii() or "<|" in unit:
+    if not unit or max(unit) >= LATIN or "<|" in unit:
         return unit, ""
     low = unit.lower()
     return (low[:-1], low[-1]) if len(low) > 1 and low[-1] in ".,!?;:" and low[-2].isalnum() else (low, "")

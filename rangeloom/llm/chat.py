@@ -134,11 +134,22 @@ def positions(conversations: DataFrame) -> DataFrame:
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
     order = ["conv_id", "turn", "role", "text"]
-    dealt = written(rows.repartitionByRange(max(1, parallelism(conversations.sparkSession)), *order).withColumn("part", F.spark_partition_id()), "turns")
-    counts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, at = TaskContext.get().partitionId(), 0
+        for b in batches:
+            more = [pa.array([part] * b.num_rows, pa.int32()), pa.array(range(at, at + b.num_rows), pa.int64())]
+            at += b.num_rows
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("conv_id", "role", "text")), *more], names=["conv_id", "role", "text", "part", "at"])
+
+    dealt = rows.repartitionByRange(max(1, parallelism(conversations.sparkSession)), *order).sortWithinPartitions(*order)
+    dealt = written(dealt.mapInArrow(number, "conv_id long, role string, text string, part int, at long"), "turns")
+    counts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each range partition
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = dealt.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1).join(counts.select("part", before.alias("before")), "part")
-    ranked = written(ranked.select("conv_id", "role", "text", (F.col("before") + F.col("at")).alias("at")), "ranked-turns")
+    offsets = written(counts.select("part", before.alias("before")), "turn-offsets")
+    ranked = dealt.join(offsets, "part").withColumn("at", F.col("before") + F.col("at"))
     firsts = ranked.groupBy(F.col("conv_id").alias("__c")).agg(F.min("at").alias("first"))
     return ranked.join(firsts, F.col("conv_id").eqNullSafe(F.col("__c"))).select("conv_id", "role", "text", (F.col("at") - F.col("first")).alias("pos"))
 

@@ -67,17 +67,15 @@ def permute(index: np.ndarray, n: int, key: int = KEY, back: bool = False) -> np
 
 
 def _pack(ids: np.ndarray) -> bytes:
-    """Low bytes, then high bytes, compressed."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(ids.view(np.uint8).reshape(len(ids), -1).T).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(ids.tobytes())
 
 
-def _unpack(data: bytes, width: int) -> bytes:
+def _unpack(data: bytes) -> bytes:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).tobytes()
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
 SEQUENCES = "task int, seq long, n_tokens int, doc_ids array<long>, payload binary"
@@ -187,7 +185,7 @@ def write_shards(placed: DataFrame, folder: str, n: int, length: int, width: int
                     sink = fsys.open_output_stream(f"{base}/{shard_name(shard)}", buffer_size=1 << 20)
                 if slot != shard * per + count:
                     raise ValueError(f"slot {shard * per + count} is missing")
-                sink.write(struct.pack("<I", n_tokens) + _unpack(payload, width))
+                sink.write(struct.pack("<I", n_tokens) + _unpack(payload))
                 count += 1
         if sink is not None:
             sink.close()
@@ -234,4 +232,5 @@ def materialise(docs: DataFrame, folder: str | None = None, length: int = LENGTH
 
     manifest = shards.select("shard", "first_slot", "n_records").repartition(parallelism(spark), "shard")
     read = manifest.mapInArrow(run, "slot long, shard long, offset long, n_tokens int, ids_sha256 string")
-    return read.join(placed.select("slot", "doc_ids"), "slot")
+    # what is read back has far more rows than the table of shards by which Spark would judge its size
+    return read.hint("merge").join(placed.select("slot", "doc_ids"), "slot")
