@@ -3,11 +3,13 @@
 The index is a table bucketed and sorted by the SHA-256 of the normalised text. A batch of documents is first
 reduced to one candidate row per digest (partial aggregation before the shuffle, so a group that holds a third of
 all rows costs one row per task), then left-anti-joined with the index by sort-merge on the digest (the index side
-is read bucket by bucket, without a shuffle) and appended.
+is read bucket by bucket, without a shuffle) and appended. Rows then meet the index's rows for their own digests, which
+are written first: both sides of that join are shuffled, so Spark splits the partition of a digest with very many rows.
 
 Defined results: a null text counts as empty; texts are equal when identical without white space; of equal texts
 the one with the most code points stays, then the smallest doc_id (a null doc_id after all others). A row repeated
-whole stays once. An empty table gives an empty index and no rows. Other columns, whatever their names, are carried
+whole stays once. A digest that an earlier batch brought keeps that batch's row and group size: none of a later batch's
+rows with it stays. An empty table gives an empty index and no rows. Other columns, whatever their names, are carried
 along by `apply` and ignored by `digests`.
 """
 
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import free_names, text_or_empty, written
 
-SCHEMA = "digest string, keep_id long, keep_chars long, keep_row long, group_size long"
+SCHEMA = "digest string, keep_id long, keep_chars long, keep_row long, group_size long, batch string"
 #: Least buckets of an index, and about how many digests each is to hold.
 BUCKETS, PER_BUCKET = 64, 1 << 20
 
@@ -70,40 +72,41 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def append_new(self, batch: DataFrame) -> None:
-        """Append the digests that the index doesn't hold yet. A digest that is there keeps its row."""
-        new = candidates(batch).alias("n").join(self.read().select("digest").hint("merge"), "digest", "left_anti")
-        self._write(new)
+    def append_new(self, rows: DataFrame) -> str:
+        """Append the digests that the index doesn't hold yet, and return the batch's name. A digest that is there keeps its row."""
+        batch = uuid.uuid4().hex
+        new = candidates(rows).join(self.read().select("digest").hint("merge"), "digest", "left_anti")
+        self._write(new.withColumn("batch", F.lit(batch)))
+        return batch
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
-def decide(rows: DataFrame, index: DigestIndex) -> DataFrame:
-    """Each row with its group's keeper and whether it is that row."""
-    found = index.read().select("digest", "keep_id", "keep_row", "group_size")
-    return rows.join(found.hint("merge"), "digest").select(
-        "doc_id", "keep_id", "group_size", (F.col("row_no") == F.col("keep_row")).alias("kept"), F.col("digest").alias("text_sha256"), "row_no"
-    )
+def decide(rows: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
+    """Each row with its group's keeper and whether it is that row. batch: the name under which the rows were appended."""
+    own = rows.select("digest").distinct()
+    found = written(index.read().join(own.hint("merge"), "digest", "left_semi"), "keepers")
+    kept = (F.col("row_no") == F.col("keep_row")) & (F.col("batch") == batch)
+    return rows.join(found, "digest").select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"), "row_no")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = written(digests(docs), "digests")
     index = DigestIndex.for_rows(rows)
-    index.append_new(rows)
-    return decide(rows, index).drop("row_no")
+    return decide(rows, index, index.append_new(rows)).drop("row_no")
 
 
 def apply(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
     rows = written(digests(docs), "digests")
     index = DigestIndex.for_rows(rows)
-    index.append_new(rows)
+    batch = index.append_new(rows)
     # one key per digest and document, so that a hot digest's copies are dealt out by their doc_id
     k, n = free_names(docs, "__key", "__n")
     key = lambda digest: F.concat_ws(":", digest, "doc_id")
-    stays = written(decide(rows, index).where("kept").select(key("text_sha256").alias(k)), "stays")
+    stays = index.read().where(F.col("batch") == batch).select(F.concat_ws(":", "digest", "keep_id").alias(k))
     keyed = docs.withColumn(k, key(F.sha2(normalised().cast("binary"), 256)))
     kept = keyed.join(stays, k, "left_semi")
     # a doc_id that comes more than once with the same text: the longest of its rows

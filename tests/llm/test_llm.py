@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rangeloom.llm import bpe, chat, components, exact_dedup, media, mixing, secrets, sharding, simhash, token_store, toxicity
+from rangeloom.llm import bpe, chat, common, components, exact_dedup, media, mixing, secrets, sharding, simhash, token_store, toxicity
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __n string, size string"
@@ -152,6 +152,21 @@ def test_index_takes_new_digests_only(spark, docs, tmp_path):
     again.drop()
 
 
+def test_later_batch_keeps_what_is_new(spark, docs):
+    table_name = "batches"
+    index = exact_dedup.DigestIndex(spark, table_name)
+    try:
+        first, both = (common.written(exact_dedup.digests(d), "batch") for d in (docs.where("doc_id < 100"), docs))
+        index.append_new(first)
+        known = {r.digest for r in first.collect()}
+        kept = collections.Counter()
+        for r in exact_dedup.decide(both, index, index.append_new(both)).collect():
+            kept[r.text_sha256] += r.kept
+        assert known < set(kept) and all(n == (d not in known) for d, n in kept.items())
+    finally:
+        index.drop()
+
+
 def test_exact_dedup_empty(empty):
     assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.apply(empty).count() == 0
 
