@@ -36,7 +36,7 @@ LEAF_CHARS = 32_768
 #: Tokens that a window and a part must agree on, on either side.
 RUN = 8
 #: Units remembered by a worker, and the longest of them.
-MEMO, MEMO_CHARS = 400_000, 64
+MEMO, MEMO_CHARS = 1_000_000, 64
 
 _encoders: dict[str, Encoder] = {}
 
