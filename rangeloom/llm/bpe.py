@@ -36,7 +36,7 @@ LEAF_CHARS = 32_768
 #: Tokens that a window and a part must agree on, on either side.
 RUN = 8
 #: Units remembered by a worker, and the longest of them.
-MEMO, MEMO_CHARS = 1_000_000, 64
+MEMO, MEMO_CHARS = 600_000, 64
 
 _encoders: dict[str, Encoder] = {}
 
@@ -100,14 +100,18 @@ class Encoder:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         new = set().union(*split).difference(self.memo)
         if new:
-            parts = {u: plain_parts(u) for u in new}
-            cores = list({c for pair in parts.values() for c in pair}.difference(self.cores))
+            bodies, marks = [], []
+            for u in new:
+                body, mark = plain_parts(u)
+                bodies.append(body)
+                marks.append(mark)
+            cores = list({*bodies, *marks}.difference(self.cores))
             words = [c for c in cores if c.isalpha() and max(c) < LATIN] if self.merges else []
             rest = list(set(cores).difference(words))
             got = self.merges.encode_batch_fast([w.translate(_SIGNS) for w in words], add_special_tokens=False) if words else []
             got += self.tok.encode_batch_fast(rest, add_special_tokens=False)
             self.cores.update((c, array("I", e.ids).tobytes()) for c, e in zip([*words, *rest], got, strict=True))
-            self.memo.update((u, self.cores[c] + self.cores[mark]) for u, (c, mark) in parts.items())
+            self.memo.update((u, self.cores[c] + self.cores[mark]) for u, c, mark in zip(new, bodies, marks, strict=True))
         out = [b"".join(map(self.memo.__getitem__, s)) for s in split]
         for known, fresh in ((self.memo, new), (self.cores, cores if new else ())):
             if len(known) > MEMO:
