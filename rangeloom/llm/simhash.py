@@ -13,7 +13,8 @@ Equal fingerprints are one node, so exact copies never meet in a key. Components
 
 Defined results: a null or blank text has fingerprint zero, linked like any other; a null doc_id is never the id of
 a component unless all its rows' ids are null; rows that repeat a doc_id stay as they are in `near_duplicates`;
-`apply` keeps one row per component. An empty table gives no rows. Other columns are carried along by `apply`.
+`apply` keeps one row per component: of the rows with the smallest doc_id (null last) the smallest fingerprint, then
+text digest, then hash of the other columns. An empty table gives no rows. Other columns are carried along by `apply`.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_names, text_or_empty, written
+from .common import free_names, text_or_empty, utf8, written
 from .components import connected_components
 
 SHINGLE, DISTANCE = 4, 4
@@ -61,15 +62,17 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (as a signed long) of every row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, key: Column | None = None) -> DataFrame:
+    """doc_id, fp (as a signed long) of every row, and key where one is given."""
+    more = [] if key is None else [key.alias("key")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [fingerprint(t, shingle) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.int64()), *b.columns[2:]], names=["doc_id", "fp", *b.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    schema = "doc_id long, fp long" + ", key string" * len(more)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *more).mapInArrow(run, schema)
 
 
 def layout(n: int, distance: int = DISTANCE) -> list[tuple[int, list[int]]]:
@@ -182,11 +185,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     return _components(written(fingerprints(docs, shingle), "fingerprints"), distance)
 
 
-def _components(rows: DataFrame, distance: int) -> DataFrame:
+def _roots(rows: DataFrame, distance: int) -> DataFrame:
+    """fp, least_id, root: of every distinct fingerprint."""
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
     roots = connected_components(links(fps.select("fp"), distance))
     ids = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    ids = written(ids, "fingerprint-roots")
+    return written(ids, "fingerprint-roots")
+
+
+def _components(rows: DataFrame, distance: int) -> DataFrame:
+    ids = _roots(rows, distance)
     whole = ids.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = ids.join(whole, "root").select("fp", "component_id")
     return rows.join(named, "fp")
@@ -200,10 +208,16 @@ def query(docs: DataFrame) -> DataFrame:
 
 def apply(docs: DataFrame) -> DataFrame:
     """One document of each component: the one with the smallest doc_id."""
-    got = near_duplicates(docs)
     k, n = free_names(docs, "__key", "__n")
-    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("none"))  # one key for join and window: one shuffle
-    stays = got.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias(k)).distinct()
-    kept = docs.withColumn(k, key).join(stays, k, "left_semi")
-    order = Window.partitionBy(k).orderBy(F.crc32(text_or_empty().cast("binary")))
-    return kept.withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).select(*docs.columns)
+    # a doc_id and a text, never null: one key for window and join, one shuffle
+    key = F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("none")), F.sha2(utf8(), 256))
+    rows = written(fingerprints(docs, key=key), "fingerprints")
+    least = lambda *cols: F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *cols))
+    first = rows.groupBy("fp").agg(least("key").alias("first")).select("fp", "first.doc_id", "first.key")
+    of_root = first.join(_roots(rows, DISTANCE).select("fp", "root"), "fp").groupBy("root").agg(least("fp", "key").alias("first"))
+    stays = of_root.select(F.col("first.key").alias(k))
+    # rows alike in both: one by the other columns, chosen in each task before the shuffle
+    others = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind and "variant" not in kind]
+    order = Window.partitionBy(k).orderBy(F.xxhash64(*others) if others else F.lit(0))
+    single = docs.withColumn(k, key).withColumn(n, F.row_number().over(order)).where(F.col(n) == 1)
+    return single.join(stays, k, "left_semi").select(*docs.columns)

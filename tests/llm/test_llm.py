@@ -502,6 +502,16 @@ def test_simhash(awkward, docs):
     assert kept.columns == awkward.columns and kept.count() == len({c for _, _, c in counted(query(awkward).select("doc_id", "fingerprint", "component_id").collect())})
 
 
+def test_simhash_keeps_a_row_of_each_component(spark, awkward):
+    kept = {(r.doc_id, r.text) for r in simhash.apply(awkward).collect()}
+    assert (None, "no id") in kept and [i for i, t in kept if not (t or "").strip(" \t\n\x0b\x0c\r")] == [2]
+    alone = ["red green blue", "one two three four five six", "nothing like the others"]
+    rows = [(None, t) for t in alone] + [(None, alone[0])] * 3 + [(1, "a first text"), (1, "quite another one"), (1, "a first text"), (2, "a first text")]
+    got = simhash.apply(table(spark, rows)).collect()
+    assert counted((r.doc_id, r.text) for r in got) == counted([*((None, t) for t in alone), (1, "a first text"), (1, "quite another one")])
+    assert counted(simhash.apply(table(spark, rows)).collect()) == counted(got)
+
+
 @pytest.mark.parametrize("bucket", [5, simhash.BUCKET])
 def test_links_lose_none(spark, bucket):
     rng = np.random.default_rng(3)
