@@ -98,6 +98,10 @@ def language_model(counts: list[tuple[int, int]]) -> np.ndarray:
     return -np.log(tri)
 
 
+#: A masked letter's place.
+_ANY = [(chr(97 + i), COST_MASK) for i in range(26)] + [("", COST_MASK)]
+
+
 def options(word: str) -> list[list[tuple[str, float]]]:
     """The lattice of a word: per place, the letters (or none) that may stand there and what each costs."""
     runs = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", word.lower(), re.S)]
@@ -110,30 +114,73 @@ def options(word: str) -> list[list[tuple[str, float]]]:
                 out.append([("", COST_RUN * (k > 2)), (letter, COST_RUN * (k > 2))])
         elif c in LEET:
             out.append([(x, COST_LEET) for x in LEET[c]] + [("", COST_MASK)])
+            again = COST_RUN * (k > 2)
+            out += [[("", again), *((x, again) for x in LEET[c])]] * (k - 1)
         elif c in MASKS:
-            for _ in range(min(k, 4)):
-                out.append([(chr(97 + i), COST_MASK) for i in range(26)] + [("", COST_MASK)])
+            out += [_ANY] * k
         else:
             out.append([("", 0.0)])
     return out
 
 
+Path = tuple | None  # the path before and its last letter
+States = dict[tuple[int, int], tuple[float, Path]]
+
+
+def _letters(path: Path) -> str:
+    out = []
+    while path is not None:
+        path, letter = path
+        out.append(letter)
+    return "".join(reversed(out))
+
+
+def _masked(states: States, lm: np.ndarray) -> States:
+    """The states after a place that any letter may take, or none."""
+    at = np.full((SYMBOLS, SYMBOLS), np.inf)
+    for key, (cost, _) in states.items():
+        at[key] = cost
+    total = at[:, :, None] + lm[:, :, 1:27]
+    best = total.argmin(0)
+    least = np.take_along_axis(total, best[None], 0)[0]
+    new = {key: (cost + COST_MASK, path) for key, (cost, path) in states.items()}
+    for b, c in zip(*(x.tolist() for x in np.nonzero(np.isfinite(least))), strict=True):
+        cost = float(least[b, c]) + COST_MASK
+        if (b, c + 1) not in new or cost < new[b, c + 1][0]:
+            new[b, c + 1] = (cost, (states[int(best[b, c]), b][1], chr(97 + c)))
+    return new
+
+
 def restore(word: str, lm: np.ndarray) -> str:
     """The likeliest letters of a disguised word."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(27, 27): (0.0, "")}
-    for choices in options(word):
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, done) in states.items():
+    return decode(options(word), lm)
+
+
+def decode(lattice: list[list[tuple[str, float]]], lm: np.ndarray) -> str:
+    """The likeliest path by Viterbi, at most SYMBOLS**2 states a place. A letter is a to z, or a space for a word's end."""
+    states: States = {(27, 27): (0.0, None)}
+    sure: list[str] = []  # what all paths begin with
+    for choices in lattice:
+        if choices is _ANY and len(states) > 4:
+            states = _masked(states, lm)
+            continue
+        new: States = {}
+        for (a, b), (cost, path) in states.items():
             for letter, extra in choices:
                 if letter:
-                    c = ord(letter) - 96
-                    key, total, text = (b, c), cost + extra + lm[a, b, c], done + letter
+                    c = 27 if letter == " " else ord(letter) - 96
+                    key, total, longer = (b, c), cost + extra + lm[a, b, c], (path, letter)
                 else:
-                    key, total, text = (a, b), cost + extra, done
+                    key, total, longer = (a, b), cost + extra, path
                 if key not in new or total < new[key][0]:
-                    new[key] = (total, text)
+                    new[key] = (total, longer)
         states = new
-    return min((cost + lm[a, b, 27], text) for (a, b), (cost, text) in states.items())[1]
+        if len(states) == 1:
+            ((key, (cost, path)),) = states.items()
+            sure.append(_letters(path))
+            states = {key: (cost, None)}
+    ends = [(cost + (0.0 if b == 27 else lm[a, b, 27]), _letters(path)) for (a, b), (cost, path) in states.items()]
+    return "".join(sure) + min(ends)[1]
 
 
 class Features:

@@ -295,6 +295,22 @@ def test_toxicity_restores():
     assert set(features._hash("loser")) <= set(features.of_text("you L0SER!!!").tolist())
 
 
+def model_of(words):
+    rng = random.Random(1)
+    found = toxicity.folded(" ".join(rng.choice(words) for _ in range(5000)))
+    s = np.where(found == 0, 27, found).astype(int)
+    return toxicity.language_model(list(collections.Counter(((s[:-2] * 28 + s[1:-1]) * 28 + s[2:]).tolist()).items()))
+
+
+def test_toxicity_restores_runs_of_signs():
+    lm = model_of(["pussy", "asshole", "boob", "fool", "flaming", "garden", "window"])
+    for disguised, plain in {"pu55y": "pussy", "a55hole": "asshole", "a$$hole": "asshole", "b00b": "boob", "f00l": "fool", "f00000l": "fool"}.items():
+        assert toxicity.restore(disguised, lm) == plain
+    for word in ("f*****g", "fl*####g"):
+        assert len(toxicity.options(word)) == len(word)
+    assert toxicity.restore("f*****g", model_of(["flaming", "garden", "window"])) == "flaming"
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
