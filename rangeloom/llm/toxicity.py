@@ -1,9 +1,9 @@
 """Toxicity scores of noisy-channel deobfuscated text.
 
 1. A character trigram model (letters folded to a-z, space) is counted over all documents, in partial counts per task.
-2. Disguised words of up to `DISGUISED_MOST` characters - leetspeak, masked letters, stretched letters, letters set apart by spaces, dots, dashes - become
+2. Disguised words of any length - leetspeak, masked letters, stretched letters, letters set apart by spaces, dots, dashes - become
    character lattices: every character offers the letters it may stand for, each at a channel cost, and a repeated
-   letter may stand for one, two or all of its run. Viterbi decoding under the trigram model restores the word.
+   letter may stand for one, two or three letters. Viterbi decoding under the trigram model restores the word.
 3. A document's features are its distinct words, plain and restored, and the first five letters of longer ones, hashed.
    Log-odds of the toxic label per feature, less one standard error, come from counts over labelled documents; a
    logistic curve on the strongest five and on the share of such words turns them into a score.
@@ -52,9 +52,7 @@ _FOLD[ord("ß")] = 19  # sharp s
 _EDGES = ".,;:!?%&#*|\"'()[]{}<>~^=`…“”"
 _LEETISH = "".join(re.escape(c) for c in (*LEET, *MASKS))
 #: Signs between letters, a leading sign or stretched letters; signs that follow a word are punctuation.
-_DISGUISED = re.compile(rf"[$@]?[^\W\d_].*[{_LEETISH}]+[^\W_].*|[$@0-9]+[^\W\d_].*|.*([^\W\d_])\1\1.*", re.S)
-#: Longer words aren't taken for disguised ones.
-DISGUISED_MOST = 24
+_DISGUISED = re.compile(rf"[$@]?[^\W\d_].*[{_LEETISH}][^\W_].*|[$@0-9]+[^\W\d_].*|.*([^\W\d_])\1\1.*", re.S)
 _APART = re.compile(r"(?<![^\s])(?:\S([ .\-_*/]))(?:\S\1){2,}\S(?![^\s.,;:!?])")
 
 
@@ -184,9 +182,9 @@ def decode(lattice: list[list[tuple[str, float]]], lm: np.ndarray) -> str:
 
 
 class Features:
-    """Hashed features of words, remembered up to a bound."""
+    """Hashed features of words; `MOST` words of at most `LONGEST` characters are remembered."""
 
-    MOST = 200_000
+    MOST, LONGEST = 200_000, 64
 
     def __init__(self, lm: np.ndarray):
         self.lm = lm
@@ -205,11 +203,13 @@ class Features:
         out = self._hash(core) if len(core) > 1 else []
         # a sign that opens a word may be a letter, signs that close it aren't
         form = raw.lower().lstrip(".,;:!?%&#*|\"'([{<").rstrip(_EDGES + "$@")
-        if 2 < len(form) <= DISGUISED_MOST and _DISGUISED.fullmatch(form) and len(plain := restore(form, self.lm)) > 2 and plain != core:
+        if len(form) > 2 and _DISGUISED.fullmatch(form) and len(plain := restore(form, self.lm)) > 2 and plain != core:
             out += self._hash(plain)
-        if len(self.memo) >= self.MOST:
-            self.memo.clear()
-        self.memo[raw] = got = tuple(out)
+        got = tuple(out)
+        if len(raw) <= self.LONGEST:
+            if len(self.memo) >= self.MOST:
+                self.memo.clear()
+            self.memo[raw] = got
         return got
 
     def of_text(self, text: str) -> np.ndarray:

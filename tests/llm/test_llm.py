@@ -311,6 +311,13 @@ def test_toxicity_restores_runs_of_signs():
     assert toxicity.restore("f*****g", model_of(["flaming", "garden", "window"])) == "flaming"
 
 
+def test_toxicity_restores_long_words():
+    features = toxicity.Features(model_of(["idiot", "window", "garden", "gardenwindowgardenidiot"]))
+    for disguised, plain in {"idi" + "o" * 25 + "t": "idiot", "idi" + "o" * 100_000 + "t": "idiot", "gardenwindowgarden1d10t": "gardenwindowgardenidiot", "gardenwindowgardeniiiiidiot": "gardenwindowgardenidiot"}.items():
+        assert set(features._hash(plain)) <= set(features.of_word(disguised))
+    assert features.of_word("x" + "_" * 200_000) and features.of_word("1a" * 20_000)
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
