@@ -41,7 +41,7 @@ THRESHOLD = 0.3
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l"}
 #: Characters that mask any letter inside a word.
 MASKS = "*#%_"
-COST_LEET, COST_MASK, COST_RUN = 0.7, 3.2, 0.3
+COST_LEET, COST_MASK, COST_RUN, COST_GAP = 0.7, 3.2, 0.3, 0.3
 SYMBOLS = 28  # 0: no letter, 1 to 26: letters, 27: word end
 _FOLD = np.zeros(0x3000, np.uint8)
 for _c in range(0x3000):
@@ -53,7 +53,11 @@ _EDGES = ".,;:!?%&#*|\"'()[]{}<>~^=`…“”"
 _LEETISH = "".join(re.escape(c) for c in (*LEET, *MASKS))
 #: Signs between letters, a leading sign or stretched letters; signs that follow a word are punctuation.
 _DISGUISED = re.compile(rf"[$@]?[^\W\d_].*[{_LEETISH}][^\W_].*|[$@0-9]+[^\W\d_].*|.*([^\W\d_])\1\1.*", re.S)
-_APART = re.compile(r"(?<![^\s])(?:\S([ .\-_*/]))(?:\S\1){2,}\S(?![^\s.,;:!?])")
+_GAP = r"\s.\-_*/"
+_CLOSING = r".,;:!?\"')\]}>"
+#: Three or more single characters with signs or white space between them.
+_APART = re.compile(rf"(?<![^\s\"'(\[{{<])[^{_GAP}{_CLOSING}](?:[{_GAP}]+(?:[^{_GAP}{_CLOSING}]|!(?=[{_GAP}]+\w))(?![^{_GAP}{_CLOSING}])){{2,}}")
+_APART_PARTS = re.compile(rf"[{_GAP}]+|[^{_GAP}]")
 
 
 def held_out(col: str = "doc_id") -> Column:
@@ -121,6 +125,28 @@ def options(word: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+def options_apart(run: str, strict: bool) -> list[list[tuple[str, float]]]:
+    """The lattice of letters set apart: signs between them are none or a word's end, asterisks and underscores perhaps letters.
+
+    strict: a letter that comes again is a letter of its own; else it may also be a stretched one.
+    """
+    parts = _APART_PARTS.findall(run.lower())
+    least = min(map(len, parts[1::2]))
+    out, last = [], ""
+    for i, part in enumerate(parts):
+        if i % 2:
+            signs = [c for c in part if c in MASKS]
+            for _ in signs:
+                out.append(_ANY[:-1] + [("", 0.0)])
+            # a wider gap than others is rather between words
+            out.append([("", COST_GAP), (" ", 0.0)] if len(part) > least else [("", 0.0), (" ", COST_GAP)])
+        else:
+            place = options(part)[0]
+            out.append(place if strict or part != last else [*place, ("", COST_RUN)])
+            last = part
+    return out
+
+
 Path = tuple | None  # the path before and its last letter
 States = dict[tuple[int, int], tuple[float, Path]]
 
@@ -133,15 +159,15 @@ def _letters(path: Path) -> str:
     return "".join(reversed(out))
 
 
-def _masked(states: States, lm: np.ndarray) -> States:
-    """The states after a place that any letter may take, or none."""
+def _masked(states: States, lm: np.ndarray, none: float) -> States:
+    """The states after a place that any letter may take, or none at a cost."""
     at = np.full((SYMBOLS, SYMBOLS), np.inf)
     for key, (cost, _) in states.items():
         at[key] = cost
     total = at[:, :, None] + lm[:, :, 1:27]
     best = total.argmin(0)
     least = np.take_along_axis(total, best[None], 0)[0]
-    new = {key: (cost + COST_MASK, path) for key, (cost, path) in states.items()}
+    new = {key: (cost + none, path) for key, (cost, path) in states.items()}
     for b, c in zip(*(x.tolist() for x in np.nonzero(np.isfinite(least))), strict=True):
         cost = float(least[b, c]) + COST_MASK
         if (b, c + 1) not in new or cost < new[b, c + 1][0]:
@@ -159,8 +185,8 @@ def decode(lattice: list[list[tuple[str, float]]], lm: np.ndarray) -> str:
     states: States = {(27, 27): (0.0, None)}
     sure: list[str] = []  # what all paths begin with
     for choices in lattice:
-        if choices is _ANY and len(states) > 4:
-            states = _masked(states, lm)
+        if len(choices) > 26 and len(states) > 4:
+            states = _masked(states, lm, choices[-1][1])
             continue
         new: States = {}
         for (a, b), (cost, path) in states.items():
@@ -212,13 +238,27 @@ class Features:
             self.memo[raw] = got
         return got
 
+    def of_run(self, run: str) -> set[int]:
+        """Of letters set apart: as one word, and as the words that they are decoded to."""
+        glued = re.sub(f"[{_GAP}]+", "", run)
+        kinds = set(glued.lower())
+        if len(kinds) < 2 or not any(c.isalpha() for c in kinds):  # one letter over and over, or a row of figures
+            return set()
+        out = set(self.of_word(glued))
+        again = re.search(r"(.)\1", glued.lower())
+        if again:
+            out.update(self.of_word(re.sub(r"(.)\1+", r"\1", glued)))
+        for strict in (True, False) if again else (True,):
+            for word in set(decode(options_apart(run, strict), self.lm).split()):
+                if len(word) > 1:
+                    out.update(self._hash(word))
+        return out
+
     def of_text(self, text: str) -> np.ndarray:
         units = set(text.split())
-        for m in _APART.finditer(text):
-            spaced = m[0].replace(m[1], "")
-            if len(set(spaced.lower())) > 2:  # not one letter over and over
-                units |= {spaced, re.sub(r"(.)\1+", r"\1", spaced)} if len(spaced) <= 64 else {spaced[i : i + 64] for i in range(0, len(spaced), 32)}
         found: set[int] = set()
+        for m in _APART.finditer(text):
+            found.update(self.of_run(m[0]))
         for u in units:
             found.update(self.of_word(u))
         return np.fromiter(found, np.int64, len(found))

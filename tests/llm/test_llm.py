@@ -318,6 +318,16 @@ def test_toxicity_restores_long_words():
     assert features.of_word("x" + "_" * 200_000) and features.of_word("1a" * 20_000)
 
 
+def test_toxicity_parts_letters_set_apart():
+    features = toxicity.Features(model_of(["you", "are", "an", "idiot", "ass", "garden", "window", "as"]))
+    found = lambda text, word: set(features._hash(word)) <= set(features.of_text(text).tolist())
+    for text in ("y o u a r e a n i d i o t", "y o u  a r e  a n  i d i o t!", "such an i.d i-o.t here", "i - d - i - o - t", "i\td\ni o t", "1 d 1 0 t", '"i d i * t"', "y o u a r e a n " * 40 + "i d i o t", "i d i o o o o t", "(i d i o t)"):
+        assert found(text, "idiot"), text
+    assert found("y o u a r e a n i d i o t", "you") and found("y o u a r e a n i d i o t", "are")
+    assert found("a s s", "ass") and found("an a s s.", "ass")
+    assert not found("an a s sad", "ass") and not len(features.of_text("- - - - * * * 1 2 3"))
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
