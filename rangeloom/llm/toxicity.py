@@ -50,9 +50,13 @@ for _c in range(0x3000):
         _FOLD[_c] = ord(_base) - 96
 _FOLD[ord("ß")] = 19  # sharp s
 _EDGES = ".,;:!?%&#*|\"'()[]{}<>~^=`…“”"
+#: Closing signs that stand for no letter.
+_NO_LETTERS = "".join(c for c in _EDGES if c not in LEET and c not in MASKS)
 _LEETISH = "".join(re.escape(c) for c in (*LEET, *MASKS))
-#: Signs between letters, a leading sign or stretched letters; signs that follow a word are punctuation.
+#: Signs between letters, a leading sign or stretched letters; signs that follow a word may be punctuation.
 _DISGUISED = re.compile(rf"[$@]?[^\W\d_].*[{_LEETISH}][^\W_].*|[$@0-9]+[^\W\d_].*|.*([^\W\d_])\1\1.*", re.S)
+#: The same of a word with its closing signs: one of them may be a letter.
+_DISGUISED_END = re.compile(rf"[$@]?[^\W\d_].*[{_LEETISH}]|[$@0-9]+[^\W\d_].*[{_LEETISH}]", re.S)
 _GAP = r"\s.\-_*/"
 _CLOSING = r".,;:!?\"')\]}>"
 #: Three or more single characters with signs or white space between them.
@@ -159,35 +163,78 @@ def _letters(path: Path) -> str:
     return "".join(reversed(out))
 
 
-def _masked(states: States, lm: np.ndarray, none: float) -> States:
-    """The states after a place that any letter may take, or none at a cost."""
+def _masked(states: States, lm: np.ndarray, none: float) -> tuple[States, bool]:
+    """The states after a place that any letter may take, or none at a cost; whether one has become likelier by a letter."""
     at = np.full((SYMBOLS, SYMBOLS), np.inf)
     for key, (cost, _) in states.items():
         at[key] = cost
     total = at[:, :, None] + lm[:, :, 1:27]
     best = total.argmin(0)
     least = np.take_along_axis(total, best[None], 0)[0]
+    more = False
     new = {key: (cost + none, path) for key, (cost, path) in states.items()}
     for b, c in zip(*(x.tolist() for x in np.nonzero(np.isfinite(least))), strict=True):
         cost = float(least[b, c]) + COST_MASK
         if (b, c + 1) not in new or cost < new[b, c + 1][0]:
             new[b, c + 1] = (cost, (states[int(best[b, c]), b][1], chr(97 + c)))
-    return new
+            more = True
+    return new, more
 
 
-def restore(word: str, lm: np.ndarray) -> str:
-    """The likeliest letters of a disguised word."""
-    return decode(options(word), lm)
+class Endings:
+    """The best readings of masks that close a word, for all last two letters at once.
+
+    A mask costs the same with a letter as with none, so from some number of masks on more of them change nothing.
+    """
+
+    def __init__(self, lm: np.ndarray):
+        self.lm = lm
+        self.cost = [lm[:, :, 27].copy()]  # by number of masks: least cost of the rest after letters a, b, without the masks' own
+        self.letter = [np.zeros((SYMBOLS, SYMBOLS), int)]  # the first of it; 0: none
+        self.settled = False
+
+    def after(self, masks: int) -> np.ndarray:
+        while len(self.cost) <= masks and not self.settled:
+            rest = self.cost[-1]
+            each = np.concatenate([rest[:, :, None], self.lm[:, :, 1:27] + rest[None, :, 1:27]], axis=2)
+            self.letter.append(each.argmin(2))
+            self.cost.append(each.min(2))
+            self.settled = not self.letter[-1].any()
+        return self.cost[min(masks, len(self.cost) - 1)]
+
+    def letters(self, a: int, b: int, masks: int) -> str:
+        out = ""
+        for k in range(min(masks, len(self.cost) - 1), 0, -1):
+            if c := int(self.letter[k][a, b]):
+                out, a, b = out + chr(96 + c), b, c
+        return out
 
 
-def decode(lattice: list[list[tuple[str, float]]], lm: np.ndarray) -> str:
-    """The likeliest path by Viterbi, at most SYMBOLS**2 states a place. A letter is a to z, or a space for a word's end."""
+def restore(word: str, lm: np.ndarray, endings: Endings | None = None) -> str:
+    """The likeliest letters of a disguised word. endings: of the same lm, to be used again."""
+    lattice = options(word)
+    masks = 0
+    while endings is not None and masks < len(lattice) and lattice[-1 - masks] is _ANY:
+        masks += 1
+    return decode(lattice[: len(lattice) - masks], lm, endings, masks)
+
+
+def decode(lattice: list[list[tuple[str, float]]], lm: np.ndarray, endings: Endings | None = None, masks: int = 0) -> str:
+    """The likeliest path by Viterbi, at most SYMBOLS**2 states a place. A letter is a to z, or a space for a word's end.
+
+    masks: so many closing masks follow the lattice.
+    """
     states: States = {(27, 27): (0.0, None)}
+    settled = None
     sure: list[str] = []  # what all paths begin with
     for choices in lattice:
         if len(choices) > 26 and len(states) > 4:
-            states = _masked(states, lm, choices[-1][1])
+            # where a letter more helps no state, further places of the kind don't either
+            if settled != choices[-1][1]:
+                states, more = _masked(states, lm, choices[-1][1])
+                settled = None if more else choices[-1][1]
             continue
+        settled = None
         new: States = {}
         for (a, b), (cost, path) in states.items():
             for letter, extra in choices:
@@ -203,6 +250,10 @@ def decode(lattice: list[list[tuple[str, float]]], lm: np.ndarray) -> str:
             ((key, (cost, path)),) = states.items()
             sure.append(_letters(path))
             states = {key: (cost, None)}
+    if masks:
+        after = endings.after(masks)
+        cost, (a, b) = min((cost + after[key], key) for key, (cost, _) in states.items())
+        return "".join(sure) + _letters(states[a, b][1]) + endings.letters(a, b, masks)
     ends = [(cost + (0.0 if b == 27 else lm[a, b, 27]), _letters(path)) for (a, b), (cost, path) in states.items()]
     return "".join(sure) + min(ends)[1]
 
@@ -213,7 +264,7 @@ class Features:
     MOST, LONGEST = 200_000, 64
 
     def __init__(self, lm: np.ndarray):
-        self.lm = lm
+        self.lm, self.endings = lm, Endings(lm)
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def _hash(self, word: str) -> list[int]:
@@ -227,10 +278,18 @@ class Features:
             return got
         core = raw.lower().strip(_EDGES)
         out = self._hash(core) if len(core) > 1 else []
-        # a sign that opens a word may be a letter, signs that close it aren't
-        form = raw.lower().lstrip(".,;:!?%&#*|\"'([{<").rstrip(_EDGES + "$@")
-        if len(form) > 2 and _DISGUISED.fullmatch(form) and len(plain := restore(form, self.lm)) > 2 and plain != core:
-            out += self._hash(plain)
+        # a sign that opens a word may be a letter; signs that close it are read as none and as letters
+        opened = raw.lower().lstrip(".,;:!?%&#*|\"'([{<")
+        form = opened.rstrip(_EDGES + "$@")
+        forms = [form] if _DISGUISED.fullmatch(form) else []
+        for closed in {opened.rstrip(_NO_LETTERS), opened.rstrip(_NO_LETTERS + "!|(")} - {form}:
+            if _DISGUISED_END.fullmatch(closed):
+                forms.append(closed)
+        if not forms and _DISGUISED_END.fullmatch(form):  # a closing figure
+            forms.append(form)
+        for plain in {restore(f, self.lm, self.endings) for f in forms if len(f) > 2}:
+            if len(plain) > 2 and plain != core:
+                out += self._hash(plain)
         got = tuple(out)
         if len(raw) <= self.LONGEST:
             if len(self.memo) >= self.MOST:

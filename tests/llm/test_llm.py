@@ -328,6 +328,17 @@ def test_toxicity_parts_letters_set_apart():
     assert not found("an a s sad", "ass") and not len(features.of_text("- - - - * * * 1 2 3"))
 
 
+def test_toxicity_restores_closing_signs():
+    lm = model_of(["flame", "shin", "ass", "hate", "homo", "garden", "window", "idiot"])
+    features = toxicity.Features(lm)
+    found = lambda raw, word: set(features._hash(word)) <= set(features.of_word(raw))
+    for raw, plain in {"f****": "flame", "fl***": "flame", "f****!": "flame", '"f****",': "flame", "a$$": "ass", "shi*": "shin", "hat3": "hate", "hom0": "homo", "hom0.": "homo", "hom0!!": "homo", "1d10t!": "idiot", "idiot###": "idiot"}.items():
+        assert found(raw, plain), raw
+    assert features.of_word("window.") == features.of_word("window") and features.of_word("12.") == features.of_word("12")
+    for raw in ("f****", "fl***", "gard##", "w1n***", "f" + "*" * 40):
+        assert toxicity.restore(raw, lm, features.endings) == toxicity.restore(raw, lm)
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
