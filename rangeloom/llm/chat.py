@@ -6,9 +6,10 @@ span. Where an output doesn't begin with the one before, the template rewrites h
 rendered once as a whole and each text's span is found by rendering it again with a probe in the text's place. The
 same probe gives an assistant text's place inside its span, which is the loss mask.
 
-Positions of turns are two-level ranks over a range partitioning, and conversations are cut into blocks of `BLOCK`
-turns, each with the turns before it that the template looks at (`memory`), so a conversation with a third of all
-rows is dealt out to many tasks. Formatted blocks are written; reading back parses them in parallel, and only the
+Positions of turns are two-level ranks over a range partitioning. Where a template states how many turns back it looks
+(`memory`), conversations are cut into blocks of `BLOCK` turns, each with so many turns before it, so a conversation
+with a third of all rows is dealt out to many tasks; a conversation of which any block shows rewritten history is
+rendered again as a whole. Of a template that states nothing every conversation is rendered as a whole. Formatted blocks are written; reading back parses them in parallel, and only the
 digests, which are sequential by nature, stream a conversation's blocks through one task, in constant memory.
 
 Defined results: a null text or role is an empty one; rows of equal turn are ordered by role and text, null turns come
@@ -21,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -37,13 +38,13 @@ ASSISTANT = "assistant"
 
 @dataclass(frozen=True)
 class Template:
-    """render: a black box. memory: how many turns before a turn may change how it is rendered; None: all of them.
+    """render: a black box. memory: how many turns before a turn may change how it is rendered; None: all of them, or unknown.
     parse: from an output back to the messages. plain: an escaped text as it was."""
 
     render: Callable[[list[Message]], str]
     parse: Callable[[str], list[Message]]
     plain: Callable[[str], str]
-    memory: int | None = 1
+    memory: int | None = None
 
 
 _OPEN = re.compile(r"[<\[\]]")
@@ -155,8 +156,21 @@ def positions(conversations: DataFrame) -> DataFrame:
 
 
 def format_blocks(conversations: DataFrame, template: Template = MARKED, block: int = BLOCK) -> DataFrame:
-    """conv_id, block, n_turns, formatted, loss (flat list of begins and ends), turns (the same), rewrites."""
+    """conv_id, block, n_turns, formatted, loss (flat list of begins and ends), turns (the same), rewrites. Written."""
     rows = positions(conversations)
+    got = written(_rendered(rows, template, block), "formatted")
+    if template.memory is None:
+        return got
+    again = got.where("rewrites").select(F.col("conv_id").alias("__c")).distinct()
+    if again.isEmpty():
+        return got
+    of_again = F.col("conv_id").eqNullSafe(F.col("__c"))
+    whole = _rendered(rows.join(again, of_again, "left_semi"), replace(template, memory=None), block)
+    return written(got.join(again, of_again, "left_anti").union(whole), "formatted-whole")
+
+
+def _rendered(rows: DataFrame, template: Template, block: int) -> DataFrame:
+    """From positions: a row for each block, or for each conversation where the template may look at all turns."""
     if template.memory is None:
         rows = rows.withColumn("blocks", F.array(F.lit(0).cast("long")))
     else:
@@ -246,4 +260,4 @@ def read_back(blocks: DataFrame, template: Template = MARKED) -> DataFrame:
 
 def format_conversations(conversations: DataFrame, template: Template = MARKED, block: int = BLOCK) -> DataFrame:
     """Format, write, read back."""
-    return read_back(written(format_blocks(conversations, template, block), "formatted"), template)
+    return read_back(format_blocks(conversations, template, block), template)

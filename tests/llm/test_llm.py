@@ -498,6 +498,28 @@ def test_chat_rewritten_history():
     assert "".join(fine.text[a:b] for a, b in fine.turns) == fine.text
 
 
+@pytest.mark.parametrize("memory", [{}, {"memory": 1}, {"memory": None}])
+def test_chat_rewritten_history_of_long_conversations(spark, memory):
+    def last_thought_only(messages):
+        last = max((i for i, (r, _) in enumerate(messages) if r == "assistant"), default=-1)
+        return "".join(f"[{r}]{t if i == last or r != 'assistant' else t.split('|')[-1]}\n" for i, (r, t) in enumerate(messages))
+
+    def parse(output):
+        return [tuple(x[1:].split("]", 1)) for x in output.splitlines()]
+
+    template = chat.Template(last_thought_only, parse, lambda t: t, **memory)
+    talks = {c: [("assistant" if i % 2 else "user", f"think {i}|say {i}") for i in range(n)] for c, n in ((1, 50), (None, 37), (3, 3), (4, 2), (5, 0))}
+    rows = [(c, i, *m) for c, ms in talks.items() for i, m in enumerate(ms)]
+    got = {r.conv_id: r for r in chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3), template).collect()}
+    assert set(got) == {1, None, 3, 4}
+    for c, r in got.items():
+        whole = last_thought_only(talks[c])
+        assert (r.n_turns, r.formatted_chars, r.rewrites) == (len(talks[c]), len(whole), len(talks[c]) > 3)
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{x}\n{t}\n" for x, t in parse(whole)).encode()).hexdigest()
+        said = "".join(t for x, t in parse(whole) if x == "assistant")
+        assert (r.loss_chars, r.loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
 def test_chat_empty(spark):
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
