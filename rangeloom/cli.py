@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from .errors import IntervalError
 from .functions.bins import PRESETS
 from .operators.stats import bins_by_chrom
-from .sources import IntervalStore, discover, pack, print_tsv, random_bed, read_regions, write_tsv
+from .sources import IntervalStore, compare_sizes, discover, pack, print_tsv, random_bed, read_regions, write_tsv
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -32,6 +32,8 @@ def _parser() -> argparse.ArgumentParser:
     a = sub.add_parser("stats", help="figures on a store's bins")
     a.add_argument("input")
     a.add_argument("--show-bins", action="store_true")
+    a = sub.add_parser("sizes", help="what files or stores take on disk, against the first")
+    a.add_argument("paths", nargs="+")
     a = sub.add_parser("random-bed", help="a file of random intervals")
     a.add_argument("-o", "--output", required=True)
     a.add_argument("-n", "--num-records", type=int, default=1_000_000)
@@ -60,7 +62,10 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         print(store.report())
         if args.show_bins:
             for r in bins_by_chrom(store.rows(), store.bins).toLocalIterator():
-                print(f"{r.chrom}: {r.bins}")
+                print(f"{r.chrom}\t{r.bin_id}")
+    elif args.command == "sizes":
+        for r in compare_sizes(spark, *args.paths).collect():
+            print(f"{r.path}\t{r.bytes}\t{r.ratio:.2f}x")
     else:
         write_tsv(random_bed(spark, args.num_records, args.seed), args.output)
 

@@ -83,18 +83,24 @@ class Bins:
             out = F.when(bin_id >= first, F.lit(i)).otherwise(out)
         return out
 
+    def _inside(self, start: Column, end: Column) -> tuple[Column, Column, Column]:
+        """First and last place of the part within the covered range, and whether there is one."""
+        first, last = F.greatest(start, F.lit(0).cast("long")), F.least(end, F.lit(self.limit).cast("long")) - 1
+        return first, last, (end > start) & (last >= first)
+
     def bins_of(self, start: Column, end: Column) -> Column:
-        """The ids of all bins that [start, end) touches, finest level first. The part beyond the covered range has no bins."""
-        last = F.least(end, F.lit(self.limit).cast("long")) - 1
-        parts = [F.sequence(F.lit(first).cast("long") + F.shiftright(start, sh), F.lit(first).cast("long") + F.shiftright(last, sh)) for _, first, sh in self.finest_first]
-        return F.when((end > start) & (start < self.limit), F.flatten(F.array(*parts))).otherwise(F.array().cast("array<long>"))
+        """The ids of all bins that [start, end) touches, finest level first. What is beyond the covered range has no bins."""
+        first, last, some = self._inside(start, end)
+        parts = [F.sequence(F.lit(own).cast("long") + F.shiftright(first, sh), F.lit(own).cast("long") + F.shiftright(last, sh)) for _, own, sh in self.finest_first]
+        return F.when(some, F.flatten(F.array(*parts))).otherwise(F.array().cast("array<long>"))
 
     def fan_out(self, start: Column, end: Column) -> Column:
         """How many bins [start, end) touches, without listing them."""
+        first, last, some = self._inside(start, end)
         total = F.lit(0).cast("long")
         for _, _, sh in self.finest_first:
-            total = total + F.shiftright(end - 1, sh) - F.shiftright(start, sh) + 1
-        return total
+            total = total + F.shiftright(last, sh) - F.shiftright(first, sh) + 1
+        return F.when(some, total).when(start.isNotNull() & end.isNotNull(), F.lit(0).cast("long"))
 
     # Plain Python, for single intervals and tests
 
@@ -102,21 +108,27 @@ class Bins:
         if end <= start:
             raise InvalidIntervalError(f"invalid interval: {start}-{end}")
         for _, first, sh in self.finest_first:
-            if start >> sh == (end - 1) >> sh and end <= self.limit:
+            if start >> sh == (end - 1) >> sh and start >= 0 and end <= self.limit:
                 return first + (start >> sh)
         raise CoordinateRangeError(f"{start}-{end} is beyond {self.limit}")
 
     def bin_ids(self, start: int, end: int) -> list[int]:
-        return [first + b for _, first, sh in self.finest_first for b in range(start >> sh, ((end - 1) >> sh) + 1)]
+        first, last = max(start, 0), min(end, self.limit) - 1
+        return [own + b for _, own, sh in self.finest_first for b in range(first >> sh, (last >> sh) + 1)] if end > start and last >= first else []
 
     def register(self, spark: SparkSession, prefix: str) -> None:
-        """SQL functions <prefix>_bin(start, end), <prefix>_bins(start, end) and <prefix>_level(bin), seen by Catalyst."""
+        """SQL functions <prefix>_bin(start, end), <prefix>_bins(start, end) and <prefix>_level(bin), seen by Catalyst.
+
+        They do as bin_of, bins_of and level_of: the first fails beyond the covered range, the second leaves out what is there.
+        """
         case = " ".join(f"WHEN shiftright(s, {sh}) = shiftright(e - 1, {sh}) THEN {first} + shiftright(s, {sh})" for _, first, sh in self.finest_first)
-        parts = ", ".join(f"sequence({first} + shiftright(s, {sh}), {first} + shiftright(e - 1, {sh}))" for _, first, sh in self.finest_first)
+        bad = f"WHEN s < 0 OR e > {self.limit} OR e <= s THEN CAST(raise_error(concat('interval does not fit the bin scheme: ', s, '-', e)) AS BIGINT)"
+        parts = ", ".join(f"sequence({first} + shiftright(greatest(s, 0), {sh}), {first} + shiftright(least(e, {self.limit}) - 1, {sh}))" for _, first, sh in self.finest_first)
+        some = f"e > s AND e > 0 AND s < {self.limit}"
         level = " ".join(f"WHEN b >= {first} THEN {i}" for i, first in reversed(list(enumerate(self.offsets))))
         for name, args, kind, body in (
-            ("bin", "s BIGINT, e BIGINT", "BIGINT", f"CASE {case} END"),
-            ("bins", "s BIGINT, e BIGINT", "ARRAY<BIGINT>", f"flatten(array({parts}))"),
+            ("bin", "s BIGINT, e BIGINT", "BIGINT", f"CASE {bad} {case} END"),
+            ("bins", "s BIGINT, e BIGINT", "ARRAY<BIGINT>", f"CASE WHEN {some} THEN flatten(array({parts})) ELSE CAST(array() AS ARRAY<BIGINT>) END"),
             ("level", "b BIGINT", "INT", f"CASE {level} END"),
         ):
             spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}_{name}({args}) RETURNS {kind} RETURN {body}")

@@ -1,11 +1,11 @@
 """Overlap joins, index tables and statistics."""
 
 from .index import bin_index, check_sorted, linear_index, linear_lookup, sequence_index, unsorted
-from .overlap import coverage, in_index_order, lookup, lookup_region, map_overlapping, overlap_counts, overlap_join, overlap_left, overlap_semi, overlapping_records, overlaps
-from .stats import bin_occupancy, bin_summary, bins_by_chrom, describe, level_stats, report, size_histogram, size_stats, summary
+from .overlap import Spread, coverage, in_index_order, lookup, lookup_region, map_overlapping, measure, overlap_counts, overlap_join, overlap_left, overlap_semi, overlapping_records, overlaps
+from .stats import bin_occupancy, bin_summary, bins_by_chrom, describe, descriptors, level_stats, remarks, report, size_histogram, size_stats, summary
 
 __all__ = [
-    "bin_index", "bin_occupancy", "bin_summary", "bins_by_chrom", "check_sorted", "coverage", "describe", "in_index_order", "level_stats", "linear_index",
-    "linear_lookup", "lookup", "lookup_region", "map_overlapping", "overlap_counts", "overlap_join", "overlap_left", "overlap_semi", "overlapping_records",
-    "overlaps", "report", "sequence_index", "size_histogram", "size_stats", "summary", "unsorted",
+    "Spread", "bin_index", "bin_occupancy", "bin_summary", "bins_by_chrom", "check_sorted", "coverage", "describe", "descriptors", "in_index_order", "level_stats", "linear_index",
+    "linear_lookup", "lookup", "lookup_region", "map_overlapping", "measure", "overlap_counts", "overlap_join", "overlap_left", "overlap_semi", "overlapping_records",
+    "overlaps", "remarks", "report", "sequence_index", "size_histogram", "size_stats", "summary", "unsorted",
 ]

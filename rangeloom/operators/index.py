@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import UnsortedFeaturesError
@@ -21,13 +21,45 @@ def sequence_index(features: DataFrame, chrom: str, bins: Bins | str = DEFAULT)
     return bin_index(features.where(F.col("chrom") == chrom), bins)
 
 
+#: Log2 of how many windows, or blocks of windows, make a block of the next level.
+_BLOCK = 6
+
+
+def _blocks(first: Column, last: Column, levels: int, level: int = 0) -> list[Column]:
+    """Windows first to last as few blocks: arrays of (level, number). A block of a level is 2**_BLOCK of the level below."""
+    listed = lambda a, b: F.when(b >= a, F.transform(F.sequence(a, b), lambda x: F.struct(F.lit(level).alias("level"), x.alias("no")))).otherwise(F.array().cast("array<struct<level:int,no:bigint>>"))
+    if level + 1 == levels:
+        return [listed(first, last)]
+    a, b = F.shiftright(first + ((1 << _BLOCK) - 1), _BLOCK), F.shiftright(last + 1, _BLOCK)  # whole blocks: a to b - 1
+    whole = b > a
+    # what stands before and after the whole blocks; without any, all of it
+    before = listed(first, F.when(whole, F.shiftleft(a, _BLOCK) - 1).otherwise(last))
+    after = listed(F.when(whole, F.shiftleft(b, _BLOCK)).otherwise(last + 1), last)
+    return [before, after, *_blocks(a, b - 1, levels, level + 1)]
+
+
 def linear_index(features: DataFrame, bins: Bins | str = DEFAULT, order: str = "ord", start: str = "start", end: str = "end") -> DataFrame:
-    """chrom, win, min_ord: the first feature, by order, that touches each window."""
+    """chrom, win, min_ord: the first feature, by order, that touches each window.
+
+    A feature gives at most 2**7 rows for each level of blocks, however long it is; blocks are reduced to one row each before
+    they are opened to those of the level below, so long features that lie over each other aren't listed window by window.
+    """
     shift = scheme(bins).linear_shift
     if shift is None:
         raise ValueError("this bin scheme has no linear index")
-    wins = F.sequence(F.shiftright(F.col(start), shift), F.shiftright(F.col(end) - 1, shift))
-    return features.select("chrom", F.explode(wins).alias("win"), F.col(order).alias("__o")).groupBy("chrom", "win").agg(F.min("__o").alias("min_ord"))
+    first, last = F.shiftright(F.col(start).cast("long"), shift), F.shiftright(F.col(end).cast("long") - 1, shift)
+    longest = features.agg(F.max(last - first + 1)).first()[0] or 1
+    levels = 1
+    while longest >> _BLOCK * levels:
+        levels += 1
+    wins = F.concat(*_blocks(F.col("__a"), F.col("__b"), levels))
+    rows = features.select("chrom", F.col(order).alias("__o"), first.alias("__a"), last.alias("__b")).select("chrom", "__o", F.explode(wins).alias("w"))
+    own = rows.groupBy("chrom", "w.level", "w.no").agg(F.min("__o").alias("min_ord"))
+    found = own.where(F.col("level") == levels - 1).select("chrom", "no", "min_ord")
+    for level in reversed(range(levels - 1)):
+        opened = found.select("chrom", F.explode(F.sequence(F.shiftleft("no", _BLOCK), F.shiftleft("no", _BLOCK) + ((1 << _BLOCK) - 1))).alias("no"), "min_ord")
+        found = own.where(F.col("level") == level).select("chrom", "no", "min_ord").union(opened).groupBy("chrom", "no").agg(F.min("min_ord").alias("min_ord"))
+    return found.withColumnRenamed("no", "win")
 
 
 def linear_lookup(regions: DataFrame, linear: DataFrame, bins: Bins | str = DEFAULT) -> DataFrame:
@@ -36,10 +68,27 @@ def linear_lookup(regions: DataFrame, linear: DataFrame, bins: Bins | str = DEFA
     return regions.withColumn("win", F.shiftright(F.col("qstart"), shift)).join(linear, ["chrom", "win"], "left").drop("win")
 
 
+#: About how many features of a sequence are looked at together.
+ORDERED = 1 << 20
+
+
 def unsorted(features: DataFrame, order: str = "ord", start: str = "start") -> DataFrame:
-    """The features that start before the one before them in their sequence, with that one's start as previous."""
-    before = F.lag(start).over(Window.partitionBy("chrom").orderBy(order))
-    return features.withColumn("previous", before).where(F.col("previous") > F.col(start))
+    """The features that start before the one before them in their sequence, with that one's start as previous.
+
+    The order (numbers, unique in a sequence) is cut into ranges, so that a sequence is dealt out to many tasks; a range's first
+    feature is held against the last start of the ranges before it, of which there is a row for each range and sequence.
+    """
+    n = features.count()
+    cuts = features.agg(F.percentile_approx(order, [i / (n // ORDERED + 1) for i in range(1, n // ORDERED + 1)], 10_000)).first()[0] if n > ORDERED else []
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    rows = features.withColumn("__part", part)
+    own = Window.partitionBy("chrom", "__part").orderBy(order)
+    lasts = rows.groupBy("chrom", "__part").agg(F.max_by(F.struct(start), order).alias("__last"))
+    lasts = lasts.select(F.col("chrom").alias("__c"), F.col("__part").alias("__p"), F.lag("__last").over(Window.partitionBy("chrom").orderBy("__part")).alias("__last"))
+    rows = rows.withColumn("__lag", F.lag(F.struct(start)).over(own))
+    if cuts:
+        rows = rows.join(lasts, F.col("chrom").eqNullSafe(F.col("__c")) & (F.col("__part") == F.col("__p")), "left").withColumn("__lag", F.coalesce("__lag", "__last"))
+    return rows.select(*features.columns, F.col("__lag")[start].alias("previous")).where(F.col("previous") > F.col(start))
 
 
 def check_sorted(features: DataFrame, order: str = "ord", start: str = "start") -> None:

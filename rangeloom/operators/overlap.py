@@ -1,24 +1,39 @@
 """Overlap joins on half-open intervals.
 
-A range join has no equality, so Spark alone would pair everything of a sequence. Here every feature has one bin and
-every region all bins that it touches; features and regions join on (sequence, bin) with the exact overlap condition
-as residual. A feature sits in one bin and a region's bins are distinct, so no pair comes twice.
+A range join has no equality, so Spark alone would pair everything of a sequence. Here features are put into classes by
+length: class k holds lengths up to 2**k, and a feature's bin is its start >> k. A region visits, for each class in use,
+the bins in which a feature that overlaps it may start, that is those of [qstart - 2**k + 1, qend). Features and
+regions join on (sequence, class, bin) with the exact overlap condition as residual. A feature has one bin and a region
+visits a bin once, so no pair comes twice, and a region meets about the features that begin within a length of it.
+
+A region that would visit more than `FAN_OUT` bins of a class visits bins 2**8 times as wide, or wider still; features
+have a code for each width in use. Which classes, widths and how many visits there are is measured: one aggregate over
+the features' starts and ends (`Spread`; a store keeps it) and one over the regions. Visits that measure at most
+`BROADCAST_BYTES` are broadcast; others are shuffled as the features are and merged, and Spark splits hot bins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 from ..errors import InvalidIntervalError
 from ..functions.bins import DEFAULT, Bins, scheme
 from ..functions.regions import parse_region
 
-#: Regions that touch more bins than this are joined by wider bins.
-FAN_OUT = 512
-_F, _Q = "__f_", "__q_"
+#: Most bins of a class that a region visits, and the step to wider bins, in bits.
+FAN_OUT, WIDER = 512, 8
+#: Log2 of the finest bins: at least, and where the regions' lengths aren't known.
+FINEST, BASE = 9, 14
+#: Most bytes of visits that are broadcast.
+BROADCAST_BYTES = 8 << 20
+#: Most visits that the regions of a task are to become.
+DEALT = 1 << 18
+_Q = "__q_"
 
 
 def overlaps(start: Column, end: Column, qstart: Column, qend: Column) -> Column:
@@ -32,81 +47,208 @@ def checked(start: Column, end: Column) -> Column:
     return F.when(end <= start, F.raise_error(text).cast("long")).otherwise(start)
 
 
-def _wide(bins: Bins) -> Bins:
-    """A scheme over the same range whose finest level has no more than about FAN_OUT / 2 bins."""
-    level = max(i for i, n in enumerate(bins.sizes) if n <= FAN_OUT // 2)
-    return Bins(bins.shift(level), bins.level_shift, level + 1, None, bins.label)
+@dataclass(frozen=True)
+class Spread:
+    """What a join needs to know of its features: log2 of the lengths in use, rounded up, and the least and greatest start."""
 
+    classes: tuple[int, ...] = ()
+    first: int = 0
+    last: int = -1
 
-def _binned(features: DataFrame, regions: DataFrame, bins: Bins, how: str, cols: tuple[str, ...]) -> DataFrame:
-    chrom, start, end, qchrom, qstart, qend = cols
-    f = features.withColumn(_F + "bin", bins.bin_of(F.col(start), F.col(end)))
-    q = regions.withColumn(_Q + "bin", F.explode(bins.bins_of(F.col(qstart), F.col(qend))))
-    on = (F.col(chrom) == F.col(qchrom)) & (F.col(_F + "bin") == F.col(_Q + "bin")) & overlaps(F.col(start), F.col(end), F.col(qstart), F.col(qend))
-    return f.join(q, on, how).drop(_F + "bin", _Q + "bin")
+
+def _class_of(start: Column, end: Column) -> Column:
+    """log2 of the length, rounded up (1 at least); an error where end is not above start."""
+    text = F.concat(F.lit("invalid interval: "), start.cast("string"), F.lit("-"), end.cast("string"))
+    return F.length(F.bin(F.when(end <= start, F.raise_error(text).cast("long")).otherwise(end - start - 1)))
+
+
+def measure(features: DataFrame, start: str = "start", end: str = "end") -> Spread:
+    """One aggregate over the starts and ends, of at most 64 rows."""
+    s, e = F.col(start).cast("long"), F.col(end).cast("long")
+    rows = [r for r in features.select(_class_of(s, e).alias("k"), s.alias("s")).groupBy("k").agg(F.min("s").alias("a"), F.max("s").alias("b")).collect() if r.k is not None]
+    return Spread(tuple(sorted(r.k for r in rows)), min(r.a for r in rows), max(r.b for r in rows)) if rows else Spread()
+
+
+#: Classes and widths in use, each as (class, width, whether it is the class's widest); width 0 is the finest.
+Kinds = list[tuple[int, int, bool]]
+
+
+def kinds_of(spread: Spread, base: int) -> Kinds:
+    """All that regions may need, with no class below base."""
+    out: Kinds = []
+    for k in sorted({max(base, k) for k in spread.classes}):
+        n = 1
+        while ((spread.last - spread.first) >> k + WIDER * (n - 1)) + 2 > FAN_OUT:
+            n += 1
+        out += [(k, j, j == n - 1) for j in range(n)]
+    return out
+
+
+@dataclass(frozen=True)
+class _Sides:
+    """Both sides, to be given codes: a bin, its class and its width in one number."""
+
+    features: DataFrame
+    regions: DataFrame
+    spread: Spread
+    cols: tuple[str, ...]  # chrom, start, end, qchrom, qstart, qend
+    kinds: Kinds
+    small: bool | None = None  # None: not known
+
+    def visits(self) -> DataFrame:
+        """Each region with the classes and widths that it uses: __a and __b, its first and last bin, and __kind."""
+        qs, qe = (F.col(c).cast("long") for c in self.cols[4:])
+        first, last = (F.lit(x).cast("long") for x in (self.spread.first, self.spread.last))
+        kinds = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(k + WIDER * j).alias("sh"), F.lit(j).alias("j"), F.lit(widest).alias("widest")) for k, j, widest in self.kinds))
+        out = self.regions.withColumn(_Q + "kind", F.explode(kinds if self.kinds else F.expr("CAST(array() AS array<struct<k:int,sh:int,j:int,widest:boolean>>)")))
+        k, sh, j = (F.col(f"{_Q}kind.{c}") for c in ("k", "sh", "j"))
+        # where a feature of the class that overlaps the region may start
+        a = F.greatest(F.greatest(qs, first) - F.call_function("shiftleft", F.lit(1).cast("long"), k) + 1, first)
+        out = out.withColumns({_Q + "a": a, _Q + "b": F.least(qe - 1, last)})
+        shifted = lambda x, sh: F.call_function("shiftright", F.col(_Q + x), sh)
+        few = shifted("b", sh) - shifted("a", sh) < FAN_OUT
+        many = shifted("b", sh - WIDER) - shifted("a", sh - WIDER) >= FAN_OUT
+        out = out.where((F.col(_Q + "b") >= F.col(_Q + "a")) & (F.col(f"{_Q}kind.widest") | few) & ((j == 0) | many))
+        return out.withColumns({_Q + "a": shifted("a", sh), _Q + "b": shifted("b", sh), _Q + "kind": k * 8 + j})
+
+    def coded_features(self, code: str) -> DataFrame:
+        s, e = (F.col(c).cast("long") for c in self.cols[1:3])
+        k = F.greatest(_class_of(s, e), F.lit(min((k for k, *_ in self.kinds), default=BASE)))
+        # never null, so that no check for it is computed beside it; no region visits the least number
+        codes = [F.coalesce(F.call_function("shiftright", s, k + WIDER * j) * 512 + (k * 8 + j), F.lit(-(1 << 63)).cast("long")) for j in sorted({j for _, j, _ in self.kinds}) or [0]]
+        return self.features.withColumn(code, codes[0] if len(codes) == 1 else F.explode(F.array(*codes)))
+
+    def coded_regions(self, code: str) -> DataFrame:
+        at = lambda x: F.col(_Q + x) * 512 + F.col(_Q + "kind")
+        out = self.visits().withColumn(code, F.explode(F.sequence(at("a"), at("b"), F.lit(512).cast("long")))).drop(_Q + "a", _Q + "b", _Q + "kind")
+        return out if self.small is None else F.broadcast(out) if self.small else out.hint("merge")
+
+    def join(self, how: str) -> DataFrame:
+        chrom, start, end, qchrom, qstart, qend = self.cols
+        code = _free(self.features.columns + self.regions.columns, "__code")
+        f, q = self.coded_features(code), self.coded_regions(_Q + code)
+        on = (F.col(code) == F.col(_Q + code)) & (F.col(chrom) == F.col(qchrom)) & overlaps(F.col(start), F.col(end), F.col(qstart), F.col(qend))
+        return f.join(q, on, how).drop(code, _Q + code)
+
+    def by_width(self) -> list[_Sides]:
+        """The same, one width at a time: a feature has one code in each."""
+        return [replace(self, kinds=[k for k in self.kinds if k[1] == j]) for j in sorted({j for _, j, _ in self.kinds}) or [0]]
+
+
+def _free(taken: list[str], name: str) -> str:
+    low = {c.lower() for c in taken}
+    while name.lower() in low or (_Q + name).lower() in low:
+        name = f"_{name}"
+    return name
+
+
+def _width(df: DataFrame) -> Column:
+    """About the bytes of a row."""
+    total = F.lit(16)
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            total = total + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) + 16
+        elif isinstance(f.dataType, (ArrayType, MapType, StructType)):
+            total = total + F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))) + 16
+        else:
+            total = total + 8
+    return total.cast("long")
+
+
+def _sides(features: DataFrame, regions: DataFrame, bins: Bins | str | None, cols: tuple[str, ...], spread: Spread | None) -> _Sides:
+    """Measure both sides. bins: a scheme beyond whose range a feature is an error."""
+    start, end, qstart, qend = cols[1], cols[2], cols[4], cols[5]
+    spread = spread or measure(features, start, end)
+    if bins is not None:
+        bins = scheme(bins)
+        text = F.concat(F.lit("interval does not fit the bin scheme: "), F.col(start).cast("string"), F.lit("-"), F.col(end).cast("string"))
+        out = (F.col(start) < 0) | (F.col(end) > bins.limit)
+        features = features.withColumn(start, F.when(out, F.raise_error(text).cast(features.schema[start].dataType)).otherwise(F.col(start)))
+    if regions.isStreaming:
+        return _Sides(features, regions, spread, cols, kinds_of(spread, BASE))
+    length = (F.least(F.col(qend).cast("long"), F.lit(spread.last + 1).cast("long")) - F.greatest(F.col(qstart).cast("long"), F.lit(spread.first).cast("long"))).cast("double")
+    # bins about as long as a middling region; a few very long ones say nothing of the others
+    typical = regions.agg(F.percentile_approx(F.greatest(length, F.lit(1.0)), 0.5, 1000)).first()[0]
+    every = _Sides(features, regions, spread, cols, kinds_of(spread, max(FINEST, int(typical).bit_length() - 1) if typical else BASE))
+    n = F.col(_Q + "b") - F.col(_Q + "a") + 1
+    # at most a row for each class and width
+    found = {r[0]: r for r in every.visits().withColumn(_Q + "task", F.spark_partition_id()).groupBy(_Q + "kind").agg(F.sum(n).alias("n"), F.sum(n * _width(regions)).alias("bytes"), F.approx_count_distinct(_Q + "task").alias("tasks")).collect()}
+    visits, tasks = sum(r.n for r in found.values()), max((r.tasks for r in found.values()), default=1)
+    if visits > DEALT * tasks:  # few tasks hold the regions: deal them out before each becomes many rows
+        regions = regions.repartition(-(-visits // DEALT))
+    used = [k for k in every.kinds if k[0] * 8 + k[1] in found]
+    return _Sides(features, regions, spread, cols, used, sum(r.bytes for r in found.values()) <= BROADCAST_BYTES)
+
+
+def _regions(regions: DataFrame, region_chrom: str, qs: str, qe: str, strict: bool) -> DataFrame:
+    """The regions with all columns prefixed, checked or without the invalid ones."""
+    q = regions.withColumnsRenamed({c: _Q + c for c in regions.columns})
+    if strict:
+        return q.withColumn(_Q + qs, checked(F.col(_Q + qs), F.col(_Q + qe)))
+    return q.where(F.col(_Q + qe) > F.col(_Q + qs))
 
 
-def overlap_join(features: DataFrame, regions: DataFrame, bins: Bins | str = DEFAULT, *, chrom: str = "chrom", start: str = "start", end: str = "end", region_chrom: str = "chrom", region_start: str = "qstart", region_end: str = "qend", strict: bool = True) -> DataFrame:
+def overlap_join(features: DataFrame, regions: DataFrame, bins: Bins | str | None = None, *, chrom: str = "chrom", start: str = "start", end: str = "end", region_chrom: str = "chrom", region_start: str = "qstart", region_end: str = "qend", strict: bool = True, spread: Spread | None = None) -> DataFrame:
     """A row for each overlapping pair: all feature columns, then the region columns but its sequence name.
 
-    strict: a region whose end is not above its start fails the query; otherwise it matches nothing.
+    A region column named like a feature column comes as region_<name>. strict: a region whose end is not above its start fails
+    the query; otherwise it matches nothing. bins: a scheme beyond whose range a feature fails the query. spread: of the features,
+    where it is known. Both sides are read once to be measured and once to be joined.
     """
-    bins = scheme(bins)
-    keep = [c for c in regions.columns if c != region_chrom]
-    q = regions.withColumnRenamed(region_chrom, _Q + "chrom").withColumnsRenamed({c: _Q + c for c in keep})
-    qs, qe = _Q + region_start, _Q + region_end
-    if strict:
-        q = q.withColumn(qs, checked(F.col(qs), F.col(qe)))
-    else:
-        q = q.where(F.col(qe) > F.col(qs))
-    cols = (chrom, start, end, _Q + "chrom", qs, qe)
-    wide = bins.fan_out(F.col(qs), F.least(F.col(qe), F.lit(bins.limit).cast("long"))) > FAN_OUT
-    out = _binned(features, q.where(~wide), bins, "inner", cols)
-    # wide regions meet the same features in wider bins: their lists stay short, too
-    out = out.unionByName(_binned(features, q.where(wide), _wide(bins), "inner", cols))
-    named = [F.col(_Q + c).alias(c) for c in keep if c not in features.columns]
-    return out.select(*features.columns, *named)
-
-
-def overlapping_records(features: DataFrame, regions: DataFrame, bins: Bins | str = DEFAULT, **names) -> DataFrame:
+    q = _regions(regions, region_chrom, region_start, region_end, strict)
+    out = _sides(features, q, bins, (chrom, start, end, _Q + region_chrom, _Q + region_start, _Q + region_end), spread).join("inner")
+    taken, named = list(features.columns), []
+    for c in regions.columns:
+        if c != region_chrom:
+            name = c
+            while name.lower() in map(str.lower, taken):
+                name = f"region_{name}"
+            taken.append(name)
+            named.append(F.col(f"`{_Q}{c}`").alias(name))
+    return out.select(*(F.col(f"`{c}`") for c in features.columns), *named)
+
+
+def overlapping_records(features: DataFrame, regions: DataFrame, bins: Bins | str | None = None, **names) -> DataFrame:
     """The feature side only, once for each region that it overlaps."""
     return overlap_join(features, regions, bins, **names).select(*features.columns)
 
 
-def overlap_counts(features: DataFrame, regions: DataFrame, key: str = "qid", bins: Bins | str = DEFAULT, zeros: bool = False, **names) -> DataFrame:
-    """key, n: overlapping features of each region; zeros: also of regions that have none."""
+def overlap_counts(features: DataFrame, regions: DataFrame, key: str = "qid", bins: Bins | str | None = None, zeros: bool = False, **names) -> DataFrame:
+    """key, n: overlapping features of each region; zeros: also of regions that have none. Regions of one key, null too, count together."""
     n = overlap_join(features, regions, bins, **names).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    if not zeros:
-        return n
-    return regions.select(key).join(n, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"))
+    return _for_each(regions, key, n) if zeros else n
 
 
-def overlap_semi(features: DataFrame, regions: DataFrame, bins: Bins | str = DEFAULT, *, anti: bool = False, chrom: str = "chrom", start: str = "start", end: str = "end") -> DataFrame:
-    """Extension: the features that overlap any region (anti: none), each once. Regions: chrom, qstart, qend."""
-    bins = scheme(bins)
-    q = regions.select(F.col("chrom").alias(_Q + "chrom"), F.col("qstart").alias(_Q + "s"), F.col("qend").alias(_Q + "e")).where(F.col(_Q + "e") > F.col(_Q + "s"))
-    cols = (chrom, start, end, _Q + "chrom", _Q + "s", _Q + "e")
-    wide = bins.fan_out(F.col(_Q + "s"), F.least(F.col(_Q + "e"), F.lit(bins.limit).cast("long"))) > FAN_OUT
-    if anti:
-        return _binned(_binned(features, q.where(~wide), bins, "left_anti", cols), q.where(wide), _wide(bins), "left_anti", cols)
-    first = _binned(features, q.where(~wide), bins, "left_semi", cols)
-    rest = _binned(_binned(features, q.where(~wide), bins, "left_anti", cols), q.where(wide), _wide(bins), "left_semi", cols)
-    return first.unionByName(rest)
+def _for_each(regions: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """The regions' keys with what was found of them, or zeros."""
+    found = found.withColumnRenamed(key, _Q + "key")
+    zero = F.lit(0).cast("long")
+    return regions.select(key).join(found, F.col(key).eqNullSafe(F.col(_Q + "key")), "left").select(key, *(F.coalesce(c, zero).alias(c) for c in found.columns if c != _Q + "key"))
+
 
+def overlap_semi(features: DataFrame, regions: DataFrame, bins: Bins | str | None = None, *, anti: bool = False, chrom: str = "chrom", start: str = "start", end: str = "end", region_chrom: str = "chrom", region_start: str = "qstart", region_end: str = "qend", strict: bool = True, spread: Spread | None = None) -> DataFrame:
+    """Extension: the features that overlap any region (anti: none), each once. Regions are checked as in overlap_join."""
+    q = _regions(regions.select(region_chrom, region_start, region_end), region_chrom, region_start, region_end, strict)
+    sides = _sides(features, q, bins, (chrom, start, end, _Q + region_chrom, _Q + region_start, _Q + region_end), spread)
+    first, *wider = sides.by_width()
+    rest, found = first.join("left_anti"), first.join("left_semi")
+    for own in wider:  # only where some regions are very wide
+        own = replace(own, features=rest)
+        found, rest = found.unionByName(own.join("left_semi")), own.join("left_anti")
+    return rest if anti else found
 
-def overlap_left(features: DataFrame, regions: DataFrame, key: str = "qid", bins: Bins | str = DEFAULT) -> DataFrame:
-    """Extension: every region (chrom, qstart, qend, key) with its features, or nulls."""
-    pairs = overlap_join(features, regions, bins).withColumnRenamed("chrom", _F + "chrom")
-    own = pairs.select(key, _F + "chrom", *(c for c in features.columns if c != "chrom")).withColumnRenamed(key, _F + "key")
-    return regions.join(own, F.col(key) == F.col(_F + "key"), "left").drop(_F + "key", _F + "chrom")
 
+def overlap_left(features: DataFrame, regions: DataFrame, key: str = "qid", bins: Bins | str | None = None, **names) -> DataFrame:
+    """Extension: every region (chrom, qstart, qend, key) with its features, or nulls. The key, which may be null once, names a region."""
+    pairs = overlap_join(features, regions, bins, **names)
+    own = pairs.select(F.col(key).alias(_Q + "key"), *(c for c in features.columns if c != "chrom"))
+    return regions.join(own, F.col(key).eqNullSafe(F.col(_Q + "key")), "left").drop(_Q + "key")
 
-def coverage(features: DataFrame, regions: DataFrame, key: str = "qid", bins: Bins | str = DEFAULT) -> DataFrame:
+
+def coverage(features: DataFrame, regions: DataFrame, key: str = "qid", bins: Bins | str | None = None, **names) -> DataFrame:
     """Extension: key, n, bases: features over each region and the summed length of their overlaps."""
     both = F.least("end", "qend") - F.greatest("start", "qstart")
-    pairs = overlap_join(features, regions, bins).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(both).alias("bases"))
-    zero = F.lit(0).cast("long")
-    return regions.select(key).join(pairs, key, "left").select(key, F.coalesce("n", zero).alias("n"), F.coalesce("bases", zero).alias("bases"))
+    return _for_each(regions, key, overlap_join(features, regions, bins, **names).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(both).alias("bases")))
 
 
 def lookup(features: DataFrame, chrom: str, qstart: int, qend: int, *, chrom_col: str = "chrom", start: str = "start", end: str = "end") -> DataFrame:

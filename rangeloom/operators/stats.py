@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bins import DEFAULT, Bins, scheme
@@ -32,19 +32,38 @@ def level_stats(features: DataFrame, bins: Bins | str = DEFAULT, **names) -> Dat
     )
 
 
+#: Most ranges of sizes that are counted at once in search of the median.
+RANGES = 1 << 16
+
+
+def _place(groups: list[tuple[int, int, int]], rank: int) -> tuple[int, int, int]:
+    """Of ranges (least, greatest, count) in order: the one that holds the rank, from 0, and the rank within it."""
+    for low, high, n in groups:
+        if rank < n:
+            return low, high, rank
+        rank -= n
+    raise ValueError("rank beyond the ranges")
+
+
 def size_stats(features: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
     """One row: min_size, max_size, mean_size, median_size (the upper one of two middle sizes); zeros without features.
 
-    The exact median keeps a count for each distinct size, in partial aggregates.
+    The exact median is found by counts: of sizes by their number of bits (at most 65 rows), then of the right ones by at
+    most `RANGES` ranges, until a range is one size. Nothing larger than that meets in one place.
     """
-    zero = F.lit(0).cast("long")
-    sizes = features.select((F.col(end) - F.col(start)).alias("size"))
-    return sizes.agg(
-        F.coalesce(F.min("size"), zero).alias("min_size"),
-        F.coalesce(F.max("size"), zero).alias("max_size"),
-        F.coalesce(F.avg("size"), F.lit(0.0)).alias("mean_size"),
-        F.coalesce(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY size DESC)").cast("long"), zero).alias("median_size"),
-    )
+    sizes = features.select((F.col(end).cast("long") - F.col(start).cast("long")).alias("size")).where("size IS NOT NULL")
+    count = F.count(F.lit(1)).alias("n")
+    found = sizes.groupBy(F.length(F.bin("size"))).agg(count, F.sum(F.col("size").cast("decimal(38,0)")).alias("total"), F.min("size").alias("a"), F.max("size").alias("b")).collect()
+    n = sum(r.n for r in found)
+    row = (0, 0, 0.0, 0)
+    if n:
+        low, high, rank = _place(sorted((r.a, r.b, r.n) for r in found), n // 2)
+        while low < high:
+            width = -(-(high - low + 1) // RANGES)
+            ranges = sizes.where(F.col("size").between(low, high)).groupBy(F.expr(f"(size - {low}L) div {width}L").alias("i")).agg(count).collect()
+            low, high, rank = _place(sorted((low + r.i * width, min(high, low + (r.i + 1) * width - 1), r.n) for r in ranges), rank)
+        row = (min(r.a for r in found), max(r.b for r in found), float(sum(r.total for r in found) / n), low)
+    return features.sparkSession.createDataFrame([row], "min_size long, max_size long, mean_size double, median_size long")
 
 
 def size_histogram(features: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
@@ -80,15 +99,18 @@ def describe(bins: Bins | str) -> dict[str, object]:
     return {"schema": bins.label, "base_shift": bins.base_shift, "level_shift": bins.level_shift, "levels": bins.levels, "linear_index": bins.linear_shift is not None}
 
 
-def bins_by_chrom(features: DataFrame, bins: Bins | str = DEFAULT) -> DataFrame:
-    """chrom and the sorted list of its bins in use."""
-    return bin_occupancy(features, bins).groupBy("chrom").agg(F.sort_array(F.collect_set("bin_id")).alias("bins"))
+def descriptors(*schemes: Bins | str, spark: SparkSession) -> DataFrame:
+    """A row for each scheme: its label, shifts, levels, bins, and whether it has a linear index."""
+    rows = [(*describe(b).values(), scheme(b).total) for b in schemes]
+    return spark.createDataFrame(rows, "scheme string, base_shift int, level_shift int, levels int, linear_index boolean, total_bins long")
 
 
-def summary(features: DataFrame, bins: Bins | str = DEFAULT) -> str:
-    """Six lines on the index."""
-    bins = scheme(bins)
-    s = bin_summary(features, bins).first()
+def bins_by_chrom(features: DataFrame, bins: Bins | str = DEFAULT, **names) -> DataFrame:
+    """chrom, bin_id: the bins in use of each sequence, a row for each, in order."""
+    return bin_index(features, bins, **names).select("chrom", "bin_id").distinct().orderBy("chrom", "bin_id")
+
+
+def _summary(s: Row, bins: Bins) -> str:
     return "\n".join(
         [
             f"scheme            {bins.label}, {bins.levels} levels",
@@ -101,19 +123,32 @@ def summary(features: DataFrame, bins: Bins | str = DEFAULT) -> str:
     )
 
 
+def summary(features: DataFrame, bins: Bins | str = DEFAULT) -> str:
+    """Six lines on the index."""
+    bins = scheme(bins)
+    return _summary(bin_summary(features, bins).first(), bins)
+
+
 def report(features: DataFrame, bins: Bins | str = DEFAULT) -> str:
     """The summary, a line for each level, the sizes, and remarks on what stands out."""
     bins = scheme(bins)
     s, z = bin_summary(features, bins).first(), size_stats(features).first()
-    lines = [summary(features, bins), "", "level  bins used       of  features  per bin   most"]
+    lines = [_summary(s, bins), "", "level  bins used       of  features  per bin   most"]
     lines += [f"{r.level:5d}  {r.bins_used:9d} {r.total_bins:8d}  {r.features_count:8d}  {r.avg_features_per_bin:7.2f}  {r.max_features_in_bin:5d}" for r in level_stats(features, bins).orderBy("level").collect()]
     lines += ["", f"sizes: {z.min_size} to {z.max_size}, mean {z.mean_size:.2f}, median {z.median_size}", ""]
+    return "\n".join(lines + [f"- {text}" for text in remarks(s, bins)])
+
+
+def remarks(s: Row, bins: Bins | str) -> list[str]:
+    """What stands out in a row of bin_summary."""
+    label = scheme(bins).label
     # fixed values: the limits above or below which a figure is remarked on
-    remarks = [
+    found = [
         (s.bin_density > 100, "bins are crowded: finer bins would help"),
         (s.bin_density < 10, "bins hold few features each: space is well divided, at some cost in bins"),
-        (bins.label == "Dense" and s.bin_utilization < 30, "few of the dense bins are in use: the scheme may be too fine"),
-        (bins.label == "Sparse" and s.bin_density > 50, "sparse bins are crowded: expect hot bins"),
-        (bins.label not in ("Dense", "Sparse") and s.feature_overlap > 3, "features touch several bins each: many are large"),
+        (s.level_overhead > 2.0, "most features lie below the top level"),
+        (label == "Dense" and s.bin_utilization < 30, "few of the dense bins are in use: the scheme may be too fine"),
+        (label == "Sparse" and s.bin_density > 50, "sparse bins are crowded: expect hot bins"),
+        (label not in ("Dense", "Sparse") and s.feature_overlap > 3, "features touch several bins each: many are large"),
     ]
-    return "\n".join(lines + [f"- {text}" for holds, text in remarks if holds])
+    return [text for holds, text in found if holds]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import DENSE, PRESETS, SPARSE, TABIX, UCSC, Bins, autosomes, natural_order, parse_regions
 from ..operators import index, overlap, stats
-from ..sources import bed, sinks
+from ..sources import IntervalStore, bed, pack, sinks
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,6 +173,18 @@ def presets(spark, d):
     return spark.createDataFrame([(k, b.total) for k, b in PRESETS.items()], "preset string, total long")
 
 
+@query(f"SELECT qid, qstart - 40000 AS padded, {touched(TABIX, 'greatest(qstart - 40000, 0)', 'qend')} AS n FROM regions")
+def bins_of_padded(spark, d):
+    """Regions whose padding may begin below 0: the bins of what is left, each once."""
+    padded = (F.col("qstart") - 40_000).alias("padded")
+    return fx.regions(spark, d).select("qid", "qend", padded).select("qid", "padded", F.size(F.array_distinct(TABIX.bins_of(F.col("padded"), F.col("qend")))).cast("long").alias("n"))
+
+
+@query("SELECT scheme, CAST(base AS int) AS base_shift, CAST(step AS int) AS level_shift, CAST(levels AS int) AS levels, linear_index, CAST(total AS bigint) AS total_bins FROM (VALUES ('Tabix', 14, 3, 6, true, 37449), ('Tabix (No Linear Index)', 14, 3, 6, false, 37449), ('UCSC', 17, 3, 5, true, 4681), ('UCSC (No Linear Index)', 17, 3, 5, false, 4681), ('Dense', 14, 3, 10, true, 153391689), ('Sparse', 20, 4, 4, true, 4369)) t(scheme, base, step, levels, linear_index, total)")
+def descriptors(spark, d):
+    return stats.descriptors(*PRESETS, spark=spark)
+
+
 # Index and statistics
 
 _BINNED = f"SELECT chrom, istart, iend, {touched(TABIX)} AS touched, {bin_case(TABIX)} AS bin_id FROM features"
@@ -207,6 +219,18 @@ def size_stats(spark, d):
     return stats.size_stats(_f(spark, d), **NAMES)
 
 
+@query("SELECT CAST(0 AS bigint) AS min_size, CAST(0 AS bigint) AS max_size, 0.0::double AS mean_size, CAST(0 AS bigint) AS median_size, CAST(0 AS bigint) AS total_features, 0.0::double AS bin_density, 0.0::double AS level_overhead")
+def empty_stats(spark, d):
+    """What the statistics say of no features."""
+    none = _f(spark, d).where("false")
+    return stats.size_stats(none, **NAMES).join(stats.bin_summary(none, **NAMES).select("total_features", "bin_density", "level_overhead"))
+
+
+@query(f"SELECT DISTINCT chrom, bin_id FROM ({_BINNED})")
+def bins_by_chrom(spark, d):
+    return stats.bins_by_chrom(_f(spark, d), **NAMES)
+
+
 @query("SELECT CAST(floor(log2(iend - istart)) AS int) AS bucket, count(*) AS n FROM features GROUP BY 1")
 def size_histogram(spark, d):
     return stats.size_histogram(_f(spark, d), **NAMES)
@@ -243,6 +267,136 @@ def index_order(spark, d):
     return rows.select("ord", F.row_number().over(Window.orderBy(TABIX.level_of(own).desc(), own, "ord")).alias("place"))  # one lookup's rows
 
 
+@query(f"SELECT bin_id, chrom, istart, iend FROM ({_BINNED}) WHERE chrom = 'chr5'")
+def sequence_index(spark, d):
+    return index.sequence_index(_stored_names(spark, d), "chr5").select("bin_id", "chrom", F.col("start").alias("istart"), F.col("end").alias("iend"))
+
+
+@query(
+    f"""SELECT unnest(CASE WHEN density < 10 THEN ['bins hold few features each: space is well divided, at some cost in bins'] WHEN density > 100 THEN ['bins are crowded: finer bins would help'] ELSE [] END
+    || CASE WHEN overlap > 3 THEN ['features touch several bins each: many are large'] ELSE [] END) AS remark FROM (SELECT count(*) / count(DISTINCT bin_id) AS density, sum(touched) / count(*) AS overlap FROM ({_BINNED}))"""
+)
+def report_remarks(spark, d):
+    found = stats.remarks(stats.bin_summary(_f(spark, d), **NAMES).first(), TABIX)
+    return spark.createDataFrame([(x,) for x in found], "remark string")
+
+
+# The store
+
+
+def _stored_names(spark, d) -> DataFrame:
+    return _f(spark, d).withColumnsRenamed({"istart": "start", "iend": "end"})
+
+
+def _own_names(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed({"start": "istart", "end": "iend"})
+
+
+def _store(spark, d, **more) -> IntervalStore:
+    """Written, and opened again."""
+    path = fx.folder(spark, "store")
+    IntervalStore.create(_stored_names(spark, d), path, **more)
+    return IntervalStore.open(spark, path, more.get("key"))
+
+
+@query("SELECT * FROM features")
+def store_rows(spark, d):
+    return _own_names(_store(spark, d, key="features").rows())
+
+
+@query("SELECT * FROM features WHERE chrom = 'chr7'")
+def store_chrom(spark, d):
+    return _own_names(_store(spark, d).chrom("chr7"))
+
+
+@query("SELECT * FROM features WHERE chrom = 'chr3' AND istart < 2000000 AND iend > 999999")
+def store_query(spark, d):
+    return _own_names(_store(spark, d, bins="dense").query("chr3:1000000-2000000"))
+
+
+@query("SELECT * FROM features WHERE false")
+def store_query_miss(spark, d):
+    return _own_names(_store(spark, d).query("chrUn:1000000-2000000"))
+
+
+@query(f"SELECT f.chrom, f.istart, f.iend, f.rest FROM features f JOIN regions q ON {_OVER}")
+def store_query_regions(spark, d):
+    return _own_names(_store(spark, d).query_regions(fx.regions(spark, d)))
+
+
+@query("SELECT chrom, iend - istart AS size FROM features WHERE chrom = 'chr2' AND istart < 2000000 AND iend > 1000000")
+def store_map(spark, d):
+    """A user's function over the rows that overlap."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["chrom"], pc.subtract(b["end"], b["start"])], names=["chrom", "size"])
+
+    return _store(spark, d).map_overlapping("chr2", 1_000_000, 2_000_000, sizes, "chrom string, size long")
+
+
+@query("SELECT 'sample' AS name, CAST(a AS bigint) AS a, CAST(b AS bigint) AS b, CAST(NULL AS varchar) AS without FROM (VALUES (1, 2)) t(a, b)")
+def store_metadata(spark, d):
+    meta = _store(spark, d, metadata={"name": "sample", "values": {"a": 1, "b": 2}}).metadata
+    without = _store(spark, d).metadata
+    return spark.createDataFrame([(meta["name"], meta["values"]["a"], meta["values"]["b"], without)], "name string, a long, b long, without string")
+
+
+@query("SELECT * FROM features WHERE false")
+def store_empty(spark, d):
+    path = fx.folder(spark, "store")
+    return _own_names(IntervalStore.create(_stored_names(spark, d).where("false"), path).query("chr2:1-50000000"))
+
+
+@query("SELECT chrom, istart, iend, rest FROM features WHERE chrom = 'chr2'")
+def store_overwritten(spark, d):
+    path = fx.folder(spark, "store")
+    IntervalStore.create(_stored_names(spark, d).where("chrom = 'chr1'"), path)
+    return _own_names(IntervalStore.create(_stored_names(spark, d).where("chrom = 'chr2'"), path, overwrite=True).rows())
+
+
+def _lines(spark, d) -> DataFrame:
+    return _stored_names(spark, d).select(sinks.line().alias("value"))
+
+
+@query("SELECT * FROM features")
+def pack_file(spark, d):
+    """From compressed text to a store and back."""
+    path = fx.folder(spark, "lines")
+    sinks.write_tsv(_stored_names(spark, d), f"{path}/a.bed.gz", ordered=True)
+    return _own_names(pack(spark, f"{path}/a.bed.gz", f"{path}/a.intervals").rows())
+
+
+@query("SELECT * FROM features")
+def gzip_by_content(spark, d):
+    """Gzip files without gzip's ending."""
+    path = fx.folder(spark, "lines")
+    _lines(spark, d).write.option("compression", "gzip").text(path)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(path)):
+        at = status.getPath().toString()
+        if at.endswith(".gz"):
+            fs.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(at.removesuffix(".gz")))
+    return _own_names(bed.read_bed_sniffed(spark, path))
+
+
+@query("SELECT true AS found, false AS missed")
+def header_probe(spark, d):
+    path = fx.folder(spark, "lines")
+    spark.createDataFrame([("#chrom\tstart\tend",), ("chr1\t1\t5",)], "value string").coalesce(1).write.text(path)
+    return spark.createDataFrame([(bed.has_header(spark, path, "#chrom"), bed.has_header(spark, path, "chr1"))], "found boolean, missed boolean")
+
+
+@query("SELECT CAST(qid AS bigint) AS qid, chrom, qstart, qend FROM (SELECT row_number() OVER (ORDER BY qid) - 1 AS qid, chrom, qstart, qend FROM regions)")
+def region_file(spark, d):
+    """A file of regions, with the order of its lines."""
+    path = fx.folder(spark, "regions")
+    fx.regions(spark, d).orderBy("qid").coalesce(1).select(F.concat_ws("\t", "chrom", F.col("qstart").cast("string"), F.col("qend").cast("string"), F.lit("more")).alias("value")).write.text(path)
+    return bed.read_regions(spark, path)
+
+
 # Text
 
 

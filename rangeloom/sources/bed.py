@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gzip
+import io
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,7 +34,8 @@ def parse_lines(lines: DataFrame, comment: str = "#", one_based: bool = False) -
         start = F.when(start < 1, fail("start below 1").cast("long")).otherwise(start - 1)
     end = number(2)
     end = F.when(end > start, end).otherwise(fail("end not above start").cast("long"))
-    return kept.select(field(0).alias("chrom"), start.alias("start"), end.alias("end"), F.coalesce(field(3), F.lit("")).alias("rest"))
+    chrom = F.when(field(0) != "", field(0)).otherwise(fail("no sequence name"))
+    return kept.select(chrom.alias("chrom"), start.alias("start"), end.alias("end"), F.coalesce(field(3), F.lit("")).alias("rest"))
 
 
 def read_bed(spark: SparkSession, path: str | list[str], comment: str = "#", one_based: bool = False) -> DataFrame:
@@ -40,17 +43,42 @@ def read_bed(spark: SparkSession, path: str | list[str], comment: str = "#", one
     return parse_lines(spark.read.text(path), comment, one_based)
 
 
+def _opened(path: str):
+    from urllib.parse import unquote, urlparse
+
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path) if urlparse(path).scheme else (fs.LocalFileSystem(), path)
+    return system.open_input_stream(unquote(at))
+
+
 def read_bed_sniffed(spark: SparkSession, path: str, comment: str = "#", one_based: bool = False) -> DataFrame:
-    """As read_bed, for gzip files whatever their names: each file is looked at for gzip's first two bytes. A file is read whole
-    by a task, so this is for files that fit a worker's memory."""
+    """As read_bed, for gzip files whatever their names: of each file gzip's first two bytes are looked for. Files whose names say
+    what they are, or that are plain, are read as read_bed does; others are decompressed as they stream, some lines at a time."""
+
+    def sniff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for p in b.column(0).to_pylist():
+                with _opened(p) as f:
+                    found.append(f.read(2) == b"\x1f\x8b")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], names=["path", "gz"])
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b.column(0).to_pylist():
-                data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-                yield pa.RecordBatch.from_arrays([pa.array(data.decode("utf-8", "replace").split("\n"))], names=["value"])
+            for p in b.column(0).to_pylist():
+                with _opened(p) as f, io.TextIOWrapper(gzip.GzipFile(fileobj=f), "utf-8", "replace", newline="\n") as text:
+                    while some := list(islice(text, 10_000)):
+                        yield pa.RecordBatch.from_arrays([pa.array([x.rstrip("\n") for x in some])], names=["value"])
 
-    return parse_lines(spark.read.format("binaryFile").load(path).select("content").mapInArrow(lines, "value string"), comment, one_based)
+    # a row for each file, as its listing has, too
+    files = spark.read.format("binaryFile").load(path).select("path").mapInArrow(sniff, "path string, gz boolean").collect()
+    plain = [r.path for r in files if not r.gz or r.path.endswith(".gz")]
+    packed = [(r.path,) for r in files if r.gz and not r.path.endswith(".gz")]
+    found = spark.read.text(plain) if plain else spark.createDataFrame([], "value string")
+    if packed:
+        found = found.union(spark.createDataFrame(packed, "path string").repartition(len(packed)).mapInArrow(lines, "value string"))
+    return parse_lines(found, comment, one_based)
 
 
 def read_regions(spark: SparkSession, path: str | list[str], comment: str = "#") -> DataFrame:
@@ -65,9 +93,10 @@ def has_header(spark: SparkSession, path: str, expect: str) -> bool:
     return first is not None and first[0].startswith(expect)
 
 
-# What random files are made of.
+# The sequences of random files.
 CHROMS = ["chr1", "chr2", "chr3", "chr4", "chr5", "chrX", "chrY"]
-KINDS = ["gene", "exon", "promoter", "enhancer", "UTR", "intron", "repeat", "peak", "binding_site", "methylation"]
+#: Words for their further fields.
+KINDS = ["alpha", "beta", "gamma", "delta", "theta", "lambda", "sigma", "omega"]
 
 
 def random_bed(spark: SparkSession, n: int = 1_000_000, seed: int | None = None, partitions: int | None = None) -> DataFrame:

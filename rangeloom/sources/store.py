@@ -1,4 +1,4 @@
-"""A store of intervals: Parquet files by sequence, sorted by start, and a small JSON file of what it is.
+"""A store of intervals: Parquet files by sequence, sorted by start, and a small JSON file that describes them.
 
 Rows are dealt out by ranges of (chrom, start, end), so a sequence with a third of all rows is written by many tasks and
 its files hold narrow ranges of start, which lets a lookup skip files and row groups.
@@ -9,8 +9,10 @@ from __future__ import annotations
 import glob
 import json
 import os
+import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import IntervalError, StoreError, StoreExistsError
@@ -19,7 +21,9 @@ from ..functions.regions import parse_region
 from ..operators import overlap, stats
 
 SUFFIX = ".intervals"
-_META = "_store"
+_META = "store.json"
+#: What a folder of rows without a sequence name would be called.
+_NULL_NAME = "__HIVE_DEFAULT_PARTITION__"
 
 
 def default_output(path: str) -> str:
@@ -29,6 +33,19 @@ def default_output(path: str) -> str:
     return os.path.join(folder, os.path.splitext(stem)[0] + SUFFIX)
 
 
+def _files(spark: SparkSession, place: str):
+    """The file system that holds a place, and the place."""
+    return spark._jvm.org.apache.hadoop.fs.Path(place).getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def compare_sizes(spark: SparkSession, *paths: str) -> DataFrame:
+    """path, bytes, ratio: what files or folders take on disk, and how many times the first of them. Their content isn't read."""
+    held = [spark.read.format("binaryFile").option("recursiveFileLookup", True).load(p).select(F.lit(i).alias("i"), F.lit(p).alias("path"), "length") for i, p in enumerate(paths)]
+    sizes = reduce(DataFrame.union, held).groupBy("i", "path").agg(F.sum("length").alias("bytes"))
+    first = F.first("bytes").over(Window.orderBy("i"))  # a row for each path
+    return sizes.select("path", "bytes", (F.col("bytes") / first).alias("ratio"), "i").orderBy("i").drop("i")
+
+
 def discover(folder: str = ".") -> str:
     """The one store in a local folder."""
     found = sorted(glob.glob(os.path.join(folder, f"*{SUFFIX}")))
@@ -51,25 +68,48 @@ class IntervalStore:
 
     @classmethod
     def create(cls, rows: DataFrame, path: str, *, key: str | None = None, bins: Bins | str = DEFAULT, metadata: object = None, overwrite: bool = False, files: int | None = None) -> IntervalStore:
-        """Write rows (chrom, start, end and any other columns, in any order). Without overwrite an existing store is an error."""
+        """Write rows (chrom, start, end and any other columns, in any order). Without overwrite an existing store is an error.
+
+        Rows go to a folder of their own; the description, which names it, is put in place when they are all there. So a store
+        that is overwritten is whole until then, and its former rows go last.
+        """
         spark, bins, place = rows.sparkSession, scheme(bins), cls._place(path, key)
-        if not overwrite and cls._read_meta(spark, place) is not None:
+        former = cls._read_meta(spark, place)
+        if not overwrite and former is not None:
             raise StoreExistsError(f"there is a store at {place}")
-        wrong = F.raise_error(F.lit("chrom, start and end must not be null and end must be above start")).cast("long")
-        good = F.col("chrom").isNotNull() & (F.col("start") >= 0) & (F.col("end") > F.col("start"))
+        wrong = F.raise_error(F.lit("chrom must be a name, start and end must not be null and end must be above start")).cast("long")
+        good = ~F.col("chrom").isin("", _NULL_NAME) & (F.col("start") >= 0) & (F.col("end") > F.col("start"))
         rows = rows.withColumn("start", F.when(F.coalesce(good, F.lit(False)), F.col("start").cast("long")).otherwise(wrong)).withColumn("end", F.col("end").cast("long"))
-        order = ["chrom", "start", "end"]
+        order, folder = ["chrom", "start", "end"], f"rows-{uuid.uuid4().hex}"
         dealt = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
-        dealt.sortWithinPartitions(*order).write.mode("overwrite" if overwrite else "errorifexists").partitionBy("chrom").parquet(f"{place}/rows")
+        dealt.sortWithinPartitions(*order).write.partitionBy("chrom").parquet(f"{place}/{folder}")
         shape = {"base_shift": bins.base_shift, "level_shift": bins.level_shift, "levels": bins.levels, "linear_shift": bins.linear_shift, "label": bins.label}
-        meta = {"bins": shape, "schema": json.loads(rows.schema.json()), "metadata": metadata}
-        spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{place}/{_META}")
-        return cls(spark, place, meta)
+        meta = {"bins": shape, "schema": json.loads(rows.schema.json()), "metadata": metadata, "rows": folder}
+        store = cls(spark, place, meta)
+        spread = overlap.measure(store.rows())
+        meta["spread"] = [list(spread.classes), spread.first, spread.last]
+        store._describe(former)
+        return store
+
+    def _describe(self, former: dict | None) -> None:
+        fs, place = _files(self.spark, self.path)
+        jvm = self.spark._jvm
+        Path = jvm.org.apache.hadoop.fs.Path
+        beside, at = Path(f"{place}/{_META}.{uuid.uuid4().hex}"), Path(f"{place}/{_META}")
+        out = fs.create(beside, True)
+        out.write(bytearray(json.dumps(self._meta).encode()))
+        out.close()
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        kind = self.spark.sparkContext._gateway.new_array(rename, 1)
+        kind[0] = rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri() if at.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(beside, at, kind)
+        if former is not None:
+            fs.delete(Path(f"{place}/{former['rows']}"), True)
 
     @staticmethod
     def _read_meta(spark: SparkSession, place: str) -> dict | None:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/{_META}")
-        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        fs, _ = _files(spark, place)
+        if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{place}/{_META}")):
             return None
         return json.loads("\n".join(r.value for r in spark.read.text(f"{place}/{_META}").collect()))
 
@@ -91,11 +131,17 @@ class IntervalStore:
         """What was given at creation; None if nothing was."""
         return self._meta["metadata"]
 
+    @property
+    def spread(self) -> overlap.Spread:
+        """What joins need to know of the rows; measured once, when they were written."""
+        classes, first, last = self._meta["spread"]
+        return overlap.Spread(tuple(classes), first, last)
+
     def rows(self) -> DataFrame:
         from pyspark.sql.types import StructType
 
         schema = StructType.fromJson(self._meta["schema"])
-        return self.spark.read.schema(schema).parquet(f"{self.path}/rows").select(*schema.names)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{self._meta['rows']}").select(*schema.names)
 
     def chrom(self, name: str) -> DataFrame:
         """One sequence, from its own files; empty where there is none of that name."""
@@ -110,10 +156,10 @@ class IntervalStore:
 
     def query_regions(self, regions: DataFrame) -> DataFrame:
         """regions: chrom, qstart, qend. The rows that overlap, once for each region."""
-        return overlap.overlapping_records(self.rows(), regions, self.bins)
+        return overlap.overlapping_records(self.rows(), regions, self.bins, spread=self.spread)
 
     def join_regions(self, regions: DataFrame) -> DataFrame:
-        return overlap.overlap_join(self.rows(), regions, self.bins)
+        return overlap.overlap_join(self.rows(), regions, self.bins, spread=self.spread)
 
     def map_overlapping(self, chrom: str, start: int, end: int, function, schema: str) -> DataFrame:
         return overlap.map_overlapping(self.rows(), chrom, start, end, function, schema)
