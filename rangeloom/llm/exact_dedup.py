@@ -3,14 +3,16 @@
 The index is a table bucketed and sorted by the SHA-256 of the normalised text. A batch of documents is first
 reduced to one candidate row per digest (partial aggregation before the shuffle, so a group that holds a third of
 all rows costs one row per task), then left-anti-joined with the index by sort-merge on the digest (the index side
-is read bucket by bucket, without a shuffle) and appended. Rows then meet the index's rows for their own digests, which
-are written first: both sides of that join are shuffled, so Spark splits the partition of a digest with very many rows.
+is read bucket by bucket, without a shuffle) and appended. Who comes first stays. So that this is the row with the most
+code points, documents are fed in batches by length, the longest first: a shorter text that equals an indexed one
+without white space finds its digest there and is dropped by the anti-join. Rows then meet the index's rows for their own
+digests, which are written first: both sides of that join are shuffled, so Spark splits the partition of a hot digest.
 
 Defined results: a null text counts as empty; texts are equal when identical without white space; of equal texts
 the one with the most code points stays, then the smallest doc_id (a null doc_id after all others). A row repeated
-whole stays once. A digest that an earlier batch brought keeps that batch's row and group size: none of a later batch's
-rows with it stays. An empty table gives an empty index and no rows. Other columns, whatever their names, are carried
-along by `apply` and ignored by `digests`.
+whole stays once. group_size counts the rows given. Against an index that holds a digest from before, none of the rows
+with it stays, and keep_id is the indexed row's. An empty table gives an empty index and no rows. Other columns, whatever
+their names, are carried along by `apply` and ignored by `digests`.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import free_names, text_or_empty, written
 
-SCHEMA = "digest string, keep_id long, keep_chars long, keep_row long, group_size long, batch string"
+SCHEMA = "digest string, keep_id long, keep_chars long, keep_row long, batch string"
 #: Least buckets of an index, and about how many digests each is to hold.
 BUCKETS, PER_BUCKET = 64, 1 << 20
+#: Batches that documents are fed in.
+BATCHES = 3
 
 
 def normalised(col: str = "text"):
@@ -42,10 +46,10 @@ def digests(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """One row per digest: the row that stays, and the size of the group."""
+    """One row per digest: the row that stays."""
     order = F.struct(-F.col("n_points"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_no"))
-    best = rows.groupBy("digest").agg(F.min(order).alias("k"), F.count(F.lit(1)).alias("group_size"))
-    return best.select("digest", F.col("k.doc_id").alias("keep_id"), (-F.col("k.col1")).alias("keep_chars"), F.col("k.row_no").alias("keep_row"), "group_size")
+    best = rows.groupBy("digest").agg(F.min(order).alias("k"))
+    return best.select("digest", F.col("k.doc_id").alias("keep_id"), (-F.col("k.col1")).alias("keep_chars"), F.col("k.row_no").alias("keep_row"))
 
 
 class DigestIndex:
@@ -79,34 +83,55 @@ class DigestIndex:
         self._write(new.withColumn("batch", F.lit(batch)))
         return batch
 
+    def feed(self, rows: DataFrame, batches: int = BATCHES) -> list[str]:
+        """Append written rows in batches by length, the longest first; the batches' names. Equal rows are in one batch."""
+        cuts = rows.agg(F.percentile_approx("n_points", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else None
+        names, above = [], None
+        for low in [*sorted(set(cuts or ()), reverse=True), 0]:
+            part = rows.where(F.col("n_points") >= low)
+            names.append(self.append_new(part if above is None else part.where(F.col("n_points") < above)))
+            above = low
+        return names
+
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
-def decide(rows: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
-    """Each row with its group's keeper and whether it is that row. batch: the name under which the rows were appended."""
-    own = rows.select("digest").distinct()
-    found = written(index.read().join(own.hint("merge"), "digest", "left_semi"), "keepers")
-    kept = (F.col("row_no") == F.col("keep_row")) & (F.col("batch") == batch)
+def keepers(rows: DataFrame, index: DigestIndex) -> DataFrame:
+    """Of each digest among the rows: what the index has of it, and how many rows. Written."""
+    own = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
+    return written(index.read().hint("merge").join(own.hint("merge"), "digest"), "keepers")
+
+
+def decide(rows: DataFrame, found: DataFrame, batches: list[str]) -> DataFrame:
+    """Each row with its digest's keeper and whether it is that row. batches: the names under which the rows were appended."""
+    kept = (F.col("row_no") == F.col("keep_row")) & F.col("batch").isin(batches)
     return rows.join(found, "digest").select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"), "row_no")
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+def _indexed(rows: DataFrame, index: DigestIndex | None) -> tuple[DataFrame, list[str]]:
+    """Feed written rows to an index, one for this call if none is given; what it has of them, and the batches' names."""
+    own = index or DigestIndex.for_rows(rows)
+    names = own.feed(rows)
+    found = keepers(rows, own)
+    if index is None:
+        own.drop()
+    return found, names
+
+
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256. index: one to be deduplicated against and added to."""
     rows = written(digests(docs), "digests")
-    index = DigestIndex.for_rows(rows)
-    return decide(rows, index, index.append_new(rows)).drop("row_no")
+    return decide(rows, *_indexed(rows, index)).drop("row_no")
 
 
-def apply(docs: DataFrame) -> DataFrame:
+def apply(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The documents that stay, with all their columns."""
-    rows = written(digests(docs), "digests")
-    index = DigestIndex.for_rows(rows)
-    batch = index.append_new(rows)
+    found, names = _indexed(written(digests(docs), "digests"), index)
     # one key per digest and document, so that a hot digest's copies are dealt out by their doc_id
     k, n = free_names(docs, "__key", "__n")
     key = lambda digest: F.concat_ws(":", digest, "doc_id")
-    stays = index.read().where(F.col("batch") == batch).select(F.concat_ws(":", "digest", "keep_id").alias(k))
+    stays = found.where(F.col("batch").isin(names)).select(F.concat_ws(":", "digest", "keep_id").alias(k))
     keyed = docs.withColumn(k, key(F.sha2(normalised().cast("binary"), 256)))
     kept = keyed.join(stays, k, "left_semi")
     # a doc_id that comes more than once with the same text: the longest of its rows
