@@ -4,8 +4,8 @@ A payload is the text's UTF-8 bytes, padded by spaces to a positive multiple of
 samples a row (filter 0, deflate). Each task writes the distinct payloads of its partition to a tar shard in the
 shared folder, named by digest, and its rows carry digest, shard, offset and length of the stored bytes. A payload
 written by several tasks is resolved to one place: the index keeps the first (shard, offset) of each digest, and all
-rows refer to it. Metadata columns (width, height, bit depth, colour type) come from reading the first 33 bytes of a
-member only. Stored bytes are read back in (shard, offset) order, each distinct payload once.
+rows refer to it. Metadata columns (width, height, bit depth, colour type) of the index come from range reads of a
+member's first 33 bytes, shard by shard. Stored bytes are then read back in (shard, offset) order, each distinct payload once.
 
 A shard's name has the task attempt in it and only the rows of attempts that succeeded name their shard, so a lost
 executor or a second attempt leaves at most unused files. The index is written before it is used.
@@ -120,7 +120,7 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("raw")).mapInArrow(run, PLACED)
 
 
-READ = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, bit_depth int, colour_type int"
+READ = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def features(payload: bytes) -> str:
@@ -146,15 +146,13 @@ def read_back(index: DataFrame, folder: str) -> DataFrame:
                         source.close()
                     shard = r["shard"]
                     source = fsys.open_input_file(f"{base}/{shard}")
-                first = source.read_at(min(HEADER, r["length"]), r["offset"])
-                width, height, depth, colour = header(first)
-                media = first + source.read_at(r["length"] - len(first), r["offset"] + len(first))
+                media = source.read_at(r["length"], r["offset"])
                 payload = decode(media)
                 if hashlib.sha256(payload).hexdigest() != r["digest"]:
                     raise ValueError(f"stored bytes of {r['digest']} are damaged")
-                rows.append((r["digest"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(payload), width, height, depth, colour))
+                rows.append((r["digest"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(payload)))
             if rows:
-                kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+                kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in READ.split(", ")])
         if source is not None:
             source.close()
@@ -162,20 +160,27 @@ def read_back(index: DataFrame, folder: str) -> DataFrame:
     return index.select("digest", "shard", "offset", "length").mapInArrow(run, READ)
 
 
-def metadata(placed: DataFrame, folder: str) -> DataFrame:
-    """Width, height, bit depth and colour type of every row, from header-only range reads."""
+def metadata(index: DataFrame, folder: str) -> DataFrame:
+    """The index (digest, shard, offset, length; rows of a shard together) with width, height, bit depth and colour type, from
+    header-only range reads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = source = None
         fsys, base = filesystem(folder)
         for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                with fsys.open_input_file(f"{base}/{r['shard']}") as source:
-                    rows.append((r["digest"], *header(source.read_at(HEADER, r["offset"]))))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), *[pa.int32()] * 4), strict=True)], names=["digest", "width", "height", "bit_depth", "colour_type"])
+            found = []
+            for name, at, length in zip(*(b.column(c).to_pylist() for c in ("shard", "offset", "length")), strict=True):
+                if name != shard:
+                    if source is not None:
+                        source.close()
+                    shard, source = name, fsys.open_input_file(f"{base}/{name}")
+                found.append(header(source.read_at(min(HEADER, length), at)))
+            if found:
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.int32()) for c in zip(*found, strict=True))], names=["digest", "shard", "offset", "length", "width", "height", "bit_depth", "colour_type"])
+        if source is not None:
+            source.close()
 
-    return placed.select("digest", "shard", "offset").mapInArrow(run, "digest string, width int, height int, bit_depth int, colour_type int")
+    return index.select("digest", "shard", "offset", "length").mapInArrow(run, "digest string, shard string, offset long, length long, width int, height int, bit_depth int, colour_type int")
 
 
 def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
@@ -183,10 +188,10 @@ def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or scratch(docs.sparkSession, "media")
     placed = written(store(docs, folder), "media-rows")
     first = F.min(F.struct("shard", "offset", "length")).alias("at")
-    index = written(placed.groupBy("digest").agg(first).select("digest", "at.*"), "media-index")
-    # range partitions keep a shard's members together and in order
-    got = read_back(index.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset"), folder)
-    found = got.join(index, "digest")
+    places = placed.groupBy("digest").agg(first).select("digest", "at.*")
+    # range partitions keep a shard's members together and in order, in the index's files too
+    index = written(metadata(places.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset"), folder), "media-index")
+    found = read_back(index, folder).join(index, "digest")
     return placed.select("doc_id", "n_bytes", "digest").join(found, "digest").select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth", "colour_type", "digest", "shard", "offset", "length"
     )
