@@ -5,7 +5,9 @@ deals out and encodes in parallel; neighbouring leaves are then joined as a bina
 the cut is encoded anew and grown until its tokens agree with the left part's and the right part's over a run of
 `RUN` tokens each, by id and place; left part, window and right part are then spliced in the middle of the runs.
 BPE decides a merge by neighbouring symbols only and the split pattern goes on from the end of its last match, so
-beyond such a run both encodings go on alike. A window that would cover both parts is the encoding of the whole.
+beyond such a run both encodings go on alike. How long a run it takes depends on the text, so a splice counts only
+when the next window, four times as wide, gives the very same tokens; else windows go on growing. A window that would
+cover both parts is the encoding of the whole.
 
 Within a leaf, a cut at ASCII white space is safe (white space is never part of a token and never combines),
 so units between such cuts are encoded once and remembered, up to a bound. This and lower-casing hold for vocabularies
@@ -35,8 +37,8 @@ VOCABULARY = "word_bpe_49k.json"
 LEAF_CHARS = 32_768
 #: Tokens that a window and a part must agree on, on either side.
 RUN = 8
-#: Units remembered by a worker, and the longest of them.
-MEMO, MEMO_CHARS = 600_000, 64
+#: About the bytes that a worker's memory of units takes, those of each entry besides its own, and the longest unit kept.
+MEMO_BYTES, ENTRY_BYTES, MEMO_CHARS = 160 << 20, 190, 64
 
 _encoders: dict[str, Encoder] = {}
 
@@ -71,8 +73,9 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.memo: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {"": b""}
+        self.memo: dict[str, bytes]
+        self.cores: dict[str, bytes]
+        self.forget()
         n = max(self.tok.get_vocab(with_added_tokens=True).values()) + 1
         self.pieces = [self.tok.id_to_token(i) or "" for i in range(n)]
         self.joined = self.tok.decoder is None  # then decoding joins the tokens by spaces
@@ -93,34 +96,42 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
+    def forget(self) -> None:
+        self.memo, self.cores, self.held = {"": b""}, {"": b""}, 0
+
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit integers."""
         if not self.by_units:
             return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.memo)
+        memo, cores = self.memo, self.cores
+        new = set().union(*split).difference(memo)
         if new:
-            bodies, marks = [], []
-            for u in new:
-                body, mark = plain_parts(u)
-                bodies.append(body)
-                marks.append(mark)
-            cores = list({*bodies, *marks}.difference(self.cores))
-            words = [c for c in cores if c.isalpha() and max(c) < LATIN] if self.merges else []
-            rest = list(set(cores).difference(words))
-            got = self.merges.encode_batch_fast([w.translate(_SIGNS) for w in words], add_special_tokens=False) if words else []
+            parts = {u: plain_parts(u) for u in new}
+            unknown = {x for pair in parts.values() for x in pair if x not in cores}
+            words, signs, rest = [], [], []
+            for c in unknown:
+                if self.merges and c.isalpha() and (c.isascii() or max(c) < LATIN):
+                    words.append(c)
+                    signs.append(c if c.isascii() else c.translate(_SIGNS))
+                else:
+                    rest.append(c)
+            got = self.merges.encode_batch_fast(signs, add_special_tokens=False) if words else []
             got += self.tok.encode_batch_fast(rest, add_special_tokens=False)
-            self.cores.update((c, array("I", e.ids).tobytes()) for c, e in zip([*words, *rest], got, strict=True))
-            self.memo.update((u, self.cores[c] + self.cores[mark]) for u, c, mark in zip(new, bodies, marks, strict=True))
-        out = [b"".join(map(self.memo.__getitem__, s)) for s in split]
-        for known, fresh in ((self.memo, new), (self.cores, cores if new else ())):
-            if len(known) > MEMO:
-                known.clear()
-                known[""] = b""
-            else:
+            for c, e in zip([*words, *rest], got, strict=True):
+                cores[c] = pack_ids(e.ids)
+            for u, (body, mark) in parts.items():
+                memo[u] = cores[body] + cores[mark] if mark else cores[body]
+        out = [b"".join(map(memo.__getitem__, s)) for s in split]
+        if new:
+            for known, fresh in ((memo, new), (cores, unknown)):
                 for u in fresh:
                     if len(u) > MEMO_CHARS:
                         del known[u]
+                    else:
+                        self.held += ENTRY_BYTES + len(u)
+            if self.held > MEMO_BYTES:
+                self.forget()
         return out
 
     def encode_placed(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -134,10 +145,20 @@ class Encoder:
         return self.tok.decode(ids.tolist(), skip_special_tokens=False)
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+def forget() -> None:
+    """Free what this worker remembers, where a later stage has no use for it."""
+    for enc in _encoders.values():
+        enc.forget()
+
+
 def plain_parts(unit: str) -> tuple[str, str]:
     """A unit as it is encoded: Latin in lower case, as the vocabulary has it, and without one mark after a letter or digit,
     which the split pattern always sets apart. Units with a beginning of a special token stay as they are."""
-    if not unit or max(unit) >= LATIN or "<|" in unit:
+    if not unit or "<|" in unit or not (unit.isascii() or max(unit) < LATIN):
         return unit, ""
     low = unit.lower()
     return (low[:-1], low[-1]) if len(low) > 1 and low[-1] in ".,!?;:" and low[-2].isalnum() else (low, "")
@@ -175,6 +196,7 @@ def join_parts(encode: Callable[[str], tuple[np.ndarray, np.ndarray]], left: Par
     text = lt + rt
     if not lt or not rt:
         return (text, li, ls) if lt else (text, ri, rs)
+    before: tuple[np.ndarray, np.ndarray] | None = None  # what the window before gave
     while True:
         lo, hi = max(0, len(lt) - window), min(len(rt), window)
         if lo == 0 and hi == len(rt):
@@ -197,7 +219,12 @@ def join_parts(encode: Callable[[str], tuple[np.ndarray, np.ndarray]], left: Par
             at_right = None if hit is None else (hit[0], hit[1] + m)
         if at_left is not None and at_right is not None and at_left[1] <= at_right[1]:
             i, j, k, n = at_left[0], at_left[1], at_right[1], at_right[0]
-            return text, np.concatenate([li[:i], wi[j:k], ri[n:]]), np.concatenate([ls[:i], ws[j:k], rs[n:] + cut])
+            now = np.concatenate([li[:i], wi[j:k], ri[n:]]), np.concatenate([ls[:i], ws[j:k], rs[n:] + cut])
+            if before is not None and all(map(np.array_equal, before, now)):
+                return text, *now
+            before = now
+        else:
+            before = None
         window *= 4
 
 

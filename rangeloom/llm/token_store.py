@@ -1,17 +1,21 @@
 """Training-order materialisation: token sequences in fixed-stride binary shards.
 
-1. Documents are encoded and packed, task by task, into sequences of `length` tokens with an end token after each
-   document; sequences are written once, compressed, with the documents that they hold.
-2. Sequence i of task t has the global index (sequences of the tasks before t) + i: prefix sums over one row per task.
+1. Documents are encoded where they are read; their tokens, with an end token after each document, are one stream, in the
+   order of the files by path and of the rows in them (input that isn't files: of Spark's partitions). A task writes the
+   tokens of its runs of rows once, compressed, in chunks.
+2. Prefix sums over one row per run - a run is what a task read of a file without a gap - give every chunk its place in
+   the stream, and so the sequences of `length` tokens that it holds whole or in part. How the files were split among
+   tasks changes the runs but neither the stream nor its sequences.
 3. A keyed Feistel network on the next even power of two, walked along its cycle until it falls below N, permutes the
-   indexes: a sequence's slot in training order, known without a sort and invertible.
-4. Slots are dealt out by shard (slot // records of a shard), sorted, and written as records of one stride: record r of
-   a shard is at byte r * stride. A shard's content depends on its slots alone, so a second attempt writes the same
-   bytes, and a reader goes on from any slot by one seek.
-
-Defined results: a null text counts as empty and gives one end token; a task's last sequence is filled up by end tokens
-that n_tokens doesn't count; equal texts are kept as often as they come; a null doc_id is listed as null; an empty
-table gives no sequences and no shards; other columns are ignored.
+   sequences: a sequence's slot in training order, known without a sort and invertible.
+4. Pieces of sequences are dealt out by shard (slot // records of a shard), a task for each, sorted, put together, and
+   written as records of one stride: record r of a shard is at byte r * stride. A shard's content depends on its slots
+   alone, so a second attempt writes the same bytes, and a reader goes on from any slot by one seek.
+
+Defined results: a null text counts as empty and gives one end token; the last sequence is filled up by end tokens
+that n_tokens doesn't count; equal texts are kept as often as they come; a null doc_id is listed as null; rows of a
+document that follow each other are listed once in a sequence; an empty table gives no sequences and no shards; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,16 +25,18 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, vocabulary_path
-from .common import parallelism, scratch, text_or_empty, written
+from .bpe import Encoder, forget, vocabulary_path
+from .common import scratch, text_or_empty, written
 from .media import filesystem
 
 LENGTH = 2048
+#: Tokens of a chunk, about.
+CHUNK = 1 << 15
 SHARD_BYTES = 32 << 20
 END_TOKEN = "<|endoftext|>"
 HEAD = 4  # bytes of a record's count of tokens
@@ -66,94 +72,119 @@ def permute(index: np.ndarray, n: int, key: int = KEY, back: bool = False) -> np
     return x.astype(np.int64)
 
 
-def _pack(ids: np.ndarray) -> bytes:
+def _packer(level: int = 3):
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(ids.tobytes())
+    return zstandard.ZstdCompressor(level=level).compress
 
 
-def _unpack(data: bytes) -> bytes:
+def _unpacker():
     import zstandard
 
-    return zstandard.ZstdDecompressor().decompress(data)
+    return zstandard.ZstdDecompressor().decompress
 
 
-SEQUENCES = "task int, seq long, n_tokens int, doc_ids array<long>, payload binary"
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def sequences(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> DataFrame:
-    """The packed sequences of each task."""
+CHUNKS = "file string, first long, start long, n_tokens int, doc_ids array<long>, doc_ends array<int>, payload binary"
+_CHUNKS = pa.schema([("file", pa.string()), ("first", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_ends", pa.list_(pa.int32())), ("payload", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        enc = Encoder.get(path or vocabulary_path())
-        width = token_width(len(enc.pieces))
-        kind = np.dtype(f"<u{width}")
-        end = enc.tok.token_to_id(END_TOKEN)
-        task, seq = TaskContext.get().partitionId(), 0
-        tail, tail_docs = np.empty(0, kind), []  # tokens not yet in a sequence; (doc_id, tokens of it in the tail)
+def _in_order(docs: DataFrame) -> DataFrame:
+    """doc_id, text, file, row: where a row stands among all."""
+    own = [F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")]
+    try:
+        return docs.select(*own, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").cast("long").alias("row"))
+    except AnalysisException:  # not a scan of files that number their rows
+        return docs.select(*own, F.lit("").alias("file"), F.monotonically_increasing_id().alias("row"))
+
+
+def chunks(docs: DataFrame, chunk: int = CHUNK, path: str | None = None) -> DataFrame:
+    """The tokens of each run of rows, in chunks: the run (file and first row), tokens of the run before the chunk, the documents
+    in it and where their tokens end, counted from the chunk's start."""
 
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["task", "seq", "n_tokens", "doc_ids", "payload"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = Encoder.get(path or vocabulary_path())
+        kind = np.dtype(f"<u{token_width(len(enc.pieces))}")
+        end = np.asarray([enc.tok.token_to_id(END_TOKEN)], kind)
+        pack = _packer()
+        at = last = None  # the run, and the row before
+        start = held = 0
+        parts: list[np.ndarray] = []
+        ids: list = []
+        ends: list[int] = []
+
+        def cut() -> tuple:
+            nonlocal start, held, parts, ids, ends
+            row = (*at, start, held, ids, ends, pack(np.concatenate(parts).tobytes()))
+            start, held, parts, ids, ends = start + held, 0, [], [], []
+            return row
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                ids = b.column(0).to_pylist()
-                coded = enc.encode_many(b.column(1).to_pylist())
-                parts = [tail]
-                ends, docs_in, total = [], [], len(tail)
-                run_total = 0
-                for d, n in tail_docs:
-                    run_total += n
-                    docs_in.append(d)
-                    ends.append(run_total)
-                for d, c in zip(ids, coded, strict=True):
-                    parts += [np.frombuffer(c, "<u4").astype(kind), np.asarray([end], kind)]
-                    total += len(c) // 4 + 1
-                    docs_in.append(d)
-                    ends.append(total)
-                stream = np.concatenate(parts)
-                bounds = np.asarray(ends, np.int64)
+            for i in range(0, whole.num_rows, 256):
+                b = whole.slice(i, 256)
                 rows = []
-                for k in range(total // length):
-                    a, z = k * length, (k + 1) * length
-                    first, last = np.searchsorted(bounds, a, "right"), np.searchsorted(bounds, z, "left")
-                    rows.append((task, seq, length, docs_in[first : last + 1], _pack(stream[a:z])))
-                    seq += 1
-                cut = total // length * length
-                tail = stream[cut:]
-                first = int(np.searchsorted(bounds, cut, "right"))
-                tail_docs = [(docs_in[i], ends[i] - max(cut, ends[i - 1] if i else 0)) for i in range(first, len(ends))]
+                coded = enc.encode_many(b.column("text").to_pylist())
+                for doc, file, row, c in zip(*(b.column(x).to_pylist() for x in ("doc_id", "file", "row")), coded, strict=True):
+                    if at is None or file != at[0] or row != last + 1:
+                        if held:
+                            rows.append(cut())
+                        at, start = (file, row), 0
+                    last = row
+                    tokens = np.concatenate([np.frombuffer(c, "<u4").astype(kind), end])
+                    while len(tokens):
+                        take = tokens[: chunk - held]
+                        tokens = tokens[len(take) :]
+                        held += len(take)
+                        parts.append(take)
+                        ids.append(doc)
+                        ends.append(held)
+                        if held == chunk:
+                            rows.append(cut())
                 if rows:
-                    yield batch(rows)
-        if len(tail):
-            full = np.full(length, end, kind)
-            full[: len(tail)] = tail
-            yield batch([(task, seq, len(tail), [d for d, _ in tail_docs], _pack(full))])
+                    yield _batch(rows, _CHUNKS)
+        if held:
+            yield _batch([cut()], _CHUNKS)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, SEQUENCES)
+    return _in_order(docs).mapInArrow(run, CHUNKS)
 
 
 def token_width(vocabulary: int) -> int:
     return 2 if vocabulary <= 1 << 16 else 4
 
 
-def slotted(rows: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
-    """The written sequences with index and slot, and how many there are."""
-    counts = rows.groupBy("task").agg(F.count(F.lit(1)).alias("n"))  # one row per task that packed
-    before = F.coalesce(F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = written(counts.select("task", "n", before.alias("before")), "task-offsets")
-    n = int(offsets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+PIECES = "slot long, shard int, at int, n_tokens int, doc_ids array<long>, payload binary"
+_PIECES = pa.schema([("slot", pa.int64()), ("shard", pa.int32()), ("at", pa.int32()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("payload", pa.binary())])
 
-    @F.pandas_udf("long")
-    def slot(index: pd.Series) -> pd.Series:
-        return pd.Series(permute(index.to_numpy(), n, key))
 
-    placed = rows.join(offsets.select("task", "before"), "task").withColumn("index", F.col("before") + F.col("seq"))
-    return placed.withColumn("slot", slot("index")).drop("before"), n
+def pieces(rows: DataFrame, length: int, width: int, per: int, key: int = KEY) -> tuple[DataFrame, int]:
+    """From written chunks: what each holds of a sequence, with the sequence's slot and shard; and how many sequences there are."""
+    runs = rows.groupBy("file", "first").agg(F.sum("n_tokens").alias("n"))  # a row for each run
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = written(runs.select("file", "first", "n", before.alias("before")), "token-runs")
+    n = -(-int(runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        pack, unpack = _packer(), _unpacker()
+        for whole in batches:
+            for i in range(0, whole.num_rows, 16):
+                out = []
+                for r in whole.slice(i, 16).to_pylist():
+                    data, ends = unpack(r["payload"]), np.asarray(r["doc_ends"], np.int64)
+                    a, z = r["place"], r["place"] + r["n_tokens"]
+                    sequences = np.arange(a // length, (z - 1) // length + 1)
+                    for s, slot in zip(sequences.tolist(), permute(sequences, n, key).tolist(), strict=True):
+                        lo, hi = max(a, s * length), min(z, (s + 1) * length)
+                        first, last = np.searchsorted(ends, lo - a, "right"), np.searchsorted(ends, hi - a, "left")
+                        out.append((slot, slot // per, lo - s * length, hi - lo, r["doc_ids"][first : last + 1], pack(data[(lo - a) * width : (hi - a) * width])))
+                yield _batch(out, _PIECES)
+
+    placed = rows.join(runs.select("file", "first", "before"), ["file", "first"])
+    placed = placed.select((F.col("before") + F.col("start")).alias("place"), "n_tokens", "doc_ids", "doc_ends", "payload")
+    return placed.mapInArrow(run, PIECES), n
 
 
 def records(length: int, width: int, shard_bytes: int) -> tuple[int, int]:
@@ -166,35 +197,60 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def write_shards(placed: DataFrame, folder: str, n: int, length: int, width: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Write all shards; shard, first_slot, n_records of each."""
+RECORDS = "slot long, shard int, offset long, n_tokens int, doc_ids array<long>"
+_RECORDS = pa.schema([("slot", pa.int64()), ("shard", pa.int32()), ("offset", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64()))])
+
+
+def write_shards(placed: DataFrame, folder: str, n: int, length: int, width: int, end: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Write all shards, a task for each; a row for each record. end: the token that fills up the last sequence."""
     stride, per = records(length, width, shard_bytes)
-    shards = -(-n // per)
+    fill = np.full(length, end, f"<u{width}").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        unpack = _unpacker()
         fsys, base = filesystem(folder)
-        shard, sink, count, done = None, None, 0, []
+        sink, shard, count = None, None, 0
+        held: list[tuple] = []  # the pieces of one slot
+
+        def record() -> tuple:
+            nonlocal sink, shard, count
+            slot = held[0][0]
+            if slot // per != shard:
+                if sink is not None:
+                    sink.close()
+                shard, count = slot // per, 0
+                fsys.create_dir(base, recursive=True)
+                sink = fsys.open_output_stream(f"{base}/{shard_name(shard)}", buffer_size=1 << 20)
+            if slot != shard * per + count:
+                raise ValueError(f"slot {shard * per + count} is missing")
+            tokens, docs = 0, []
+            for _, at, k, ids, _ in held:
+                if at != tokens:
+                    raise ValueError(f"slot {slot} has a gap at token {tokens}")
+                tokens += k
+                docs += ids[1:] if docs and ids and docs[-1] == ids[0] else ids
+            data = b"".join(unpack(p[-1]) for p in held)
+            sink.write(struct.pack("<I", tokens) + data + fill[len(data) :])
+            count += 1
+            return (slot, shard, (count - 1) * stride, tokens, docs)
+
         for b in batches:
-            for slot, n_tokens, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if slot // per != shard:
-                    if sink is not None:
-                        sink.close()
-                        done.append((shard, shard * per, count))
-                    shard, count = slot // per, 0
-                    fsys.create_dir(base, recursive=True)
-                    sink = fsys.open_output_stream(f"{base}/{shard_name(shard)}", buffer_size=1 << 20)
-                if slot != shard * per + count:
-                    raise ValueError(f"slot {shard * per + count} is missing")
-                sink.write(struct.pack("<I", n_tokens) + _unpack(payload))
-                count += 1
+            out = []
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and held[0][0] != row[0]:
+                    out.append(record())
+                    held = []
+                held.append(row)
+            if out:
+                yield _batch(out, _RECORDS)
+        if held:
+            yield _batch([record()], _RECORDS)
         if sink is not None:
             sink.close()
-            done.append((shard, shard * per, count))
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done, strict=True)], names=["shard", "first_slot", "n_records"])
 
-    dealt = placed.select("slot", "n_tokens", "payload").withColumn("shard", F.floor(F.col("slot") / per)).repartitionByRange(max(1, min(shards, 4 * parallelism(placed.sparkSession))), "shard")
-    return dealt.sortWithinPartitions("slot").select("slot", "n_tokens", "payload").mapInArrow(run, "shard long, first_slot long, n_records long")
+    dealt = placed.repartitionById(max(1, -(-n // per)), F.col("shard")).sortWithinPartitions("slot", "at")
+    return dealt.select("slot", "at", "n_tokens", "doc_ids", "payload").mapInArrow(run, RECORDS)
 
 
 def read_slots(folder: str, first: int, count: int, length: int, width: int, shard_bytes: int = SHARD_BYTES) -> Iterator[tuple[int, bytes]]:
@@ -214,23 +270,26 @@ def read_slots(folder: str, first: int, count: int, length: int, width: int, sha
         first, count = first + take, count - take
 
 
-def materialise(docs: DataFrame, folder: str | None = None, length: int = LENGTH, key: int = KEY, path: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+RESULT = "slot long, shard int, offset long, n_tokens int, ids_sha256 string, doc_ids array<long>"
+
+
+def materialise(docs: DataFrame, folder: str | None = None, length: int = LENGTH, key: int = KEY, path: str | None = None, shard_bytes: int = SHARD_BYTES, chunk: int = CHUNK) -> DataFrame:
     """Write the shards and read them back: slot, shard, offset, n_tokens, ids_sha256 (of the record's n_tokens ids), doc_ids."""
     spark: SparkSession = docs.sparkSession
     folder = folder or scratch(spark, "tokens")
-    width = token_width(len(Encoder.get(path or vocabulary_path()).pieces))
-    placed, n = slotted(written(sequences(docs, length, path), "sequences"), key)
-    shards = written(write_shards(placed, folder, n, length, width, shard_bytes), "shards")
-    stride, per = records(length, width, shard_bytes)
+    enc = Encoder.get(path or vocabulary_path())
+    width, end = token_width(len(enc.pieces)), enc.tok.token_to_id(END_TOKEN)
+    placed, n = pieces(written(chunks(docs, chunk, path), "chunks"), length, width, records(length, width, shard_bytes)[1], key)
+    found = written(write_shards(placed, folder, n, length, width, end, shard_bytes), "records")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for shard, first, count in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                rows = [(first + i, shard, i * stride, k, hashlib.sha256(data[: k * width]).hexdigest()) for i, (k, data) in enumerate(read_slots(folder, first, count, length, width, shard_bytes))]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["slot", "shard", "offset", "n_tokens", "ids_sha256"])
-
-    manifest = shards.select("shard", "first_slot", "n_records").repartition(parallelism(spark), "shard")
-    read = manifest.mapInArrow(run, "slot long, shard long, offset long, n_tokens int, ids_sha256 string")
-    # what is read back has far more rows than the table of shards by which Spark would judge its size
-    return read.hint("merge").join(placed.select("slot", "doc_ids"), "slot")
+            slots = b.column("slot").to_numpy()
+            if not len(slots):
+                continue
+            digests: list[str] = []
+            for own in np.split(slots, np.flatnonzero(np.diff(slots) != 1) + 1):  # slots that follow each other are one read
+                digests += [hashlib.sha256(data[: k * width]).hexdigest() for k, data in read_slots(folder, int(own[0]), len(own), length, width, shard_bytes)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(digests), b.column("doc_ids")], names=["slot", "shard", "offset", "n_tokens", "ids_sha256", "doc_ids"])
+
+    return found.mapInArrow(run, RESULT)
