@@ -22,14 +22,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_names, parallelism, text_or_empty, written
+from .common import free_names, parts, text_or_empty, written
 
 #: No document is taken more often than this.
 MOST = 3
 #: round(2**31 / phi): multiples of it modulo 2**31 are golden-ratio points in whole numbers.
 GOLDEN, MODULUS = 1_327_217_885, 1 << 31
-#: About as many slots at most while blocks are this short; beyond that, longer blocks up to BLOCK_MOST.
-SLOTS, BLOCK_LEAST, BLOCK_MOST = 1 << 19, 16, 4096
+#: Words of a block, whatever the corpus.
+BLOCK = 64
 #: Slots of a chunk, and documents of one, about.
 CHUNK, DOC_CHUNK = 1 << 15, 1 << 12
 
@@ -75,9 +75,7 @@ def _mix(rows: DataFrame) -> DataFrame:
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     s = targets(sizes).join(sizes.select(F.col("source").alias("__s"), "n"), _same("source", "__s")).drop("__s")
     s = s.withColumn("sid", (F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source"))) - 1).cast("long"))
-    all_words = F.sum("source_size").over(Window.partitionBy())
-    block = F.least(F.greatest(F.floor(all_words / SLOTS), F.lit(BLOCK_LEAST)), F.lit(BLOCK_MOST)).cast("long")
-    s = s.withColumn("block", block).withColumn("blocks", F.ceil(F.col("source_size") / F.col("block")).cast("long"))
+    s = s.withColumn("block", F.lit(BLOCK).cast("long")).withColumn("blocks", F.ceil(F.col("source_size") / F.col("block")).cast("long"))
     # a source's last block may be short: slots in proportion to target / (words of a mean block)
     s = s.withColumn("slots", F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(F.lit(0.0)))
     total = F.sum("slots").over(Window.partitionBy())
@@ -102,7 +100,7 @@ def schedule(s: DataFrame) -> DataFrame:
     spark = s.sparkSession
     n = int(s.agg(F.coalesce(F.max("all_slots"), F.lit(0))).first()[0])  # one number
     chunks = max(1, n // CHUNK)
-    slots = spark.range(0, n, 1, max(1, min(parallelism(spark), chunks))).select(F.col("id").alias("slot"), F.floor(F.col("id") / CHUNK).alias("chunk"))
+    slots = spark.range(0, n, 1, min(parts(spark, n, 1 << 20), chunks)).select(F.col("id").alias("slot"), F.floor(F.col("id") / CHUNK).alias("chunk"))
     point = ((F.col("slot") % MODULUS) * GOLDEN) % MODULUS / F.lit(float(MODULUS))
     # each slot meets the one source whose share holds its point: shares are dealt to cells of the unit interval
     cells = 1 << 10
