@@ -9,7 +9,7 @@
    logistic curve on the strongest five and on the share of such words turns them into a score.
 
 Counting and fitting use a bounded sample of labelled rows (`LABELLED_MOST`, by a hash of doc_id); rows whose
-crc32(doc_id as text) mod 4 is 2 are held out. The trigram table (29^3 counts) and the feature table (`BUCKETS` counts
+crc32(doc_id as text) mod 4 is 2 are held out. The trigram table (28^3 counts) and the feature table (`BUCKETS` counts
 by label) are bounded by parameters, whatever the corpus, and so may pass through the driver.
 
 Defined results: a null or empty text has no features and gets the score of that; labels that are null are not used,
@@ -190,6 +190,7 @@ class Endings:
     def __init__(self, lm: np.ndarray):
         self.lm = lm
         self.cost = [lm[:, :, 27].copy()]  # by number of masks: least cost of the rest after letters a, b, without the masks' own
+        self.cost[0][:, 27] = 0.0  # a word's end needs no other
         self.letter = [np.zeros((SYMBOLS, SYMBOLS), int)]  # the first of it; 0: none
         self.settled = False
 
