@@ -28,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parallelism, written
+from .common import parts, written
 
 Message = tuple[str, str]  # role, text
 BLOCK = 16
+#: Most turns, about, of a range partition.
+RANGE_ROWS = 1 << 18
 PROBE = "qzxjprobejxzq"
 ASSISTANT = "assistant"
 
@@ -145,7 +147,7 @@ def positions(conversations: DataFrame) -> DataFrame:
             at += b.num_rows
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("conv_id", "role", "text")), *more], names=["conv_id", "role", "text", "part", "at"])
 
-    dealt = rows.repartitionByRange(max(1, parallelism(conversations.sparkSession)), *order).sortWithinPartitions(*order)
+    dealt = rows.repartitionByRange(parts(conversations.sparkSession, rows.count(), RANGE_ROWS), *order).sortWithinPartitions(*order)
     dealt = written(dealt.mapInArrow(number, "conv_id long, role string, text string, part int, at long"), "turns")
     counts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each range partition
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

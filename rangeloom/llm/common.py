@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -13,19 +14,34 @@ from pyspark.sql import functions as F
 WS = "\\x20\\x09-\\x0D"
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and one machine is all there is, as in
+    tests, a temporary folder; on a cluster that is an error, since no folder of one machine will do."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    own = os.path.join(tempfile.gettempdir(), "rangeloom-shared")
-    os.makedirs(own, exist_ok=True)
-    return f"file://{own}"
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _own.setdefault("local", f"file://{tempfile.mkdtemp(prefix='rangeloom-')}")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the session's own part of the shared folder, which goes when Python ends."""
+    session = f"{shared_dir(spark)}/rangeloom-{spark.sparkContext.applicationId}"
+    if session not in _own:
+        _own[session] = session
+        atexit.register(_delete, spark, session)
+    return f"{session}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended before
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -49,6 +65,11 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts(spark: SparkSession, rows: int, most: int) -> int:
+    """How many partitions: as many as Spark shuffles to, and more where one would get more than so many rows."""
+    return max(1, parallelism(spark), -(-rows // most))
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores before them until the table has none like them."""
     taken = {c.lower() for c in df.columns}

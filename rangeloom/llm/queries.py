@@ -37,10 +37,36 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents")).withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+#: CRC-32 by bytes: {hex} is an expression of hexadecimal digits, and `crcs` the table of the 256 bytes' own.
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all({hex}, '..'), lambda c: CAST('0x' || c AS bigint))), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295)"
+_CRCS = "SELECT list(crc ORDER BY i) AS crcs FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS crc FROM range(256) t(i))"
+
+OP3_SQL = f"""
+WITH bytewise AS ({_CRCS}),
+sized AS (SELECT row_number() OVER () AS row_no, doc_id, CAST(strlen(coalesce(text, '')) + 16 AS bigint) AS size, {_CRC.format(hex="hex(coalesce(text, ''))")} AS text_crc32 FROM documents, bytewise),
+laid AS (SELECT *, CAST(sum(size) OVER o - size AS bigint) AS start_byte, row_number() OVER o - 1 AS global_slot, sum(size) OVER () AS total FROM sized
+         WINDOW o AS (ORDER BY doc_id NULLS FIRST, text_crc32, size, row_no)),
+dealt AS (SELECT *, CAST(least(39, (start_byte * 2 + size) * 40 // (total * 2)) AS int) AS shard FROM laid)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY global_slot) - 1 AS slot, global_slot, start_byte, CAST(NULL AS int) AS grown_shard FROM dealt
+"""
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def secrets_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op4_secrets what SQL can express."""
+    return op4_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+SECRETS_COUNTS_SQL = r"""
+SELECT doc_id, len(list_filter(regexp_extract_all(t, '((?i)password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8)) AS n_assign,
+       len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) AS n_access,
+       len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 32)) AS n_hex
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+"""
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.materialise(_table(spark, sf_dir, "documents"))
 
@@ -53,6 +79,19 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_table(spark, sf_dir, "documents"))
 
 
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op7_media what SQL can express: what was stored, not how."""
+    return op7_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "width", "height")
+
+
+MEDIA_PAYLOADS_SQL = f"""
+WITH bytewise AS ({_CRCS}),
+padded AS (SELECT doc_id, n_bytes, t || repeat(' ', CAST(CASE WHEN n_bytes = 0 THEN 192 ELSE (192 - n_bytes % 192) % 192 END AS bigint)) AS p FROM (SELECT doc_id, coalesce(text, '') AS t, CAST(strlen(coalesce(text, '')) AS bigint) AS n_bytes FROM documents))
+SELECT doc_id, n_bytes, CAST(strlen(p) AS bigint) AS payload_bytes, sha256(p) AS payload_sha256, {_CRC.format(hex="right(hex(p), 32)")} AS tail_crc32, CAST(192 AS int) AS width, CAST(strlen(p) // 192 AS int) AS height
+FROM padded, bytewise
+"""
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -82,7 +121,7 @@ weighted AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid
 levels AS (SELECT *, (sum(source_size) OVER ()::double - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS unit FROM weighted
            WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (SELECT *, coalesce(least(cap, weight * (SELECT arg_min(unit, cap / weight) FROM levels WHERE cap > unit * weight)), cap) AS target,
-                   least(greatest((SELECT sum(source_size) FROM by_source) // 524288, 16), 4096)::bigint AS block FROM levels),
+                   64::bigint AS block FROM levels),
 slots_of AS (SELECT *, CAST(ceil(source_size / block) AS bigint) AS blocks, CASE WHEN source_size > 0 THEN target * CAST(ceil(source_size / block) AS bigint) / source_size ELSE 0.0::double END AS slots FROM targets),
 shares AS (SELECT *, sum(slots) OVER (ORDER BY sid) AS upto, sum(slots) OVER () AS total FROM slots_of),
 cut AS (SELECT *, CASE WHEN total > 0 THEN CASE WHEN upto >= total * (1 - 1e-12) THEN 1.0 ELSE upto / total END ELSE 0.0 END AS hi FROM shares),
@@ -120,5 +159,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat": op9_chat,
     "op10_simhash": op10_simhash,
     "pipeline": pipeline,
+    "secrets_counts": secrets_counts,
+    "media_payloads": media_payloads,
+}
+SQL: dict[str, str] = {
+    "op2_exact_dedup": OP2_SQL,
+    "op3_sharding": OP3_SQL,
+    "op8_mixing": OP8_SQL,
+    "op9_chat": OP9_SQL,
+    "secrets_counts": SECRETS_COUNTS_SQL,
+    "media_payloads": MEDIA_PAYLOADS_SQL,
 }
-SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op8_mixing": OP8_SQL, "op9_chat": OP9_SQL}

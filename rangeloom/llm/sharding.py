@@ -15,10 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_names, parallelism, scratch, text_or_empty, utf8, written
+from .common import free_names, parts, scratch, text_or_empty, utf8, written
 
 #: Bytes that a document takes besides its text.
 OVERHEAD = 16
+#: Most rows, about, of a range partition, and bytes of text, about, of a file.
+RANGE_ROWS, FILE_BYTES = 1 << 20, 64 << 20
 
 
 def assign(docs: DataFrame, shards: int = 40, overhead: int = OVERHEAD) -> DataFrame:
@@ -29,8 +31,8 @@ def assign(docs: DataFrame, shards: int = 40, overhead: int = OVERHEAD) -> DataF
         F.crc32(utf8()).alias("text_crc32"),
     )
     order = ["doc_id", "text_crc32", "size"]
-    parts = max(parallelism(docs.sparkSession), 1)
-    dealt = written(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "shard-ranges")
+    n = parts(docs.sparkSession, rows.count(), RANGE_ROWS)
+    dealt = written(rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "shard-ranges")
 
     totals = dealt.groupBy("part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -55,15 +57,18 @@ def assign(docs: DataFrame, shards: int = 40, overhead: int = OVERHEAD) -> DataF
 
 
 def apply(docs: DataFrame, shards: int = 40, path: str | None = None) -> DataFrame:
-    """Write the documents as one folder per shard, in slot order within a file, and read them again with shard and slot."""
+    """Write the documents as one folder per shard, and read them again with shard and slot. A shard is written by as many tasks as it
+    has times `FILE_BYTES`, each a file of slots that follow each other, in order."""
     spark = docs.sparkSession
     path = path or scratch(spark, "shards")
     # equal rows are interchangeable: they are numbered alike on both sides
-    i, crc, size, tie, no, shard, slot = free_names(docs, "__id", "__crc", "__size", "__tie", "__no", "__shard", "__slot")
+    i, crc, size, tie, no, shard, slot, piece = free_names(docs, "__id", "__crc", "__size", "__tie", "__no", "__shard", "__slot", "__piece")
     number = F.row_number().over(Window.partitionBy(i, crc, size).orderBy(tie))
     left = docs.withColumns({i: F.col("doc_id").cast("long"), crc: F.crc32(utf8()), size: (F.octet_length(text_or_empty()) + OVERHEAD).cast("long"), tie: F.monotonically_increasing_id()}).withColumn(no, number)
-    right = assign(docs, shards).select(F.col("doc_id").alias(i), F.col("text_crc32").alias(crc), F.col("size").alias(size), F.col("shard").alias(shard), F.col("slot").alias(slot), F.col("slot").alias(tie)).withColumn(no, number).drop(tie)
+    assigned = written(assign(docs, shards), "assigned")
+    right = assigned.select(F.col("doc_id").alias(i), F.col("text_crc32").alias(crc), F.col("size").alias(size), F.col("shard").alias(shard), F.col("slot").alias(slot), F.col("slot").alias(tie), F.floor(F.col("start_byte") / FILE_BYTES).alias(piece)).withColumn(no, number).drop(tie)
     on = [left[i].eqNullSafe(right[i])] + [left[c] == right[c] for c in (crc, size, no)]
-    joined = left.join(right, on).select(*(left[c] for c in docs.columns), right[shard], right[slot])
-    joined.repartition(shards, shard).sortWithinPartitions(shard, slot).write.mode("errorifexists").partitionBy(shard).parquet(path)
+    joined = left.join(right, on).select(*(left[c] for c in docs.columns), right[shard], right[slot], right[piece])
+    total = assigned.agg(F.coalesce(F.max("start_byte"), F.lit(0))).first()[0]
+    joined.repartition(shards + total // FILE_BYTES, shard, piece).sortWithinPartitions(shard, slot).drop(piece).write.mode("errorifexists").partitionBy(shard).parquet(path)
     return spark.read.parquet(path)

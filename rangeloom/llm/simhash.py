@@ -2,8 +2,8 @@
 
 A 64-bit fingerprint is split into b blocks. Fingerprints that differ in at most d bits agree in at least b - d blocks,
 so each fingerprint gets one key per choice of b - d blocks and close pairs share a key. b is chosen from the number of
-distinct fingerprints so that a key's bits keep unrelated fingerprints apart (more fingerprints, longer keys); any b
-above d finds every pair. Keys are joined by dealing rows out by key; within a key, Hamming distances are verified
+distinct fingerprints so that a key's bits keep unrelated fingerprints apart (more fingerprints, longer keys): with d = 4,
+5, 15, 35, 70 or 126 keys a fingerprint, the last for more than 2**32. Any b above d finds every pair. Keys are joined by dealing rows out by key; within a key, Hamming distances are verified
 and the fingerprints linked by a search that compares each reached one with those not yet reached and emits one
 edge per reached fingerprint. So a group of near copies costs edges in proportion to its size, never all pairs, and
 no link between different texts is lost: the components are those of all links. Keys with more fingerprints than

@@ -94,6 +94,31 @@ def test_bpe_latin_words(units):
     assert enc.merges and np.frombuffer(enc.encode_many([text])[0], "<u4").tolist() == enc.encode_placed(text)[0].tolist()
 
 
+def test_bpe_join_needs_two_windows_to_agree():
+    """An encoder that agrees by chance in its first window only: the splice of that window doesn't count."""
+    enc = bpe.Encoder.get(bpe.vocabulary_path())
+    seen = []
+
+    def encode(text):
+        seen.append(len(text))
+        return enc.encode_placed(text)
+
+    left, right = "the cat sat on the mat " * 200, "and then it ran far away " * 200
+    _, ids, _ = bpe.join_parts(encode, (left, *enc.encode_placed(left)), (right, *enc.encode_placed(right)))
+    assert ids.tolist() == enc.encode_placed(left + right)[0].tolist() and len(seen) >= 2 and seen[1] > seen[0]
+
+
+def test_bpe_memory_is_bounded(monkeypatch, tokenizer):
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 20_000)
+    enc = bpe.Encoder(bpe.vocabulary_path())
+    for i in range(40):
+        text = " ".join(f"w{i}x{k}." for k in range(50)) + " x" * 70 + "y" * 500
+        assert np.frombuffer(enc.encode_many([text])[0], "<u4").tolist() == ids_of(tokenizer, text)
+        assert sum(bpe.ENTRY_BYTES + len(u) for d in (enc.memo, enc.cores) for u in d) <= 20_000 + 2 * bpe.ENTRY_BYTES and all(len(u) <= bpe.MEMO_CHARS for u in enc.memo)
+    enc.forget()
+    assert len(enc.memo) == len(enc.cores) == 1
+
+
 def test_bpe_long_unsplit_text(tokenizer):
     enc = bpe.Encoder.get(bpe.vocabulary_path())
     letters = "".join(random.Random(5).choice("etaoinshrdlu") for _ in range(20_000))
@@ -143,7 +168,7 @@ def test_index_takes_new_digests_only(spark, docs, tmp_path):
     index = exact_dedup.DigestIndex(spark, "kept_digests", str(tmp_path / "index"))
     first, rest = docs.where("doc_id < 100"), docs.where("doc_id >= 90")
     for part in (first, rest, rest):
-        index.append_new(exact_dedup.digests(part))
+        index.append_new(common.written(exact_dedup.digests(part), "digests"))
     rows = index.read().collect()
     assert len({r.digest for r in rows}) == len(rows) == exact_dedup.digests(docs).select("digest").distinct().count()
     index.drop()
@@ -153,20 +178,47 @@ def test_index_takes_new_digests_only(spark, docs, tmp_path):
 
 
 def test_later_batch_keeps_what_is_new(spark, docs):
-    table_name = "batches"
-    index = exact_dedup.DigestIndex(spark, table_name)
+    index = exact_dedup.DigestIndex(spark, "batches")
     try:
-        first, both = (common.written(exact_dedup.digests(d), "batch") for d in (docs.where("doc_id < 100"), docs))
-        index.append_new(first)
-        known = {r.digest for r in first.collect()}
-        kept = collections.Counter()
-        for r in exact_dedup.decide(both, index, index.append_new(both)).collect():
+        first = docs.where("doc_id < 100")
+        known = {r.text_sha256: r.keep_id for r in exact_dedup.exact_dedup(first, index).collect()}
+        kept, rows = collections.Counter(), exact_dedup.exact_dedup(docs, index).collect()
+        for r in rows:
             kept[r.text_sha256] += r.kept
-        assert known < set(kept) and all(n == (d not in known) for d, n in kept.items())
+        assert known.keys() < set(kept) and all(n == (d not in known) for d, n in kept.items())
+        assert all(r.keep_id == known[r.text_sha256] for r in rows if r.text_sha256 in known) and len(rows) == docs.count()
+        assert exact_dedup.apply(docs, index).count() == 0
+    finally:
+        index.drop()
+
+
+@pytest.mark.parametrize("batches", [1, 2, 3, 7])
+def test_batches_meet_what_came_before(spark, batches):
+    """Copies that differ by white space come in several batches; the first to come is the longest."""
+    rng = random.Random(batches)
+    rows = [(i, f"w{i % 40}" + " " * rng.randrange(300) + f"x{i % 7}") for i in range(400)]
+    held = common.written(exact_dedup.digests(table(spark, rows)), "digests")
+    index = exact_dedup.DigestIndex(spark, f"met_{batches}")
+    try:
+        names = index.feed(held, batches)
+        assert len(names) == batches
+        entries = index.read().collect()
+        assert len({r.batch for r in entries}) > 1 or batches == 1
+        best = {}
+        for i, t in rows:
+            k = hashlib.sha256(t.replace(" ", "").encode()).hexdigest()
+            best[k] = min(best.get(k, (0, 0)), (-len(t), i))
+        assert counted((r.digest, r.keep_id, r.keep_chars) for r in entries) == counted((k, i, -n) for k, (n, i) in best.items())
     finally:
         index.drop()
 
 
+def test_temporary_indexes_go(spark, awkward):
+    before = {t.name for t in spark.catalog.listTables()}
+    exact_dedup.exact_dedup(awkward).count(), exact_dedup.apply(awkward).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_exact_dedup_empty(empty):
     assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.apply(empty).count() == 0
 
@@ -193,9 +245,17 @@ def test_sharding(awkward, docs):
             assert sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows)))
 
 
-def test_sharding_writes(awkward, tmp_path):
+@pytest.mark.parametrize("most", [300, sharding.FILE_BYTES])
+def test_sharding_writes(awkward, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(sharding, "FILE_BYTES", most)
     got = sharding.apply(awkward, 3, str(tmp_path / "shards"))
     assert counted(got.select("doc_id", "text").collect()) == counted(AWKWARD)
+    rows = got.select("*", "_metadata.file_path").collect()
+    files = collections.defaultdict(list)
+    for r in rows:
+        files[r.file_path].append((r["__shard"], r["__slot"]))
+    assert all(own == sorted(own) and len({k for k, _ in own}) == 1 for own in files.values()) and (most > 300 or len(files) > 3)
+    assert sorted(x for own in files.values() for x in own) == sorted((r.shard, r.slot) for r in sharding.assign(awkward, 3).collect())
 
 
 def test_sharding_empty(empty):
@@ -255,7 +315,7 @@ def test_feistel_is_a_permutation(n, key):
 def test_token_store(spark, docs, awkward, tokenizer, tmp_path):
     both = awkward.select("doc_id", "text").union(docs.select("doc_id", "text"))
     folder = f"file://{tmp_path}/tokens"
-    rows = token_store.materialise(both, folder, length=64, shard_bytes=20_000).collect()
+    rows = token_store.materialise(both, folder, length=64, shard_bytes=20_000, chunk=500).collect()
     n = len(rows)
     assert sorted(r.slot for r in rows) == list(range(n))
     end = tokenizer.token_to_id(token_store.END_TOKEN)
@@ -264,15 +324,36 @@ def test_token_store(spark, docs, awkward, tokenizer, tmp_path):
         k, data = read[r.slot]
         assert k == r.n_tokens and hashlib.sha256(data[: k * 2]).hexdigest() == r.ids_sha256
     assert list(token_store.read_slots(folder, n // 2, 3, 64, 2, 20_000)) == read[n // 2 : n // 2 + 3]
-    # each document's tokens, with an end token, are all there
+    assert sum(r.n_tokens < 64 for r in rows) <= 1
+    # in the order of the stream the sequences are the documents, each with an end token
+    order = token_store.permute(np.arange(n), n)
+    stream = b"".join(read[s][1][: read[s][0] * 2] for s in order.tolist())
+    texts = np.split(np.frombuffer(stream, "<u2"), np.flatnonzero(np.frombuffer(stream, "<u2") == end) + 1)
+    got = counted(x.tolist() for x in texts if len(x))
     want = collections.Counter()
     for r in both.collect():
-        want.update([*ids_of(tokenizer, r.text or ""), end])
-    got = collections.Counter()
-    for k, data in read:
-        got.update(np.frombuffer(data[: k * 2], "<u2").tolist())
+        ids = np.asarray([*ids_of(tokenizer, r.text or ""), end])
+        want.update(tuple(x.tolist()) for x in np.split(ids, np.flatnonzero(ids == end) + 1) if len(x))
     assert got == want
     assert {d for r in rows for d in r.doc_ids} == {r.doc_id for r in both.collect()}
+    # the documents that a sequence lists, in order, are those whose tokens it has
+    listed = [r.doc_ids for r in sorted(rows, key=lambda r: r.slot)]
+    assert all(len(listed[s]) >= 1 for s in range(n))
+
+
+def test_token_store_order_is_of_the_files(spark, docs, tmp_path):
+    """However files are split among tasks, and in whatever chunks, the sequences and their slots are the same."""
+    docs.orderBy("doc_id").repartition(3).write.option("parquet.block.size", 20_000).option("parquet.page.size", 2000).parquet(str(tmp_path / "docs"))
+    results, before = [], spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for i, (split, chunk) in enumerate((("128m", 1 << 15), ("60k", 300), ("25k", 7000))):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            read = spark.read.parquet(str(tmp_path / "docs"))
+            got = token_store.materialise(read, f"file://{tmp_path}/t{i}", length=128, shard_bytes=30_000, chunk=chunk)
+            results.append((read.rdd.getNumPartitions(), sorted((r.slot, r.offset, r.n_tokens, r.ids_sha256, tuple(r.doc_ids)) for r in got.collect())))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len({n for n, _ in results}) > 1 and results[0][1] == results[1][1] == results[2][1]
 
 
 def test_token_store_empty(empty):
@@ -302,6 +383,55 @@ def model_of(words):
     return toxicity.language_model(list(collections.Counter(((s[:-2] * 28 + s[1:-1]) * 28 + s[2:]).tolist()).items()))
 
 
+LM_OF_TESTS = model_of(["you", "are", "an", "idiot", "ass", "boob", "basis", "window", "garden"])
+
+
+def every_reading(lattice, lm):
+    """All paths of a lattice: letters and cost, by enumeration."""
+    import itertools
+
+    for path in itertools.product(*lattice):
+        cost, a, b = 0.0, 27, 27
+        for letter, extra in path:
+            cost += extra
+            if letter:
+                c = 27 if letter == " " else ord(letter) - 96
+                cost, a, b = cost + lm[a, b, c], b, c
+        yield "".join(letter for letter, _ in path), cost + (0.0 if b == 27 else lm[a, b, 27])
+
+
+def cost_of(letters, lattice, lm):
+    return min((cost for own, cost in every_reading(lattice, lm) if own == letters), default=math.inf)
+
+
+@pytest.mark.parametrize("word", ["1d10t", "a55", "a$$!", "l0o0ser", "tr@@sh", "sss!!", "0", "(1|+", "b00b$", "garr44den", "i*t", "w*n", "*1*", "7h15", "_a_", "fl#", "#", "##"])
+def test_toxicity_viterbi_against_all_paths(word):
+    lm = model_of(["idiot", "loser", "trash", "boob", "ass", "asshole", "flame", "garden", "window", "this"])
+    lattice = toxicity.options(word)
+    got, least = toxicity.decode(lattice, lm), min(cost for _, cost in every_reading(lattice, lm))
+    assert cost_of(got, lattice, lm) == pytest.approx(least)
+    ended = toxicity.restore(word, lm, toxicity.Endings(lm))
+    assert cost_of(ended, lattice, lm) == pytest.approx(least)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("ab01$!s*i", min_size=1, max_size=6).filter(lambda t: t.count("*") < 3))
+def test_toxicity_viterbi_against_all_paths_of_any_word(word):
+    lm = LM_OF_TESTS
+    lattice = toxicity.options(word)
+    assert cost_of(toxicity.decode(lattice, lm), lattice, lm) == pytest.approx(min(cost for _, cost in every_reading(lattice, lm)))
+
+
+@pytest.mark.parametrize("run", ["a s s", "i.d i-o.t", "y o u", "a  s  s", "1 d 1 o t", "a * s", "o o l"])
+@pytest.mark.parametrize("strict", [True, False])
+def test_toxicity_viterbi_of_letters_apart(run, strict):
+    lm = LM_OF_TESTS
+    lattice = toxicity.options_apart(run, strict)
+    least = min(cost for _, cost in every_reading(lattice, lm))
+    got = toxicity.decode(lattice, lm)
+    assert cost_of(got, lattice, lm) == pytest.approx(least)
+
+
 def test_toxicity_restores_runs_of_signs():
     lm = model_of(["pussy", "asshole", "boob", "fool", "flaming", "garden", "window"])
     for disguised, plain in {"pu55y": "pussy", "a55hole": "asshole", "a$$hole": "asshole", "b00b": "boob", "f00l": "fool", "f00000l": "fool"}.items():
@@ -398,7 +528,23 @@ def test_media(awkward, tmp_path):
 def test_media_metadata(awkward, tmp_path):
     folder = f"file://{tmp_path}/media"
     placed = media.written(media.store(awkward, folder), "t")
-    assert all((r.width, r.bit_depth, r.colour_type) == (192, 8, 0) for r in media.metadata(placed, folder).collect())
+    got = media.metadata(placed.orderBy("shard", "offset"), folder).collect()
+    heights = {r.digest: r.height for r in got}
+    assert all((r.width, r.bit_depth, r.colour_type) == (192, 8, 0) for r in got) and len(got) == len(AWKWARD)
+    assert all(heights[hashlib.sha256(p).hexdigest()] == len(p) // 192 for p in (media.pad((t or "").encode()) for _, t in AWKWARD))
+
+
+def test_media_metadata_reads_headers_only(awkward, tmp_path, spark):
+    """Whatever follows a member's header may be damaged."""
+    folder = f"file://{tmp_path}/media"
+    placed = media.written(media.store(awkward, folder), "t")
+    for name in {r.shard for r in placed.collect()}:
+        path = tmp_path / "media" / name
+        data = bytearray(path.read_bytes())
+        for r in placed.where(f"shard = '{name}'").collect():
+            data[r.offset + media.HEADER : r.offset + r.length] = bytes(r.length - media.HEADER)
+        path.write_bytes(data)
+    assert media.metadata(placed.orderBy("shard", "offset"), folder).count() == len(AWKWARD)
 
 
 def test_media_empty(empty):
@@ -593,6 +739,14 @@ def test_links_lose_none(spark, bucket):
     assert {f: least[r] for f, r in zip(fps, roots, strict=True)} == {f: got.get(f, f) for f in fps}
 
 
+def test_components_of_a_hot_node(spark):
+    """A star, a path and a ring; and the join on a hot node is of two sides that are shuffled for it."""
+    edges = [(i, 10_000) for i in range(1, 3000)] + [(20_000 + i, 20_001 + i) for i in range(300)] + [(30_000 + i, 30_000 + (i + 1) % 50) for i in range(50)]
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    want = {i: 1 for i in [*range(1, 3000), 10_000]} | {20_000 + i: 20_000 for i in range(301)} | {30_000 + i: 30_000 for i in range(50)}
+    assert got == want
+
+
 def test_simhash_empty(empty):
     assert simhash.query(empty).count() == 0 and simhash.apply(empty).count() == 0
 

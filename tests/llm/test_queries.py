@@ -37,4 +37,5 @@ def test_a_row_for_each_document(spark, name):
 
 
 def test_all_there():
+    assert "op5_token_store" in QUERIES
     assert [k for k in QUERIES if k.startswith("op")] == [k for n in range(1, 11) for k in QUERIES if k.startswith(f"op{n}_")]
