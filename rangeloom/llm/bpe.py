@@ -73,6 +73,7 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.most: int | None = None  # bytes to remember, where they aren't MEMO_BYTES
         self.memo: dict[str, bytes]
         self.cores: dict[str, bytes]
         self.forget()
@@ -130,7 +131,7 @@ class Encoder:
                         del known[u]
                     else:
                         self.held += ENTRY_BYTES + len(u)
-            if self.held > MEMO_BYTES:
+            if self.held > (self.most or MEMO_BYTES):
                 self.forget()
         return out
 
@@ -156,12 +157,13 @@ def forget() -> None:
 
 
 def plain_parts(unit: str) -> tuple[str, str]:
-    """A unit as it is encoded: Latin in lower case, as the vocabulary has it, and without one mark after a letter or digit,
-    which the split pattern always sets apart. Units with a beginning of a special token stay as they are."""
+    """A unit as it is encoded: Latin in lower case, as the vocabulary has it, and the marks that end it after a letter or digit,
+    which the split pattern always sets apart, as one piece. Units with a beginning of a special token stay as they are."""
     if not unit or "<|" in unit or not (unit.isascii() or max(unit) < LATIN):
         return unit, ""
     low = unit.lower()
-    return (low[:-1], low[-1]) if len(low) > 1 and low[-1] in ".,!?;:" and low[-2].isalnum() else (low, "")
+    body = low.rstrip(".,!?;:")
+    return (body, low[len(body) :]) if body and body[-1].isalnum() else (low, "")
 
 
 Part = tuple[str, np.ndarray, np.ndarray]  # text, ids, starts

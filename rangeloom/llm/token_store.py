@@ -37,6 +37,8 @@ from .media import filesystem
 LENGTH = 2048
 #: Tokens of a chunk, about.
 CHUNK = 1 << 15
+#: About the bytes that a worker's encoder may remember while it does nothing else.
+MEMO_BYTES = 448 << 20
 SHARD_BYTES = 32 << 20
 END_TOKEN = "<|endoftext|>"
 HEAD = 4  # bytes of a record's count of tokens
@@ -107,6 +109,7 @@ def chunks(docs: DataFrame, chunk: int = CHUNK, path: str | None = None) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder.get(path or vocabulary_path())
+        enc.most = MEMO_BYTES
         kind = np.dtype(f"<u{token_width(len(enc.pieces))}")
         end = np.asarray([enc.tok.token_to_id(END_TOKEN)], kind)
         pack = _packer()
