@@ -28,7 +28,7 @@ SCHEMA = "digest string, keep_id long, keep_chars long, keep_row long, batch str
 #: Least buckets of an index, and about how many digests each is to hold.
 BUCKETS, PER_BUCKET = 64, 1 << 20
 #: Batches that documents are fed in.
-BATCHES = 3
+BATCHES = 2
 
 
 def normalised(col: str = "text"):
@@ -68,8 +68,8 @@ class DigestIndex:
         return cls(rows.sparkSession, f"digest_index_{uuid.uuid4().hex}", None, max(BUCKETS, rows.count() // PER_BUCKET))
 
     def _write(self, rows: DataFrame) -> None:
-        # dealt as the buckets are: one file per bucket and append
-        dealt = rows.select(*(c.split()[0] for c in SCHEMA.split(", "))).repartition(self.buckets, "digest")
+        # dealt as the buckets are, by the hash that they are numbered by: one file per bucket and append
+        dealt = rows.select(*(c.split()[0] for c in SCHEMA.split(", "))).repartitionById(self.buckets, F.pmod(F.hash("digest"), F.lit(self.buckets)))
         writer = dealt.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
         (writer.option("path", self.path) if self.path else writer).saveAsTable(self.table)
 

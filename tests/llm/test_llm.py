@@ -213,6 +213,16 @@ def test_batches_meet_what_came_before(spark, batches):
         index.drop()
 
 
+def test_an_append_writes_a_file_for_each_bucket(spark, docs, tmp_path):
+    index = exact_dedup.DigestIndex(spark, "few_files", str(tmp_path / "index"), buckets=8)
+    try:
+        index.feed(common.written(exact_dedup.digests(docs), "digests"), 2)
+        files = [p.name.split("_")[-1] for p in (tmp_path / "index").glob("*.parquet")]
+        assert len(files) == 2 * len(set(files)) == 16
+    finally:
+        index.drop()
+
+
 def test_temporary_indexes_go(spark, awkward):
     before = {t.name for t in spark.catalog.listTables()}
     exact_dedup.exact_dedup(awkward).count(), exact_dedup.apply(awkward).count()
