@@ -57,6 +57,7 @@ _LEETISH = "".join(re.escape(c) for c in (*LEET, *MASKS))
 _DISGUISED = re.compile(rf"[$@]?[^\W\d_].*[{_LEETISH}][^\W_].*|[$@0-9]+[^\W\d_].*|.*([^\W\d_])\1\1.*", re.S)
 #: The same of a word with its closing signs: one of them may be a letter.
 _DISGUISED_END = re.compile(rf"[$@]?[^\W\d_].*[{_LEETISH}]|[$@0-9]+[^\W\d_].*[{_LEETISH}]", re.S)
+_STRETCHED = re.compile(r"(.)\1\1", re.S)
 _GAP = r"\s.\-_*/"
 _CLOSING = r".,;:!?\"')\]}>"
 #: Three or more single characters with signs or white space between them.
@@ -277,10 +278,13 @@ class Features:
     def of_word(self, raw: str) -> tuple[int, ...]:
         if (got := self.memo.get(raw)) is not None:
             return got
-        core = raw.lower().strip(_EDGES)
+        low = raw.lower()
+        core = low.strip(_EDGES)
         out = self._hash(core) if len(core) > 1 else []
+        if low.isalpha() and not _STRETCHED.search(low):  # nothing but letters: no disguise
+            return self._kept(raw, out)
         # a sign that opens a word may be a letter; signs that close it are read as none and as letters
-        opened = raw.lower().lstrip(".,;:!?%&#*|\"'([{<")
+        opened = low.lstrip(".,;:!?%&#*|\"'([{<")
         form = opened.rstrip(_EDGES + "$@")
         forms = [form] if _DISGUISED.fullmatch(form) else []
         for closed in {opened.rstrip(_NO_LETTERS), opened.rstrip(_NO_LETTERS + "!|(")} - {form}:
@@ -291,6 +295,9 @@ class Features:
         for plain in {restore(f, self.lm, self.endings) for f in forms if len(f) > 2}:
             if len(plain) > 2 and plain != core:
                 out += self._hash(plain)
+        return self._kept(raw, out)
+
+    def _kept(self, raw: str, out: list[int]) -> tuple[int, ...]:
         got = tuple(out)
         if len(raw) <= self.LONGEST:
             if len(self.memo) >= self.MOST:
