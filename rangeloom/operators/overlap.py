@@ -8,16 +8,17 @@ visits a bin once, so no pair comes twice, and a region meets about the features
 
 A region that would visit more than `FAN_OUT` bins of a class visits bins 2**8 times as wide, or wider still; features
 have a code for each width in use. Which classes, widths and how many visits there are is measured: one aggregate over
-the features' starts and ends (`Spread`; a store keeps it) and one over the regions. Visits that measure at most
-`BROADCAST_BYTES` are broadcast; others are shuffled as the features are and merged, and Spark splits hot bins.
+the features' starts and ends (`Spread`; a store keeps it) and one over the regions' lengths, which bounds the visits to
+each class from above. Visits of at most `BROADCAST_BYTES` by that bound are broadcast; others are shuffled as the features are and merged, and Spark splits hot bins.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
@@ -166,18 +167,55 @@ def _sides(features: DataFrame, regions: DataFrame, bins: Bins | str | None, col
         features = features.withColumn(start, F.when(out, F.raise_error(text).cast(features.schema[start].dataType)).otherwise(F.col(start)))
     if regions.isStreaming:
         return _Sides(features, regions, spread, cols, kinds_of(spread, BASE))
-    length = (F.least(F.col(qend).cast("long"), F.lit(spread.last + 1).cast("long")) - F.greatest(F.col(qstart).cast("long"), F.lit(spread.first).cast("long"))).cast("double")
+    regions = regions.where(F.col(qstart).isNotNull() & F.col(qend).isNotNull())
+    lengths = _lengths(regions, qstart, qend, spread)
     # bins about as long as a middling region; a few very long ones say nothing of the others
-    typical = regions.agg(F.percentile_approx(F.greatest(length, F.lit(1.0)), 0.5, 1000)).first()[0]
-    every = _Sides(features, regions, spread, cols, kinds_of(spread, max(FINEST, int(typical).bit_length() - 1) if typical else BASE))
-    n = F.col(_Q + "b") - F.col(_Q + "a") + 1
-    # at most a row for each class and width
-    found = {r[0]: r for r in every.visits().withColumn(_Q + "task", F.spark_partition_id()).groupBy(_Q + "kind").agg(F.sum(n).alias("n"), F.sum(n * _width(regions)).alias("bytes"), F.approx_count_distinct(_Q + "task").alias("tasks")).collect()}
-    visits, tasks = sum(r.n for r in found.values()), max((r.tasks for r in found.values()), default=1)
+    every = kinds_of(spread, max(FINEST, _middling(lengths) - 1) if lengths else BASE)
+    found = {kind: most for kind in every if (most := _most_visits(lengths, *kind)) is not None}
+    visits, tasks = sum(n for n, _ in found.values()), max((r.tasks for r in lengths), default=1)
     if visits > DEALT * tasks:  # few tasks hold the regions: deal them out before each becomes many rows
-        regions = regions.repartition(-(-visits // DEALT))
-    used = [k for k in every.kinds if k[0] * 8 + k[1] in found]
-    return _Sides(features, regions, spread, cols, used, sum(r.bytes for r in found.values()) <= BROADCAST_BYTES)
+        regions = regions.repartition(math.ceil(visits / DEALT))
+    return _Sides(features, regions, spread, cols, list(found), sum(n for _, n in found.values()) <= BROADCAST_BYTES)
+
+
+def _lengths(regions: DataFrame, qstart: str, qend: str, spread: Spread) -> list[Row]:
+    """The regions by bits of the length that they share with the features' range, shortest first: at most 64 rows."""
+    first, last = (F.lit(x).cast("long") for x in (spread.first, spread.last))
+    shared = F.least(F.col(qend).cast("long"), last + 1) - F.greatest(F.col(qstart).cast("long"), first)
+    rows = regions.select(F.greatest(shared, F.lit(1).cast("long")).alias("size"), _width(regions).cast("double").alias("bytes"), F.spark_partition_id().alias("task"))
+    return (
+        rows.groupBy(F.length(F.bin("size")).alias("bits"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(F.col("size").cast("double")).alias("total"),
+            F.min("size").alias("least"),
+            F.max("size").alias("most"),
+            F.sum("bytes").alias("bytes"),
+            F.sum(F.col("size") * F.col("bytes")).alias("total_bytes"),
+            F.approx_count_distinct("task").alias("tasks"),
+        )
+        .orderBy("bits")
+        .collect()
+    )
+
+
+def _middling(lengths: list[Row]) -> int:
+    """Bits of the median length."""
+    rank = (sum(r.n for r in lengths) - 1) // 2
+    for r in lengths:
+        if rank < r.n:
+            return r.bits
+        rank -= r.n
+    raise ValueError("no lengths")
+
+
+def _most_visits(lengths: list[Row], k: int, j: int, widest: bool) -> tuple[float, float] | None:
+    """At most how many visits, and of how many bytes, the regions make to a class at a width; None where none does."""
+    # a region's last bin is at most (length + more) >> width after its first, or one on; at least (length - 1) >> width
+    more, width = (1 << k) - 2, k + WIDER * j
+    own = [r for r in lengths if (widest or (r.least - 1) >> width < FAN_OUT) and (j == 0 or ((r.most + more) >> width - WIDER) + 1 >= FAN_OUT)]
+    most = lambda n, total: min((total + n * more) / 2.0**width + 2 * n, float(n * FAN_OUT))
+    return (sum(most(r.n, r.total) for r in own), sum(most(r.bytes, r.total_bytes) for r in own)) if own else None
 
 
 def _regions(regions: DataFrame, region_chrom: str, qs: str, qe: str, strict: bool) -> DataFrame:

@@ -57,6 +57,24 @@ def test_few_visits_whatever_the_width(spark, far):
     assert most < overlap.FAN_OUT
 
 
+def test_bound_of_visits(spark, far):
+    """No visit is of a class and width that the bound leaves out, nor are there more, also where regions are cut at the first start."""
+    f, q, df, _ = far
+    first = min(x[1] for x in f if x[1] is not None)
+    edges = [(1000 + i, "a", first - d, first + (n << w) + e) for i, (d, n, w, e) in enumerate((d, n, w, e) for d in (0, 9) for n in (511, 512) for w in (9, 14, 17, 25) for e in (-1, 0, 1, 2))]
+    for own in (q, edges, q[:1], *([e] for e in edges[3::7])):
+        regions = overlap._regions(spark.createDataFrame(own, Q_SCHEMA), "chrom", "qstart", "qend", True)
+        spread = overlap.Spread(tuple(range(1, 37)), first, 1 << 35)
+        sides = overlap._sides(df, regions, None, ("chrom", "start", "end", "__q_chrom", "__q_qstart", "__q_qend"), spread)
+        lengths = overlap._lengths(sides.regions, "__q_qstart", "__q_qend", spread)
+        every = overlap.replace(sides, kinds=overlap.kinds_of(spread, max(overlap.FINEST, overlap._middling(lengths) - 1)))
+        n = F.col("__q_b") - F.col("__q_a") + 1
+        actual = {r[0]: r.n for r in every.visits().groupBy("__q_kind").agg(F.sum(n).alias("n")).collect()}
+        most = {k * 8 + j: overlap._most_visits(lengths, k, j, w)[0] for k, j, w in sides.kinds}
+        assert actual.keys() <= most.keys() and all(n <= most[k] for k, n in actual.items())
+        assert sorted((k, j, w) for k, j, w in every.kinds if k * 8 + j in most) == sorted(sides.kinds)
+
+
 def test_region_below_zero_meets_a_feature_once(spark):
     df = spark.createDataFrame([("c", 0, (1 << 26) + 5, 1)], F_SCHEMA)
     assert joined(overlap_join(df, spark.createDataFrame([(7, "c", -100, 50)], Q_SCHEMA), TABIX)) == [(1, 7)]
