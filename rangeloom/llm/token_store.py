@@ -1,11 +1,11 @@
 """Training-order materialisation: token sequences in fixed-stride binary shards.
 
 1. Documents are encoded where they are read; their tokens, with an end token after each document, are one stream, in the
-   order of the files by path and of the rows in them (input that isn't files: of Spark's partitions). A task writes the
-   tokens of its runs of rows once, compressed, in chunks.
-2. Prefix sums over one row per run - a run is what a task read of a file without a gap - give every chunk its place in
-   the stream, and so the sequences of `length` tokens that it holds whole or in part. How the files were split among
-   tasks changes the runs but neither the stream nor its sequences.
+   order of the files by path and of the rows in them (input that isn't a scan of files, or was shuffled since: as Spark's
+   partitions have it). A task writes the tokens of its runs of rows once, compressed, in chunks.
+2. Prefix sums over one row per run - a run is what is left of a file's split after any filters - give every chunk its
+   place in the stream, and so the sequences of `length` tokens that it holds whole or in part. How the files were split
+   changes the runs but neither the stream nor its sequences.
 3. A keyed Feistel network on the next even power of two, walked along its cycle until it falls below N, permutes the
    sequences: a sequence's slot in training order, known without a sort and invertible.
 4. Pieces of sequences are dealt out by shard (slot // records of a shard), a task for each, sorted, put together, and
@@ -95,12 +95,12 @@ _CHUNKS = pa.schema([("file", pa.string()), ("first", pa.int64()), ("start", pa.
 
 
 def _in_order(docs: DataFrame) -> DataFrame:
-    """doc_id, text, file, row: where a row stands among all."""
+    """doc_id, text, file, block, row: where a row stands among all, and where the split begins that it was read in."""
     own = [F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")]
     try:
-        return docs.select(*own, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").cast("long").alias("row"))
+        return docs.select(*own, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.row_index").cast("long").alias("row"))
     except AnalysisException:  # not a scan of files that number their rows
-        return docs.select(*own, F.lit("").alias("file"), F.monotonically_increasing_id().alias("row"))
+        return docs.select(*own, F.lit("").alias("file"), F.lit(0).cast("long").alias("block"), F.monotonically_increasing_id().alias("row"))
 
 
 def chunks(docs: DataFrame, chunk: int = CHUNK, path: str | None = None) -> DataFrame:
@@ -113,7 +113,7 @@ def chunks(docs: DataFrame, chunk: int = CHUNK, path: str | None = None) -> Data
         kind = np.dtype(f"<u{token_width(len(enc.pieces))}")
         end = np.asarray([enc.tok.token_to_id(END_TOKEN)], kind)
         pack = _packer()
-        at = last = None  # the run, and the row before
+        at = split = last = None  # the run, its file and split, and the row before
         start = held = 0
         parts: list[np.ndarray] = []
         ids: list = []
@@ -130,11 +130,11 @@ def chunks(docs: DataFrame, chunk: int = CHUNK, path: str | None = None) -> Data
                 b = whole.slice(i, 256)
                 rows = []
                 coded = enc.encode_many(b.column("text").to_pylist())
-                for doc, file, row, c in zip(*(b.column(x).to_pylist() for x in ("doc_id", "file", "row")), coded, strict=True):
-                    if at is None or file != at[0] or row != last + 1:
+                for doc, file, block, row, c in zip(*(b.column(x).to_pylist() for x in ("doc_id", "file", "block", "row")), coded, strict=True):
+                    if (file, block) != split or row < last:
                         if held:
                             rows.append(cut())
-                        at, start = (file, row), 0
+                        split, at, start = (file, block), (file, row), 0
                     last = row
                     tokens = np.concatenate([np.frombuffer(c, "<u4").astype(kind), end])
                     while len(tokens):
