@@ -34,7 +34,8 @@ FINEST, BASE = 9, 14
 BROADCAST_BYTES = 8 << 20
 #: Most visits that the regions of a task are to become.
 DEALT = 1 << 18
-_Q = "__q_"
+#: What the columns of regions and of their visits are called by inside a join: these, with further underscores where features have such names.
+_Q, _V = "__q_", "__v_"
 
 
 def overlaps(start: Column, end: Column, qstart: Column, qend: Column) -> Column:
@@ -101,16 +102,16 @@ class _Sides:
         qs, qe = (F.col(c).cast("long") for c in self.cols[4:])
         first, last = (F.lit(x).cast("long") for x in (self.spread.first, self.spread.last))
         kinds = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(k + WIDER * j).alias("sh"), F.lit(j).alias("j"), F.lit(widest).alias("widest")) for k, j, widest in self.kinds))
-        out = self.regions.withColumn(_Q + "kind", F.explode(kinds if self.kinds else F.expr("CAST(array() AS array<struct<k:int,sh:int,j:int,widest:boolean>>)")))
-        k, sh, j = (F.col(f"{_Q}kind.{c}") for c in ("k", "sh", "j"))
+        out = self.regions.withColumn(_V + "kind", F.explode(kinds if self.kinds else F.expr("CAST(array() AS array<struct<k:int,sh:int,j:int,widest:boolean>>)")))
+        k, sh, j = (F.col(f"{_V}kind.{c}") for c in ("k", "sh", "j"))
         # where a feature of the class that overlaps the region may start
         a = F.greatest(F.greatest(qs, first) - F.call_function("shiftleft", F.lit(1).cast("long"), k) + 1, first)
-        out = out.withColumns({_Q + "a": a, _Q + "b": F.least(qe - 1, last)})
-        shifted = lambda x, sh: F.call_function("shiftright", F.col(_Q + x), sh)
+        out = out.withColumns({_V + "a": a, _V + "b": F.least(qe - 1, last)})
+        shifted = lambda x, sh: F.call_function("shiftright", F.col(_V + x), sh)
         few = shifted("b", sh) - shifted("a", sh) < FAN_OUT
         many = shifted("b", sh - WIDER) - shifted("a", sh - WIDER) >= FAN_OUT
-        out = out.where((F.col(_Q + "b") >= F.col(_Q + "a")) & (F.col(f"{_Q}kind.widest") | few) & ((j == 0) | many))
-        return out.withColumns({_Q + "a": shifted("a", sh), _Q + "b": shifted("b", sh), _Q + "kind": k * 8 + j})
+        out = out.where((F.col(_V + "b") >= F.col(_V + "a")) & (F.col(f"{_V}kind.widest") | few) & ((j == 0) | many))
+        return out.withColumns({_V + "a": shifted("a", sh), _V + "b": shifted("b", sh), _V + "kind": k * 8 + j})
 
     def coded_features(self, code: str) -> DataFrame:
         s, e = (F.col(c).cast("long") for c in self.cols[1:3])
@@ -120,16 +121,16 @@ class _Sides:
         return self.features.withColumn(code, codes[0] if len(codes) == 1 else F.explode(F.array(*codes)))
 
     def coded_regions(self, code: str) -> DataFrame:
-        at = lambda x: F.col(_Q + x) * 512 + F.col(_Q + "kind")
-        out = self.visits().withColumn(code, F.explode(F.sequence(at("a"), at("b"), F.lit(512).cast("long")))).drop(_Q + "a", _Q + "b", _Q + "kind")
+        at = lambda x: F.col(_V + x) * 512 + F.col(_V + "kind")
+        out = self.visits().withColumn(code, F.explode(F.sequence(at("a"), at("b"), F.lit(512).cast("long")))).drop(_V + "a", _V + "b", _V + "kind")
         return out if self.small is None else F.broadcast(out) if self.small else out.hint("merge")
 
     def join(self, how: str) -> DataFrame:
         chrom, start, end, qchrom, qstart, qend = self.cols
-        code = _free(self.features.columns + self.regions.columns, "__code")
-        f, q = self.coded_features(code), self.coded_regions(_Q + code)
-        on = (F.col(code) == F.col(_Q + code)) & (F.col(chrom) == F.col(qchrom)) & overlaps(F.col(start), F.col(end), F.col(qstart), F.col(qend))
-        return f.join(q, on, how).drop(code, _Q + code)
+        code, qcode = (_free(self.features.columns + self.regions.columns, x) for x in ("__code", _V + "code"))
+        f, q = self.coded_features(code), self.coded_regions(qcode)
+        on = (F.col(code) == F.col(qcode)) & (F.col(chrom) == F.col(qchrom)) & overlaps(F.col(start), F.col(end), F.col(qstart), F.col(qend))
+        return f.join(q, on, how).drop(code, qcode)
 
     def by_width(self) -> list[_Sides]:
         """The same, one width at a time: a feature has one code in each."""
@@ -138,7 +139,7 @@ class _Sides:
 
 def _free(taken: list[str], name: str) -> str:
     low = {c.lower() for c in taken}
-    while name.lower() in low or (_Q + name).lower() in low:
+    while name.lower() in low:
         name = f"_{name}"
     return name
 
@@ -218,32 +219,52 @@ def _most_visits(lengths: list[Row], k: int, j: int, widest: bool) -> tuple[floa
     return (sum(most(r.n, r.total) for r in own), sum(most(r.bytes, r.total_bytes) for r in own)) if own else None
 
 
-def _regions(regions: DataFrame, region_chrom: str, qs: str, qe: str, strict: bool) -> DataFrame:
+def _regions(regions: DataFrame, q: str, qs: str, qe: str, strict: bool) -> DataFrame:
     """The regions with all columns prefixed, checked or without the invalid ones."""
-    q = regions.withColumnsRenamed({c: _Q + c for c in regions.columns})
+    own = regions.withColumnsRenamed({c: q + c for c in regions.columns})
     if strict:
-        return q.withColumn(_Q + qs, checked(F.col(_Q + qs), F.col(_Q + qe)))
-    return q.where(F.col(_Q + qe) > F.col(_Q + qs))
+        return own.withColumn(q + qs, checked(F.col(q + qs), F.col(q + qe)))
+    return own.where(F.col(q + qe) > F.col(q + qs))
+
+
+def _prefix(features: DataFrame) -> str:
+    """One that no feature column begins with."""
+    q = _Q
+    while any(c.lower().startswith(q) for c in features.columns):
+        q = f"_{q}"
+    return q
+
+
+def _pairs(features: DataFrame, regions: DataFrame, bins: Bins | str | None = None, *, chrom: str = "chrom", start: str = "start", end: str = "end", region_chrom: str = "chrom", region_start: str = "qstart", region_end: str = "qend", strict: bool = True, spread: Spread | None = None) -> tuple[DataFrame, str]:
+    """All feature columns and, by a prefix, all region columns of each overlapping pair; and the prefix."""
+    q = _prefix(features)
+    own = _regions(regions, q, region_start, region_end, strict)
+    return _sides(features, own, bins, (chrom, start, end, q + region_chrom, q + region_start, q + region_end), spread).join("inner"), q
+
+
+def _named(features: list[str], regions: list[str]) -> dict[str, str]:
+    """What region columns are called beside feature columns: region_<name> where a feature column has the name."""
+    taken, out = {c.lower() for c in features}, {}
+    for c in regions:
+        name = c
+        while name.lower() in taken:
+            name = f"region_{name}"
+        taken.add(name.lower())
+        out[c] = name
+    return out
 
 
-def overlap_join(features: DataFrame, regions: DataFrame, bins: Bins | str | None = None, *, chrom: str = "chrom", start: str = "start", end: str = "end", region_chrom: str = "chrom", region_start: str = "qstart", region_end: str = "qend", strict: bool = True, spread: Spread | None = None) -> DataFrame:
+def overlap_join(features: DataFrame, regions: DataFrame, bins: Bins | str | None = None, *, region_chrom: str = "chrom", **names) -> DataFrame:
     """A row for each overlapping pair: all feature columns, then the region columns but its sequence name.
 
-    A region column named like a feature column comes as region_<name>. strict: a region whose end is not above its start fails
-    the query; otherwise it matches nothing. bins: a scheme beyond whose range a feature fails the query. spread: of the features,
-    where it is known. Both sides are read once to be measured and once to be joined.
+    A region column named like a feature column comes as region_<name>. names: chrom, start, end of features, region_chrom,
+    region_start, region_end of regions, where they aren't chrom, start, end, chrom, qstart, qend. strict: a region whose end is
+    not above its start fails the query (the default); otherwise it matches nothing. bins: a scheme beyond whose range a feature
+    fails the query. spread: of the features, where it is known. Both sides are read once to be measured and once to be joined.
     """
-    q = _regions(regions, region_chrom, region_start, region_end, strict)
-    out = _sides(features, q, bins, (chrom, start, end, _Q + region_chrom, _Q + region_start, _Q + region_end), spread).join("inner")
-    taken, named = list(features.columns), []
-    for c in regions.columns:
-        if c != region_chrom:
-            name = c
-            while name.lower() in map(str.lower, taken):
-                name = f"region_{name}"
-            taken.append(name)
-            named.append(F.col(f"`{_Q}{c}`").alias(name))
-    return out.select(*(F.col(f"`{c}`") for c in features.columns), *named)
+    pairs, q = _pairs(features, regions, bins, region_chrom=region_chrom, **names)
+    called = _named(features.columns, [c for c in regions.columns if c != region_chrom])
+    return pairs.select(*(F.col(f"`{c}`") for c in features.columns), *(F.col(f"`{q}{c}`").alias(name) for c, name in called.items()))
 
 
 def overlapping_records(features: DataFrame, regions: DataFrame, bins: Bins | str | None = None, **names) -> DataFrame:
@@ -252,22 +273,30 @@ def overlapping_records(features: DataFrame, regions: DataFrame, bins: Bins | st
 
 
 def overlap_counts(features: DataFrame, regions: DataFrame, key: str = "qid", bins: Bins | str | None = None, zeros: bool = False, **names) -> DataFrame:
-    """key, n: overlapping features of each region; zeros: also of regions that have none. Regions of one key, null too, count together."""
-    n = overlap_join(features, regions, bins, **names).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return _for_each(regions, key, n) if zeros else n
+    """key, n: overlapping features of each region; zeros: also of regions that have none. Regions of one key, null too, count together.
+
+    key is a region's column, whatever features have of that name. names: as overlap_join's.
+    """
+    pairs, q = _pairs(features, regions, bins, **names)
+    return _for_each(regions, key, pairs, q, {"n": F.count(F.lit(1))}, zeros)
 
 
-def _for_each(regions: DataFrame, key: str, found: DataFrame) -> DataFrame:
-    """The regions' keys with what was found of them, or zeros."""
-    found = found.withColumnRenamed(key, _Q + "key")
-    zero = F.lit(0).cast("long")
-    return regions.select(key).join(found, F.col(key).eqNullSafe(F.col(_Q + "key")), "left").select(key, *(F.coalesce(c, zero).alias(c) for c in found.columns if c != _Q + "key"))
+def _for_each(regions: DataFrame, key: str, pairs: DataFrame, q: str, figures: dict[str, Column], zeros: bool) -> DataFrame:
+    """The regions' keys with figures of their pairs; zeros: a row for each region, with zeros for those that have none."""
+    if key.lower() in figures:
+        raise ValueError(f"a key can't be called {key}, as a figure is")
+    found = pairs.groupBy(F.col(f"`{q}{key}`").alias(q)).agg(*(c.alias(name) for name, c in figures.items()))
+    if not zeros:
+        return found.withColumnRenamed(q, key)
+    keys, zero = regions.select(F.col(f"`{key}`").alias(_V)), F.lit(0).cast("long")
+    return keys.join(found, F.col(_V).eqNullSafe(F.col(q)), "left").select(F.col(_V).alias(key), *(F.coalesce(name, zero).alias(name) for name in figures))
 
 
 def overlap_semi(features: DataFrame, regions: DataFrame, bins: Bins | str | None = None, *, anti: bool = False, chrom: str = "chrom", start: str = "start", end: str = "end", region_chrom: str = "chrom", region_start: str = "qstart", region_end: str = "qend", strict: bool = True, spread: Spread | None = None) -> DataFrame:
     """Extension: the features that overlap any region (anti: none), each once. Regions are checked as in overlap_join."""
-    q = _regions(regions.select(region_chrom, region_start, region_end), region_chrom, region_start, region_end, strict)
-    sides = _sides(features, q, bins, (chrom, start, end, _Q + region_chrom, _Q + region_start, _Q + region_end), spread)
+    q = _prefix(features)
+    own = _regions(regions.select(region_chrom, region_start, region_end), q, region_start, region_end, strict)
+    sides = _sides(features, own, bins, (chrom, start, end, q + region_chrom, q + region_start, q + region_end), spread)
     first, *wider = sides.by_width()
     rest, found = first.join("left_anti"), first.join("left_semi")
     for own in wider:  # only where some regions are very wide
@@ -277,16 +306,25 @@ def overlap_semi(features: DataFrame, regions: DataFrame, bins: Bins | str | Non
 
 
 def overlap_left(features: DataFrame, regions: DataFrame, key: str = "qid", bins: Bins | str | None = None, **names) -> DataFrame:
-    """Extension: every region (chrom, qstart, qend, key) with its features, or nulls. The key, which may be null once, names a region."""
-    pairs = overlap_join(features, regions, bins, **names)
-    own = pairs.select(F.col(key).alias(_Q + "key"), *(c for c in features.columns if c != "chrom"))
-    return regions.join(own, F.col(key).eqNullSafe(F.col(_Q + "key")), "left").drop(_Q + "key")
+    """Extension: every region, with all its columns, and its features (without their sequence name), or nulls.
+
+    The key, which may be null once, names a region. Columns are called as overlap_join's are; names: as its.
+    """
+    pairs, q = _pairs(features, regions, bins, **names)
+    kept = [c for c in features.columns if c != names.get("chrom", "chrom")]
+    own = pairs.select(F.col(f"`{q}{key}`").alias(q), *(F.col(f"`{c}`") for c in kept))
+    all_regions = regions.withColumnsRenamed({c: q + c for c in regions.columns})
+    found = all_regions.join(own, F.col(f"`{q}{key}`").eqNullSafe(F.col(q)), "left")
+    return found.select(*(F.col(f"`{q}{c}`").alias(name) for c, name in _named(kept, regions.columns).items()), *(F.col(f"`{c}`") for c in kept))
 
 
 def coverage(features: DataFrame, regions: DataFrame, key: str = "qid", bins: Bins | str | None = None, **names) -> DataFrame:
-    """Extension: key, n, bases: features over each region and the summed length of their overlaps."""
-    both = F.least("end", "qend") - F.greatest("start", "qstart")
-    return _for_each(regions, key, overlap_join(features, regions, bins, **names).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(both).alias("bases")))
+    """Extension: key, n, bases: features over each region and the summed length of their overlaps. key, names: as overlap_counts'."""
+    pairs, q = _pairs(features, regions, bins, **names)
+    s, e = (F.col(f"`{names.get(x, x)}`") for x in ("start", "end"))
+    qs, qe = (F.col(f"`{q}{names.get(x, own)}`") for x, own in (("region_start", "qstart"), ("region_end", "qend")))
+    both = F.sum((F.least(e, qe) - F.greatest(s, qs)).cast("long"))
+    return _for_each(regions, key, pairs, q, {"n": F.count(F.lit(1)), "bases": both}, True)
 
 
 def lookup(features: DataFrame, chrom: str, qstart: int, qend: int, *, chrom_col: str = "chrom", start: str = "start", end: str = "end") -> DataFrame:

@@ -79,14 +79,12 @@ def overlap_anti(spark, d):
 
 @query(f"SELECT q.qid, q.chrom, q.qstart, q.qend, f.istart, f.iend FROM regions q LEFT JOIN features f ON {_OVER}")
 def overlap_left(spark, d):
-    f = _f(spark, d).withColumnsRenamed({"istart": "start", "iend": "end"})
-    return overlap.overlap_left(f, fx.regions(spark, d)).select("qid", "chrom", "qstart", "qend", F.col("start").alias("istart"), F.col("end").alias("iend"))
+    return overlap.overlap_left(_f(spark, d), fx.regions(spark, d), **NAMES).drop("rest")
 
 
 @query(f"SELECT q.qid, count(f.chrom) AS n, CAST(coalesce(sum(CASE WHEN f.chrom IS NOT NULL THEN least(f.iend, q.qend) - greatest(f.istart, q.qstart) END), 0) AS bigint) AS bases FROM regions q LEFT JOIN features f ON {_OVER} GROUP BY q.qid")
 def coverage(spark, d):
-    f = _f(spark, d).withColumnsRenamed({"istart": "start", "iend": "end"})
-    return overlap.coverage(f, fx.regions(spark, d))
+    return overlap.coverage(_f(spark, d), fx.regions(spark, d), **NAMES)
 
 
 @query("SELECT a.ord, b.ord AS other FROM spans a JOIN spans b ON a.chrom = b.chrom AND a.istart < b.iend AND a.iend > b.istart WHERE a.user_id = b.user_id AND a.ord < b.ord")

@@ -51,9 +51,9 @@ def test_wide_and_negative_regions(far, monkeypatch, most):
 
 def test_few_visits_whatever_the_width(spark, far):
     _, _, df, dq = far
-    sides = overlap._sides(df, overlap._regions(dq, "chrom", "qstart", "qend", True), None, ("chrom", "start", "end", "__q_chrom", "__q_qstart", "__q_qend"), None)
+    sides = overlap._sides(df, overlap._regions(dq, "__q_", "qstart", "qend", True), None, ("chrom", "start", "end", "__q_chrom", "__q_qstart", "__q_qend"), None)
     assert len(sides.by_width()) > 1
-    most = sides.visits().select(F.max(F.col("__q_b") - F.col("__q_a"))).first()[0]
+    most = sides.visits().select(F.max(F.col("__v_b") - F.col("__v_a"))).first()[0]
     assert most < overlap.FAN_OUT
 
 
@@ -63,13 +63,13 @@ def test_bound_of_visits(spark, far):
     first = min(x[1] for x in f if x[1] is not None)
     edges = [(1000 + i, "a", first - d, first + (n << w) + e) for i, (d, n, w, e) in enumerate((d, n, w, e) for d in (0, 9) for n in (511, 512) for w in (9, 14, 17, 25) for e in (-1, 0, 1, 2))]
     for own in (q, edges, q[:1], *([e] for e in edges[3::7])):
-        regions = overlap._regions(spark.createDataFrame(own, Q_SCHEMA), "chrom", "qstart", "qend", True)
+        regions = overlap._regions(spark.createDataFrame(own, Q_SCHEMA), "__q_", "qstart", "qend", True)
         spread = overlap.Spread(tuple(range(1, 37)), first, 1 << 35)
         sides = overlap._sides(df, regions, None, ("chrom", "start", "end", "__q_chrom", "__q_qstart", "__q_qend"), spread)
         lengths = overlap._lengths(sides.regions, "__q_qstart", "__q_qend", spread)
         every = overlap.replace(sides, kinds=overlap.kinds_of(spread, max(overlap.FINEST, overlap._middling(lengths) - 1)))
-        n = F.col("__q_b") - F.col("__q_a") + 1
-        actual = {r[0]: r.n for r in every.visits().groupBy("__q_kind").agg(F.sum(n).alias("n")).collect()}
+        n = F.col("__v_b") - F.col("__v_a") + 1
+        actual = {r[0]: r.n for r in every.visits().groupBy("__v_kind").agg(F.sum(n).alias("n")).collect()}
         most = {k * 8 + j: overlap._most_visits(lengths, k, j, w)[0] for k, j, w in sides.kinds}
         assert actual.keys() <= most.keys() and all(n <= most[k] for k, n in actual.items())
         assert sorted((k, j, w) for k, j, w in every.kinds if k * 8 + j in most) == sorted(sides.kinds)
@@ -155,7 +155,7 @@ def test_candidates_are_few(spark):
 
     d = "/root/testdata/sf0.01"
     cols = ("chrom", "istart", "iend", "__q_chrom", "__q_qstart", "__q_qend")
-    sides = overlap._sides(fixtures.features(spark, d), overlap._regions(fixtures.regions(spark, d), "chrom", "qstart", "qend", True), None, cols, None)
+    sides = overlap._sides(fixtures.features(spark, d), overlap._regions(fixtures.regions(spark, d), "__q_", "qstart", "qend", True), None, cols, None)
     f = sides.coded_features("c").groupBy("chrom", "c").agg(F.count(F.lit(1)).alias("n"))
     q = sides.coded_regions("d").groupBy("__q_chrom", "d").agg(F.count(F.lit(1)).alias("m"))
     met = f.join(q, (F.col("c") == F.col("d")) & (F.col("chrom") == F.col("__q_chrom"))).agg(F.sum(F.col("n") * F.col("m"))).first()[0]
