@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, media, mixing, secrets, sharding, simhash, token_store, toxicity
+from . import bpe, chat, exact_dedup, language, media, mixing, phrases, secrets, sharding, simhash, token_store, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -141,6 +141,40 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(_table(spark, sf_dir, "documents"))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (SELECT row_number() OVER () AS piece, lang, regexp_extract_all(p, '[^\x20\x09]+') AS w
+                FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+placed AS (SELECT piece, lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+grams AS (SELECT lang, len, array_to_string(w[i : i + len - 1], ' ') AS phrase FROM placed, (SELECT unnest([1, 2, 3, 4]) AS len) WHERE i + len - 1 <= len(w)),
+counted AS (SELECT lang, len, phrase, count(*) AS f FROM grams GROUP BY ALL),
+frequent AS (SELECT *, string_split(phrase, ' ') AS w FROM counted WHERE f >= 30),
+candidates AS (SELECT lang, len, phrase, f AS a, w FROM frequent WHERE len > 1),
+cuts AS (SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r, CAST(2000000::hugeint * c.a // (x.f::hugeint + y.f) AS bigint) AS score
+         FROM (SELECT *, unnest(range(1, len)) AS k FROM candidates) c
+         JOIN frequent x ON x.lang = c.lang AND x.len = k AND x.phrase = array_to_string(c.w[1 : k], ' ')
+         JOIN frequent y ON y.lang = c.lang AND y.len = c.len - k AND y.phrase = array_to_string(c.w[k + 1 :], ' ')),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM cuts),
+inner_parts AS (SELECT lang, len, f_of, m, array_to_string(w[i : i + m - 1], ' ') AS phrase FROM (SELECT lang, len, a AS f_of, w, m, unnest(range(1, len - m + 2)) AS i FROM candidates, (SELECT unnest([2, 3]) AS m) WHERE m < len)),
+held AS (SELECT lang, phrase, max(f_of) AS held FROM inner_parts GROUP BY ALL),
+kept AS (SELECT l.* FROM lowest l LEFT JOIN held h ON h.lang = l.lang AND h.phrase = l.phrase WHERE place = 1 AND (held IS NULL OR 100::hugeint * held < 80::hugeint * l.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept),
+totals AS (SELECT lang, CAST(sum(f) AS bigint) AS n FROM counted WHERE len = 1 GROUP BY lang)
+SELECT r.lang, rank, phrase, a, l, r.r, n, score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -158,6 +192,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_chat": op9_chat,
     "op10_simhash": op10_simhash,
+    "op11_language": op11_language,
+    "op12_whitening": op12_whitening,
+    "op13_phrases": op13_phrases,
     "pipeline": pipeline,
     "secrets_counts": secrets_counts,
     "media_payloads": media_payloads,
@@ -167,6 +204,7 @@ SQL: dict[str, str] = {
     "op3_sharding": OP3_SQL,
     "op8_mixing": OP8_SQL,
     "op9_chat": OP9_SQL,
+    "op13_phrases": OP13_SQL,
     "secrets_counts": SECRETS_COUNTS_SQL,
     "media_payloads": MEDIA_PAYLOADS_SQL,
 }

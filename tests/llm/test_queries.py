@@ -20,6 +20,7 @@ COLUMNS = {
     "op7_media": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature",
     "op8_mixing": "doc_id size source_size target taken",
     "op10_simhash": "doc_id fingerprint component_id",
+    "op11_language": "doc_id held_out lang_pred score",
 }
 
 
@@ -38,4 +39,11 @@ def test_a_row_for_each_document(spark, name):
 
 def test_all_there():
     assert "op5_token_store" in QUERIES
-    assert [k for k in QUERIES if k.startswith("op")] == [k for n in range(1, 11) for k in QUERIES if k.startswith(f"op{n}_")]
+    assert [k for k in QUERIES if k.startswith("op")] == [k for n in range(1, 14) for k in QUERIES if k.startswith(f"op{n}_")]
+
+
+def test_whitening_over_the_table(spark):
+    got = QUERIES["op12_whitening"](spark, D)
+    assert got.columns == "vec_id component n deviation whitened explained identity_error".split()
+    n = spark.read.parquet(f"{D}/embeddings.parquet").count()
+    assert got.count() == n * 16 and got.where("identity_error > 1e-6").count() == 0
