@@ -1,11 +1,10 @@
 """Phrase collocation mining by contiguous pattern growth, as PrefixSpan does it.
 
-1. Words are counted by language, exactly. Beside that each task counts pairs of neighbouring words in a hashed table of
-   `CELLS` counters that stop at 255; the tables are added up by blocks. A pair whose cell stays below the support is
-   infrequent, whatever else hashes to it, and so is every longer phrase that holds it.
-2. Occurrences are projected: of each place where a pair begins whose cell is full enough, the words that follow, up to
-   `LONGEST` and up to the first pair that is known to be infrequent; equal projections are counted together, in the task and
-   then over all tasks.
+1. Words are counted by language, exactly. Beside that each task counts phrases of two, three and four words in a hashed table
+   of 2^`CELL_BITS` counters for each length, which stop at 255; the tables are added up by blocks. A phrase whose cell stays
+   below the support is infrequent, whatever else hashes to it, and so is every longer one that begins with it.
+2. Occurrences are projected: of each place where a pair begins whose cell is full enough, the words that follow, for as long as
+   the phrase's cell is full enough, up to `LONGEST`; equal projections are counted together, in the task and then over all tasks.
 3. Projections are dealt out by ranges of prefixes, sorted, and each task grows its prefixes to the right, depth-first: it
    walks the sorted projections with one count for each word of the present prefix. So a prefix is one task's; one with too
    many projections for a task goes on in the next, and what both saw of it is added up. No task holds a prefix's projections.
@@ -13,8 +12,8 @@
    shuffled sides, which Spark splits where a part is hot. Each language's first phrases are found by a ranked window, whose
    limit Spark applies in each task before rows of a language meet.
 
-The table of cells (bits of it: 2 MB) is all that goes to every task; its size is a parameter and does not grow with the corpus.
-On a large corpus it fills, and then prunes less: that costs projections, not results.
+The tables of cells (a bit for each: 6 MB) are all that goes to every task; their size is a parameter and does not grow by itself.
+With many more different phrases than cells they fill, and then prune less: that costs projections, not results.
 
 Defined results: a null text is empty, a null lang is `und` (and counts with rows that say so); A-Z are lower-cased and no other
 letters; repeated rows count as often as they come; texts without words, and an empty table, give no rows; other columns are ignored.
@@ -34,7 +33,7 @@ from .common import parts, text_or_empty, written
 SUPPORT, LONGEST, FIRST = 30, 4, 2000
 #: A phrase goes if a longer one that holds it has this share of its occurrences, in hundredths.
 COVERED = 80
-#: Log2 of the counters of pairs, and counters of a block.
+#: Log2 of the counters for phrases of a length, and counters of a block.
 CELL_BITS, BLOCK = 24, 1 << 12
 #: About the bytes of text that are cut into words at once, and the words that a task remembers before it sends their counts on.
 PIECE_BYTES, REMEMBERED = 4 << 20, 1 << 20
@@ -62,13 +61,15 @@ class _Words:
         seed = xxhash.xxh64_intdigest(lang.encode())
         self.hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.dictionary.to_pylist()), np.uint64, len(self.dictionary))
 
-    def cells(self, bits: int) -> np.ndarray:
-        """The cell of each word and the one after it; -1 where one of them is a stop."""
-        with np.errstate(over="ignore"):
-            x = self.hashes[self.codes[:-1]] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[self.codes[1:]]
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        cell = (x >> np.uint64(64 - bits)).astype(np.int64)
-        return np.where((self.codes[:-1] == 0) | (self.codes[1:] == 0), -1, cell)
+    def cells(self, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For two words, three and so on: of the phrase at each place whether it is one (no stop in it), and its cell."""
+        x, good = self.hashes[self.codes], self.codes != 0
+        for k in range(1, LONGEST):
+            with np.errstate(over="ignore"):
+                x = x[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[self.codes[k:]]
+                x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            good = good[:-1] & (self.codes[k:] != 0)
+            yield good, (x >> np.uint64(64 - bits)).astype(np.uint32)
 
 
 def _by_language(batches: Iterator[pa.RecordBatch], piece: int) -> Iterator[_Words]:
@@ -101,10 +102,10 @@ def _counted(lang, word, n, block=None, cells=None) -> pa.RecordBatch:
 
 
 def count(docs: DataFrame, bits: int = CELL_BITS, piece: int = PIECE_BYTES, remembered: int = REMEMBERED) -> DataFrame:
-    """In one pass: counts of words (lang, word, n) and blocks of the table of pairs (block, cells), both by task."""
+    """In one pass: counts of words (lang, word, n) and blocks of the tables of phrases (block, cells), both by task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << bits, np.uint8)
+        tables = np.zeros((LONGEST - 1, 1 << bits), np.uint8)
         held: dict[str, dict[bytes, int]] = {}
         size = 0
 
@@ -123,14 +124,16 @@ def count(docs: DataFrame, bits: int = CELL_BITS, piece: int = PIECE_BYTES, reme
             for w, k in zip(words.dictionary.to_pylist()[1:], n[1:], strict=True):
                 own[w] = own.get(w, 0) + k
             size += len(own) - before
-            cells = words.cells(bits)
-            at, k = np.unique(cells[cells >= 0], return_counts=True)
-            table[at] = np.minimum(table[at] + k, 255)
+            for table, (good, cells) in zip(tables, words.cells(bits), strict=True):
+                found = np.sort(cells[good])
+                first = np.flatnonzero(np.diff(found, prepend=~found[:1]))
+                at = found[first]
+                table[at] = np.minimum(table[at] + np.diff(first, append=len(found)), 255)
             if size >= remembered:
                 yield from send()
                 size = 0
         yield from send()
-        blocks = table.reshape(-1, BLOCK)
+        blocks = tables.reshape(-1, BLOCK)
         used = np.flatnonzero(blocks.any(1))
         for i in range(0, len(used), 256):
             some = used[i : i + 256]
@@ -141,7 +144,7 @@ def count(docs: DataFrame, bits: int = CELL_BITS, piece: int = PIECE_BYTES, reme
 
 
 def frequent_cells(blocks: DataFrame, support: int, bits: int = CELL_BITS) -> np.ndarray:
-    """From rows block, cells: whether each cell reaches the support. Tables are added as they stream; bits go to the driver, of bounded size."""
+    """From rows block, cells: for each length a bit for each cell that reaches the support. Blocks are added as they stream; the bits go to the driver."""
     need = min(support, 255)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,10 +156,10 @@ def frequent_cells(blocks: DataFrame, support: int, bits: int = CELL_BITS) -> np
         rows = [(k, np.packbits(v >= need).tobytes()) for k, v in total.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "bits"])
 
-    found = np.zeros((1 << bits) // 8, np.uint8).reshape(-1, BLOCK // 8)
+    found = np.zeros((LONGEST - 1) * (1 << bits) // 8, np.uint8).reshape(-1, BLOCK // 8)
     for r in blocks.repartition("block").mapInArrow(run, "block int, bits binary").collect():
         found[r.block] = np.frombuffer(r.bits, np.uint8)
-    return found.ravel()
+    return found.reshape(LONGEST - 1, -1)
 
 
 _WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
@@ -165,22 +168,23 @@ PROJECTED = "lang string, " + ", ".join(f"{w} string" for w in _WORDS) + ", n lo
 
 def project(docs: DataFrame, frequent: np.ndarray, piece: int = PIECE_BYTES) -> DataFrame:
     """lang, w1 to w4 (null where the projection is shorter), n. frequent: a bit for each cell."""
-    bits = (len(frequent) * 8).bit_length() - 1
+    bits = (frequent.shape[1] * 8).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in _by_language(batches, piece):
-            cells = words.cells(bits)
-            good = (cells >= 0) & ((frequent[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1).astype(bool)
-            good = np.append(good, [False] * LONGEST)
-            at = np.flatnonzero(good)
+            base = len(words.dictionary)  # stands for no word
+            at = None
+            taken: list[np.ndarray] = []
+            for k, (full, (good, cells)) in enumerate(zip(frequent, words.cells(bits), strict=True), 1):
+                good = good & ((full[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1).astype(bool)
+                if at is None:
+                    at = np.flatnonzero(good)
+                    taken, alive = [words.codes[at], words.codes[at + 1]], np.ones(len(at), bool)
+                else:
+                    alive = alive & np.append(good, [False] * k)[at]
+                    taken.append(np.where(alive, words.codes[np.minimum(at + k, len(words.codes) - 1)], base))
             if not len(at):
                 continue
-            base = len(words.dictionary)  # stands for no word
-            taken, alive = [words.codes[at], words.codes[at + 1]], np.ones(len(at), bool)
-            codes = np.append(words.codes, [0] * LONGEST)
-            for k in range(1, LONGEST - 1):
-                alive = alive & good[at + k]
-                taken.append(np.where(alive, codes[at + k + 1], base))
             pairs = []  # two words in one number, then the two numbers' places in one
             for a, b in zip(taken[::2], taken[1::2], strict=True):
                 pairs.append(np.unique(a * (base + 1) + b, return_inverse=True))
