@@ -37,6 +37,8 @@ COVERED = 80
 CELL_BITS, BLOCK = 24, 1 << 12
 #: About the bytes of text that are cut into words at once, and the words that a task remembers before it sends their counts on.
 PIECE_BYTES, REMEMBERED = 4 << 20, 1 << 20
+#: Different projections that a task holds at most before it sends them on.
+HELD = 1 << 20
 #: About how many projections a task walks.
 PER_TASK = 1 << 19
 NO_LANG = "und"
@@ -166,11 +168,34 @@ _WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
 PROJECTED = "lang string, " + ", ".join(f"{w} string" for w in _WORDS) + ", n long"
 
 
-def project(docs: DataFrame, frequent: np.ndarray, piece: int = PIECE_BYTES) -> DataFrame:
+def _summed(keys: list[np.ndarray] | np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal columns of keys once, with their summed counts."""
+    keys = np.asarray(keys)
+    order = np.lexsort(keys)
+    keys, n = keys[:, order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)]))
+    return keys[:, first], np.add.reduceat(n, first)
+
+
+def project(docs: DataFrame, frequent: np.ndarray, piece: int = PIECE_BYTES, most: int = HELD) -> DataFrame:
     """lang, w1 to w4 (null where the projection is shorter), n. frequent: a bit for each cell."""
     bits = (frequent.shape[1] * 8).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}  # the task's words and languages by number
+        langs: dict[str, int] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # projections as columns of numbers, and their counts
+
+        def send() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            keys, n = _summed(*(np.concatenate(c, -1) for c in zip(*held, strict=True)))
+            names, own = pa.array(list(known), pa.binary()).cast(pa.string()), pa.array(list(langs), pa.string())
+            for i in range(0, len(n), 1 << 16):
+                some = keys[:, i : i + (1 << 16)]
+                columns = [own.take(pa.array(some[0])), *(names.take(pa.array(c, mask=c < 0)) for c in some[1:])]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n[i : i + (1 << 16)])], names=["lang", *_WORDS, "n"])
+
         for words in _by_language(batches, piece):
             base = len(words.dictionary)  # stands for no word
             at = None
@@ -185,19 +210,19 @@ def project(docs: DataFrame, frequent: np.ndarray, piece: int = PIECE_BYTES) ->
                     taken.append(np.where(alive, words.codes[np.minimum(at + k, len(words.codes) - 1)], base))
             if not len(at):
                 continue
-            pairs = []  # two words in one number, then the two numbers' places in one
-            for a, b in zip(taken[::2], taken[1::2], strict=True):
-                pairs.append(np.unique(a * (base + 1) + b, return_inverse=True))
-            (u12, i12), (u34, i34) = pairs
-            both, n = np.unique(i12.astype(np.int64) * len(u34) + i34, return_counts=True)
-            first, second = u12[both // len(u34)], u34[both % len(u34)]
-            names = words.dictionary.cast(pa.string())
-            columns = []
-            for c in (first // (base + 1), first % (base + 1), second // (base + 1), second % (base + 1)):
-                columns.append(names.take(pa.array(c, mask=c == base)))
-            batch = pa.RecordBatch.from_arrays([pa.array([words.lang] * len(both), pa.string()), *columns, pa.array(n, pa.int64())], names=["lang", *_WORDS, "n"])
-            for i in range(0, batch.num_rows, 1 << 16):
-                yield batch.slice(i, 1 << 16)
+            ids = np.full(base + 1, -1, np.int64)  # of the words used here, among those of the task
+            used = np.unique(np.concatenate(taken))
+            used = used[used < base]
+            ids[used] = [known.setdefault(w, len(known)) for w in words.dictionary.take(pa.array(used)).to_pylist()]
+            lang = langs.setdefault(words.lang, len(langs))
+            keys = [np.full(len(at), lang, np.int64), *(ids[c] for c in taken)]
+            held.append(_summed(keys, np.ones(len(at), np.int64)))
+            if sum(len(n) for _, n in held) >= 2 * most:
+                held = [_summed(*(np.concatenate(c, -1) for c in zip(*held, strict=True)))]
+                if len(held[0][1]) >= most:
+                    yield from send()
+                    known, langs, held = {}, {}, []
+        yield from send()
 
     found = _texts(docs).mapInArrow(run, PROJECTED)
     return found.groupBy("lang", *_WORDS).agg(F.sum("n").alias("n"))
@@ -269,12 +294,12 @@ def covered(found: DataFrame) -> DataFrame:
     return found.where(size > 2).select("lang", F.explode(inner).alias("words"), "f").groupBy("lang", "words").agg(F.max("f").alias("held"))
 
 
-def collocations(docs: DataFrame, support: int = SUPPORT, first: int = FIRST, bits: int = CELL_BITS, piece: int = PIECE_BYTES, remembered: int = REMEMBERED, per_task: int = PER_TASK) -> DataFrame:
+def collocations(docs: DataFrame, support: int = SUPPORT, first: int = FIRST, bits: int = CELL_BITS, piece: int = PIECE_BYTES, remembered: int = REMEMBERED, per_task: int = PER_TASK, held: int = HELD) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first phrases by score, then count, then their bytes."""
     counted = written(count(docs, bits, piece, remembered), "counted")
     words = written(counted.where(F.col("word").isNotNull()).groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     frequent = frequent_cells(counted.where(F.col("block").isNotNull()).select("block", "cells"), support, bits)
-    found = written(grow(written(project(docs, frequent, piece), "projected"), support, per_task), "frequent")
+    found = written(grow(written(project(docs, frequent, piece, held), "projected"), support, per_task), "frequent")
     kept = scored(found, words, support).join(covered(found), ["lang", "words"], "left").where(F.expr(f"held IS NULL OR CAST(held AS decimal(20,0)) * 100 < CAST(a AS decimal(20,0)) * {COVERED}"))
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     ranked = kept.select("lang", F.array_join("words", " ").alias("phrase"), "a", "l", "r", "score")
