@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import DENSE, PRESETS, SPARSE, TABIX, UCSC, Bins, autosomes, natural_order, parse_regions
 from ..operators import index, overlap, stats
 from ..sources import IntervalStore, bed, pack, sinks
+from ..scratch import folder
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -217,6 +218,15 @@ def size_stats(spark, d):
     return stats.size_stats(_f(spark, d), **NAMES)
 
 
+_QUANTILES = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.999, 1.0)
+_QUANTILES_SQL = " UNION ALL ".join(f"SELECT {p}::double AS quantile, percentile_disc({p}) WITHIN GROUP (ORDER BY iend - istart) AS size FROM features" for p in _QUANTILES)
+
+
+@query(_QUANTILES_SQL)
+def size_quantiles(spark, d):
+    return stats.size_quantiles(_f(spark, d), list(_QUANTILES), **NAMES)
+
+
 @query("SELECT CAST(0 AS bigint) AS min_size, CAST(0 AS bigint) AS max_size, 0.0::double AS mean_size, CAST(0 AS bigint) AS median_size, CAST(0 AS bigint) AS total_features, 0.0::double AS bin_density, 0.0::double AS level_overhead")
 def empty_stats(spark, d):
     """What the statistics say of no features."""
@@ -292,7 +302,7 @@ def _own_names(df: DataFrame) -> DataFrame:
 
 def _store(spark, d, **more) -> IntervalStore:
     """Written, and opened again."""
-    path = fx.folder(spark, "store")
+    path = folder(spark, "store")
     IntervalStore.create(_stored_names(spark, d), path, **more)
     return IntervalStore.open(spark, path, more.get("key"))
 
@@ -322,6 +332,37 @@ def store_query_regions(spark, d):
     return _own_names(_store(spark, d).query_regions(fx.regions(spark, d)))
 
 
+@query(f"SELECT f.chrom, f.istart, f.iend, f.rest, q.qid, q.qstart, q.qend FROM features f JOIN regions q ON {_OVER}")
+def store_join_regions(spark, d):
+    """Regions go to the store's sorted files; its rows aren't shuffled."""
+    return _own_names(_store(spark, d).join_regions(fx.regions(spark, d)))
+
+
+def _grown(spark, d) -> IntervalStore:
+    """A store of one part of the features, to which two more were added."""
+    path, f = folder(spark, "store"), _stored_names(spark, d)
+    IntervalStore.create(f.where("start % 3 = 0"), path)
+    IntervalStore.open(spark, path).append(f.where("start % 3 = 1"))
+    IntervalStore.open(spark, path).append(f.where("start % 3 = 2"))
+    return IntervalStore.open(spark, path)
+
+
+@query("SELECT *, CAST((SELECT count(*) FROM features) AS bigint) AS counted FROM features")
+def store_append(spark, d):
+    store = _grown(spark, d)
+    return _own_names(store.rows()).withColumn("counted", F.lit(store.count()))
+
+
+@query(f"SELECT f.chrom, f.istart, f.iend, f.rest FROM features f JOIN regions q ON {_OVER}")
+def store_append_regions(spark, d):
+    return _own_names(_grown(spark, d).query_regions(fx.regions(spark, d)))
+
+
+@query("SELECT * FROM features")
+def store_compact(spark, d):
+    return _own_names(_grown(spark, d).compact().rows())
+
+
 @query("SELECT chrom, iend - istart AS size FROM features WHERE chrom = 'chr2' AND istart < 2000000 AND iend > 1000000")
 def store_map(spark, d):
     """A user's function over the rows that overlap."""
@@ -335,6 +376,22 @@ def store_map(spark, d):
     return _store(spark, d).map_overlapping("chr2", 1_000_000, 2_000_000, sizes, "chrom string, size long")
 
 
+@query(SQL["bin_summary"].removeprefix(fx.WITH))
+def store_bin_summary(spark, d):
+    """Merged from what was written beside the rows of three segments."""
+    return _grown(spark, d).bin_summary()
+
+
+@query(SQL["level_stats"].removeprefix(fx.WITH))
+def store_level_stats(spark, d):
+    return _grown(spark, d).level_stats()
+
+
+@query(_QUANTILES_SQL)
+def store_size_quantiles(spark, d):
+    return _grown(spark, d).size_quantiles(list(_QUANTILES))
+
+
 @query("SELECT 'sample' AS name, CAST(a AS bigint) AS a, CAST(b AS bigint) AS b, CAST(NULL AS varchar) AS without FROM (VALUES (1, 2)) t(a, b)")
 def store_metadata(spark, d):
     meta = _store(spark, d, metadata={"name": "sample", "values": {"a": 1, "b": 2}}).metadata
@@ -344,13 +401,13 @@ def store_metadata(spark, d):
 
 @query("SELECT * FROM features WHERE false")
 def store_empty(spark, d):
-    path = fx.folder(spark, "store")
+    path = folder(spark, "store")
     return _own_names(IntervalStore.create(_stored_names(spark, d).where("false"), path).query("chr2:1-50000000"))
 
 
 @query("SELECT chrom, istart, iend, rest FROM features WHERE chrom = 'chr2'")
 def store_overwritten(spark, d):
-    path = fx.folder(spark, "store")
+    path = folder(spark, "store")
     IntervalStore.create(_stored_names(spark, d).where("chrom = 'chr1'"), path)
     return _own_names(IntervalStore.create(_stored_names(spark, d).where("chrom = 'chr2'"), path, overwrite=True).rows())
 
@@ -362,7 +419,7 @@ def _lines(spark, d) -> DataFrame:
 @query("SELECT * FROM features")
 def pack_file(spark, d):
     """From compressed text to a store and back."""
-    path = fx.folder(spark, "lines")
+    path = folder(spark, "lines")
     sinks.write_tsv(_stored_names(spark, d), f"{path}/a.bed.gz", ordered=True)
     return _own_names(pack(spark, f"{path}/a.bed.gz", f"{path}/a.intervals").rows())
 
@@ -370,7 +427,7 @@ def pack_file(spark, d):
 @query("SELECT * FROM features")
 def gzip_by_content(spark, d):
     """Gzip files without gzip's ending."""
-    path = fx.folder(spark, "lines")
+    path = folder(spark, "lines")
     _lines(spark, d).write.option("compression", "gzip").text(path)
     fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     for status in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(path)):
@@ -382,7 +439,7 @@ def gzip_by_content(spark, d):
 
 @query("SELECT true AS found, false AS missed")
 def header_probe(spark, d):
-    path = fx.folder(spark, "lines")
+    path = folder(spark, "lines")
     spark.createDataFrame([("#chrom\tstart\tend",), ("chr1\t1\t5",)], "value string").coalesce(1).write.text(path)
     return spark.createDataFrame([(bed.has_header(spark, path, "#chrom"), bed.has_header(spark, path, "chr1"))], "found boolean, missed boolean")
 
@@ -390,7 +447,7 @@ def header_probe(spark, d):
 @query("SELECT CAST(qid AS bigint) AS qid, chrom, qstart, qend FROM (SELECT row_number() OVER (ORDER BY qid) - 1 AS qid, chrom, qstart, qend FROM regions)")
 def region_file(spark, d):
     """A file of regions, with the order of its lines."""
-    path = fx.folder(spark, "regions")
+    path = folder(spark, "regions")
     fx.regions(spark, d).orderBy("qid").coalesce(1).select(F.concat_ws("\t", "chrom", F.col("qstart").cast("string"), F.col("qend").cast("string"), F.lit("more")).alias("value")).write.text(path)
     return bed.read_regions(spark, path)
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 _FEATURES = """
@@ -47,12 +44,3 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chrom (the event's type), istart, iend (seconds), user_id, ord from events."""
     return _named(_SPANS.format(secs="timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', ts)", t="{t}"), spark.read.parquet(f"{sf_dir}/events.parquet"))
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A fresh path for a query that writes: in the shared folder that the session names, else in its warehouse, or in a
-    temporary folder where one machine is all there is."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = f"file://{tempfile.mkdtemp(prefix='rangeloom-')}" if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-") else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

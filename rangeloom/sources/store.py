@@ -1,7 +1,14 @@
-"""A store of intervals: Parquet files by sequence, sorted by start, and a small JSON file that describes them.
+"""A store of intervals: segments of Parquet files by sequence, sorted by start, and numbered descriptions (`Snapshots`).
 
 Rows are dealt out by ranges of (chrom, start, end), so a sequence with a third of all rows is written by many tasks and
-its files hold narrow ranges of start, which lets a lookup skip files and row groups.
+its files hold narrow ranges of start, which lets a lookup skip files and row groups. Each write adds a segment: its rows and,
+beside them, its partials (counts by bin and by size, bounds by file and class of length), from which statistics are merged
+without a look at the rows, and joins find the files that regions reach. A write is there when its description is: a store that is
+overwritten or added to is whole until then, and of writers at the same time each waits for its number.
+
+    manifests/<number>.json   which segments count, the scheme, columns, user's metadata
+    rows/__segment=<id>/chrom=<name>/*.parquet
+    partials/__segment=<id>/kind=<bins, sizes, files>/*.parquet
 """
 
 from __future__ import annotations
@@ -14,14 +21,16 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..errors import IntervalError, StoreError, StoreExistsError
 from ..functions.bins import DEFAULT, PRESETS, Bins, scheme
 from ..functions.regions import parse_region
-from ..operators import overlap, stats
+from ..operators import layout, overlap, stats
+from .snapshots import Snapshots
 
 SUFFIX = ".intervals"
-_META = "store.json"
+_SEGMENT = "__segment"
 #: What a folder of rows without a sequence name would be called.
 _NULL_NAME = "__HIVE_DEFAULT_PARTITION__"
 
@@ -33,11 +42,6 @@ def default_output(path: str) -> str:
     return os.path.join(folder, os.path.splitext(stem)[0] + SUFFIX)
 
 
-def _files(spark: SparkSession, place: str):
-    """The file system that holds a place, and the place."""
-    return spark._jvm.org.apache.hadoop.fs.Path(place).getFileSystem(spark._jsc.hadoopConfiguration()), place
-
-
 def compare_sizes(spark: SparkSession, *paths: str) -> DataFrame:
     """path, bytes, ratio: what files or folders take on disk, and how many times the first of them. Their content isn't read."""
     held = [spark.read.format("binaryFile").option("recursiveFileLookup", True).load(p).select(F.lit(i).alias("i"), F.lit(p).alias("path"), "length") for i, p in enumerate(paths)]
@@ -56,11 +60,41 @@ def discover(folder: str = ".") -> str:
     return found[0]
 
 
+PARTIALS = "chrom string, level int, bin_id long, size long, file string, class int, kind string, n long, touched long, first long, last long, past long"
+
+
+def _checked(rows: DataFrame) -> DataFrame:
+    wrong = F.raise_error(F.lit("chrom must be a name, start and end must not be null and end must be above start")).cast("long")
+    good = ~F.col("chrom").isin("", _NULL_NAME) & (F.col("start") >= 0) & (F.col("end") > F.col("start"))
+    return rows.withColumn("start", F.when(F.coalesce(good, F.lit(False)), F.col("start").cast("long")).otherwise(wrong)).withColumn("end", F.col("end").cast("long"))
+
+
+def _write(rows: DataFrame, place: str, bins: Bins, files: int | None) -> dict:
+    """A segment: its rows and partials. Nobody sees it before a description names it."""
+    spark, name, order = rows.sparkSession, uuid.uuid4().hex, ["chrom", "start", "end"]
+    at = f"{place}/rows/{_SEGMENT}={name}"
+    dealt = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
+    dealt.sortWithinPartitions(*order).write.partitionBy("chrom").parquet(at)
+    stored = spark.read.schema(rows.schema).parquet(at)
+    beside = f"{place}/partials/{_SEGMENT}={name}"
+    stats.partials(stored, bins, F.col("_metadata.file_path")).write.partitionBy("kind").parquet(beside)
+    found = spark.read.schema(PARTIALS).parquet(beside).where("kind = 'files'")
+    held = found.agg(F.collect_set("class").alias("k"), F.min("first").alias("a"), F.max("last").alias("b"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_distinct("file").alias("files")).first()
+    spread = [sorted(held.k), held.a, held.b] if held.n else [[], 0, -1]
+    return {"id": name, "rows": held.n, "files": held["files"], "spread": spread}
+
+
+def _drop(kept: Snapshots, segments: list[str]) -> None:
+    for name in segments:
+        kept.delete(f"rows/{_SEGMENT}={name}")
+        kept.delete(f"partials/{_SEGMENT}={name}")
+
+
 class IntervalStore:
     """An opened store. key: a store's place among several under one root."""
 
-    def __init__(self, spark: SparkSession, path: str, meta: dict):
-        self.spark, self.path, self._meta = spark, path, meta
+    def __init__(self, spark: SparkSession, path: str, version: int, meta: dict):
+        self.spark, self.path, self.version, self._meta = spark, path, version, meta
 
     @staticmethod
     def _place(path: str, key: str | None) -> str:
@@ -70,57 +104,104 @@ class IntervalStore:
     def create(cls, rows: DataFrame, path: str, *, key: str | None = None, bins: Bins | str = DEFAULT, metadata: object = None, overwrite: bool = False, files: int | None = None) -> IntervalStore:
         """Write rows (chrom, start, end and any other columns, in any order). Without overwrite an existing store is an error.
 
-        Rows go to a folder of their own; the description, which names it, is put in place when they are all there. So a store
-        that is overwritten is whole until then, and its former rows go last.
+        Of several that overwrite at once the last counts. The rows of before go when the new ones are there.
         """
         spark, bins, place = rows.sparkSession, scheme(bins), cls._place(path, key)
-        former = cls._read_meta(spark, place)
-        if not overwrite and former is not None:
+        kept = Snapshots(spark, place)
+        if not overwrite and kept.numbers():
             raise StoreExistsError(f"there is a store at {place}")
-        wrong = F.raise_error(F.lit("chrom must be a name, start and end must not be null and end must be above start")).cast("long")
-        good = ~F.col("chrom").isin("", _NULL_NAME) & (F.col("start") >= 0) & (F.col("end") > F.col("start"))
-        rows = rows.withColumn("start", F.when(F.coalesce(good, F.lit(False)), F.col("start").cast("long")).otherwise(wrong)).withColumn("end", F.col("end").cast("long"))
-        order, folder = ["chrom", "start", "end"], f"rows-{uuid.uuid4().hex}"
-        dealt = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
-        dealt.sortWithinPartitions(*order).write.partitionBy("chrom").parquet(f"{place}/{folder}")
         shape = {"base_shift": bins.base_shift, "level_shift": bins.level_shift, "levels": bins.levels, "linear_shift": bins.linear_shift, "label": bins.label}
-        meta = {"bins": shape, "schema": json.loads(rows.schema.json()), "metadata": metadata, "rows": folder}
-        store = cls(spark, place, meta)
-        spread = overlap.measure(store.rows())
-        meta["spread"] = [list(spread.classes), spread.first, spread.last]
-        store._describe(former)
-        return store
-
-    def _describe(self, former: dict | None) -> None:
-        fs, place = _files(self.spark, self.path)
-        jvm = self.spark._jvm
-        Path = jvm.org.apache.hadoop.fs.Path
-        beside, at = Path(f"{place}/{_META}.{uuid.uuid4().hex}"), Path(f"{place}/{_META}")
-        out = fs.create(beside, True)
-        out.write(bytearray(json.dumps(self._meta).encode()))
-        out.close()
-        rename = jvm.org.apache.hadoop.fs.Options.Rename
-        kind = self.spark.sparkContext._gateway.new_array(rename, 1)
-        kind[0] = rename.OVERWRITE
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri() if at.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(beside, at, kind)
-        if former is not None:
-            fs.delete(Path(f"{place}/{former['rows']}"), True)
-
-    @staticmethod
-    def _read_meta(spark: SparkSession, place: str) -> dict | None:
-        fs, _ = _files(spark, place)
-        if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{place}/{_META}")):
-            return None
-        return json.loads("\n".join(r.value for r in spark.read.text(f"{place}/{_META}").collect()))
+        rows = _checked(rows)
+        segment = _write(rows, place, bins, files)
+        meta = {"bins": shape, "schema": json.loads(rows.schema.json()), "metadata": metadata, "segments": [segment]}
+        while True:
+            former = kept.latest()
+            if former and not overwrite:
+                _drop(kept, [segment["id"]])
+                raise StoreExistsError(f"there is a store at {place}")
+            number = former[0] + 1 if former else 1
+            if kept.commit(number, meta):
+                break
+        if former:
+            kept.forget(number)
+            _drop(kept, [s["id"] for s in former[1]["segments"]])
+        return cls(spark, place, number, meta)
+
+    def _change(self, change) -> IntervalStore:
+        """Commit what `change` makes of the latest description; again from the new one where another writer was first."""
+        kept = Snapshots(self.spark, self.path)
+        while True:
+            found = kept.latest()
+            if found is None:
+                raise StoreError(f"no store at {self.path}")
+            number, meta = found
+            meta = change(meta)
+            if kept.commit(number + 1, meta):
+                self.version, self._meta = number + 1, meta
+                return self
+
+    def append(self, rows: DataFrame, files: int | None = None) -> IntervalStore:
+        """Add rows of the same columns, as a segment of its own. Other writers' rows stay: appends may be made at once."""
+        rows = _checked(rows.select(*self.schema.names) if sorted(rows.columns) == sorted(self.schema.names) else rows)
+        if [(f.name, f.dataType) for f in rows.schema] != [(f.name, f.dataType) for f in self.schema]:
+            raise StoreError(f"rows to add need the columns {self.schema.simpleString()}")
+        segment = _write(rows, self.path, self.bins, files)
+
+        def added(meta: dict) -> dict:
+            if meta["schema"] != self._meta["schema"] or meta["bins"] != self._meta["bins"]:
+                raise StoreError("the store was overwritten with other columns or bins")
+            return meta | {"segments": [*meta["segments"], segment]}
+
+        try:
+            return self._change(added)
+        except StoreError:
+            _drop(Snapshots(self.spark, self.path), [segment["id"]])
+            raise
+
+    def compact(self, files: int | None = None) -> IntervalStore:
+        """Write the rows of all segments as one, whose files overlap no more. What is added meanwhile stays beside it; where the
+        store is overwritten meanwhile, nothing changes. The former segments stay for readers until `vacuum`."""
+        old = [s["id"] for s in self._meta["segments"]]
+        if len(old) < 2:
+            return self
+        segment = _write(self.rows(), self.path, self.bins, files)
+
+        def merged(meta: dict) -> dict:
+            now = [s["id"] for s in meta["segments"]]
+            if not set(old) <= set(now):
+                raise StoreError("the segments were replaced meanwhile")
+            return meta | {"segments": [segment, *(s for s in meta["segments"] if s["id"] not in old)]}
+
+        try:
+            return self._change(merged)
+        except StoreError:
+            _drop(Snapshots(self.spark, self.path), [segment["id"]])
+            raise
+
+    def vacuum(self) -> None:
+        """Delete former descriptions and the segments that only they name. Readers of a former state lose it."""
+        kept = Snapshots(self.spark, self.path)
+        numbers = kept.numbers()
+        own = {s["id"] for s in kept.read(numbers[-1])["segments"]}
+        former = {s["id"] for n in numbers[:-1] for s in kept.read(n)["segments"]}
+        kept.forget(numbers[-1])
+        _drop(kept, sorted(former - own))
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, key: str | None = None) -> IntervalStore:
-        """Nothing but the description is read."""
+    def open(cls, spark: SparkSession, path: str, key: str | None = None, version: int | None = None) -> IntervalStore:
+        """Nothing but the description is read: the latest, or one of before that is still there."""
         place = cls._place(path, key)
-        meta = cls._read_meta(spark, place)
-        if meta is None:
+        kept = Snapshots(spark, place)
+        if version is not None and version not in kept.numbers():
+            raise StoreError(f"no state {version} of a store at {place}")
+        found = (version, kept.read(version)) if version is not None else kept.latest()
+        if found is None:
             raise StoreError(f"no store at {place}")
-        return cls(spark, place, meta)
+        return cls(spark, place, *found)
+
+    @property
+    def schema(self) -> StructType:
+        return StructType.fromJson(self._meta["schema"])
 
     @property
     def bins(self) -> Bins:
@@ -133,15 +214,53 @@ class IntervalStore:
 
     @property
     def spread(self) -> overlap.Spread:
-        """What joins need to know of the rows; measured once, when they were written."""
-        classes, first, last = self._meta["spread"]
-        return overlap.Spread(tuple(classes), first, last)
+        """What joins need to know of the rows: the segments' own, measured when they were written."""
+        some = [s["spread"] for s in self._meta["segments"] if s["spread"][0]]
+        if not some:
+            return overlap.Spread()
+        return overlap.Spread(tuple(sorted({k for classes, _, _ in some for k in classes})), min(a for _, a, _ in some), max(b for _, _, b in some))
+
+    def count(self) -> int:
+        """All rows, as the description has it."""
+        return sum(s["rows"] for s in self._meta["segments"])
+
+    def _segments(self, kind: str) -> list[str]:
+        return [f"{self.path}/{kind}/{_SEGMENT}={s['id']}" for s in self._meta["segments"]]
 
     def rows(self) -> DataFrame:
-        from pyspark.sql.types import StructType
+        schema = self.schema
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/rows").parquet(*self._segments("rows")).select(*schema.names)
+
+    def _partials(self, kind: str) -> DataFrame:
+        found = self.spark.read.schema(PARTIALS).option("basePath", f"{self.path}/partials").parquet(*self._segments("partials"))
+        return found.where(F.col("kind") == kind)
+
+    def bin_counts(self) -> DataFrame:
+        """chrom, level, bin_id, n, touched, merged from the segments' partials: rows aren't read."""
+        text = "interval does not fit the bin scheme: some rows are beyond its range"
+        own = F.when(F.col("bin_id").isNull(), F.raise_error(F.lit(text)).cast("long")).otherwise(F.col("bin_id"))
+        return self._partials("bins").groupBy("chrom", "level", own.alias("bin_id")).agg(F.sum("n").alias("n"), F.sum("touched").alias("touched"))
 
-        schema = StructType.fromJson(self._meta["schema"])
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{self._meta['rows']}").select(*schema.names)
+    def size_counts(self) -> DataFrame:
+        """size, n, merged as bin_counts is."""
+        return self._partials("sizes").groupBy("size").agg(F.sum("n").alias("n"))
+
+    def files(self) -> DataFrame:
+        """file, seq, first, past, classes: what lies where. A row for each file."""
+        bounds = F.collect_list(F.struct("class", "first", "past"))  # at most 64 a file
+        return self._partials("files").groupBy("file", F.col("chrom").alias("seq")).agg(F.min("first").alias("first"), F.max("past").alias("past"), bounds.alias("classes"))
+
+    def bin_summary(self) -> DataFrame:
+        return stats.summary_of(self.bin_counts(), self.bins)
+
+    def level_stats(self) -> DataFrame:
+        return stats.levels_of(self.bin_counts(), self.bins)
+
+    def size_stats(self) -> DataFrame:
+        return stats.sizes_of(self.size_counts())
+
+    def size_quantiles(self, quantiles: list[float]) -> DataFrame:
+        return stats.quantiles_of(self.size_counts(), quantiles)
 
     def chrom(self, name: str) -> DataFrame:
         """One sequence, from its own files; empty where there is none of that name."""
@@ -154,21 +273,35 @@ class IntervalStore:
         """`name:start-end`, 1-based and inclusive."""
         return self.get_overlapping(*parse_region(region))
 
-    def query_regions(self, regions: DataFrame) -> DataFrame:
-        """regions: chrom, qstart, qend. The rows that overlap, once for each region."""
-        return overlap.overlapping_records(self.rows(), regions, self.bins, spread=self.spread)
-
-    def join_regions(self, regions: DataFrame) -> DataFrame:
-        return overlap.overlap_join(self.rows(), regions, self.bins, spread=self.spread)
+    def _stored(self, regions: DataFrame, keep: dict[str, str], region_chrom: str, region_start: str, region_end: str, strict: bool) -> DataFrame:
+        """Rows of overlapping pairs with region columns under other names, by `layout.stored_join`; by a shuffled join where tasks
+        can't open the store's files by themselves."""
+        n_files = sum(s["files"] for s in self._meta["segments"])
+        if not n_files or regions.isStreaming or not layout.can_open(self.path):
+            pairs, q = overlap._pairs(self.rows(), regions, self.bins, region_chrom=region_chrom, region_start=region_start, region_end=region_end, strict=strict, spread=self.spread)
+            return pairs.select(*self.schema.names, *(F.col(f"`{q}{c}`").alias(name) for c, name in keep.items()))
+        q = overlap._prefix(self.rows())
+        own = overlap._regions(regions, q, region_start, region_end, strict)
+        found = layout.stored_join(self.files(), n_files, self.schema, own, q=q, chrom=q + region_chrom, qs=q + region_start, qe=q + region_end, keep=[q + c for c in keep])
+        return found.withColumnsRenamed({q + c: name for c, name in keep.items()})
+
+    def query_regions(self, regions: DataFrame, *, region_chrom: str = "chrom", region_start: str = "qstart", region_end: str = "qend", strict: bool = True) -> DataFrame:
+        """regions: chrom, qstart, qend. The rows that overlap, once for each region. Only files that regions reach are read, none is shuffled."""
+        return self._stored(regions.select(region_chrom, region_start, region_end), {}, region_chrom, region_start, region_end, strict)
+
+    def join_regions(self, regions: DataFrame, *, region_chrom: str = "chrom", region_start: str = "qstart", region_end: str = "qend", strict: bool = True) -> DataFrame:
+        """Pairs, with columns as overlap_join's."""
+        called = overlap._named(self.schema.names, [c for c in regions.columns if c != region_chrom])
+        return self._stored(regions, called, region_chrom, region_start, region_end, strict)
 
     def map_overlapping(self, chrom: str, start: int, end: int, function, schema: str) -> DataFrame:
         return overlap.map_overlapping(self.rows(), chrom, start, end, function, schema)
 
     def summary(self) -> str:
-        return stats.summary(self.rows(), self.bins)
+        return stats.summary_text(self.bin_summary(), self.bins)
 
     def report(self) -> str:
-        return stats.report(self.rows(), self.bins)
+        return stats.report_text(self.bin_summary(), self.level_stats(), self.size_stats(), self.bins)
 
 
 def pack(spark: SparkSession, source: str, output: str | None = None, *, bins: Bins | str = "dense", comment: str = "#", one_based: bool = False, force: bool = False) -> IntervalStore:
