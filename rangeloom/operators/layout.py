@@ -1,13 +1,13 @@
 """Overlap join on files that are sorted: regions go to the files, the files' rows go nowhere.
 
 Rows of a store lie in files, each of one sequence and sorted by start, of which the store knows where the rows of each class of
-length begin and end. Regions are joined with that table, a row for each file that may hold what overlaps, dealt out by ranges of
-(file, start), and swept over the files: a task opens its files, skips row groups that no region of its reaches, and finds by binary
-search, class by class, the rows that begin where an overlap is possible. Stored rows are neither shuffled nor sorted, files that no
-region reaches are not opened, and no task holds more than a batch of rows and `HELD` regions.
+length begin and end. Regions are joined with that table, a row for each file that may hold what overlaps, dealt out by file, and
+swept over the files: a task opens its files, skips row groups that no region of its reaches, and finds by binary search, class by
+class, the rows that begin where an overlap is possible. Stored rows are neither shuffled nor sorted, files that no region reaches
+are not opened, and no task holds more than a batch of rows and `HELD` regions.
 
-A file that many regions reach is read by several tasks, each with its own range of them; regions that are equal are dealt out by
-the partition they came from.
+Regions are dealt out by a rebalancing shuffle, which Spark splits where many regions reach one file: several tasks then read it,
+each for its part of the regions.
 """
 
 from __future__ import annotations
@@ -29,8 +29,6 @@ SCHEMES = ("", "file", "hdfs", "s3", "gs")
 FEW_FILES = 4096
 #: Regions of a file that are swept at once, rows of a batch, and candidates that are looked at together.
 HELD, BATCH, CANDIDATES = 1 << 18, 1 << 16, 1 << 20
-#: Files for each task at most, if no more partitions are asked for.
-FILES_PER_TASK = 16
 
 
 def can_open(path: str) -> bool:
@@ -112,11 +110,9 @@ def stored_join(files: DataFrame, n_files: int, schema: StructType, regions: Dat
     """The stored rows (schema) of each overlapping pair with the regions' columns to keep. regions: checked, columns prefixed by q."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    spark = regions.sparkSession
     bounds = [F.col(c).cast("long").alias(n) for c, n in ((qs, f"{q}_s"), (qe, f"{q}_e"))]
     found = reached(files, n_files, regions, chrom, qs, qe).select("file", F.col(chrom).alias(f"{q}_chrom"), *bounds, *keep)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_files // FILES_PER_TASK))
-    dealt = found.withColumn(f"{q}_part", F.spark_partition_id()).repartitionByRange(tasks, "file", f"{q}_s", f"{q}_part").sortWithinPartitions("file", f"{q}_s").drop(f"{q}_part")
+    dealt = found.hint("rebalance", F.col("file")).sortWithinPartitions("file", f"{q}_s")
     out = StructType([*schema.fields, *(StructField(c, found.schema[c].dataType) for c in keep)])
     arrow, stored = to_arrow_schema(out), [f.name for f in schema.fields if f.name != "chrom"]
 

@@ -437,6 +437,14 @@ def gzip_by_content(spark, d):
     return _own_names(bed.read_bed_sniffed(spark, path))
 
 
+@query("SELECT * FROM features")
+def block_gzip(spark, d):
+    """Written as block gzip, and read by splits so small that their ends cut members and lines."""
+    path = f"{folder(spark, 'lines')}/a.bgz"
+    sinks.write_tsv(_stored_names(spark, d), path)
+    return _own_names(bed.read_bed_sniffed(spark, path, split=100_000))
+
+
 @query("SELECT true AS found, false AS missed")
 def header_probe(spark, d):
     path = folder(spark, "lines")

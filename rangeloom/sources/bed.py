@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bgzf
+
 SCHEMA = "chrom string, start long, end long, rest string"
 
 
@@ -52,17 +54,21 @@ def _opened(path: str):
     return system.open_input_stream(unquote(at))
 
 
-def read_bed_sniffed(spark: SparkSession, path: str, comment: str = "#", one_based: bool = False) -> DataFrame:
-    """As read_bed, for gzip files whatever their names: of each file gzip's first two bytes are looked for. Files whose names say
-    what they are, or that are plain, are read as read_bed does; others are decompressed as they stream, some lines at a time."""
+def read_bed_sniffed(spark: SparkSession, path: str | list[str], comment: str = "#", one_based: bool = False, split: int = bgzf.SPLIT) -> DataFrame:
+    """As read_bed, for gzip files whatever their names: of each file the first bytes are looked at.
+
+    Block gzip is split among tasks (`bgzf`). Of other gzip files those whose names say so, and plain files, are read as read_bed
+    does; the rest is decompressed as it streams, some lines at a time.
+    """
 
     def sniff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = []
             for p in b.column(0).to_pylist():
                 with _opened(p) as f:
-                    found.append(f.read(2) == b"\x1f\x8b")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], names=["path", "gz"])
+                    first = f.read(64)
+                found.append("blocks" if bgzf.is_block_gzip(first) else "gzip" if first[:2] == b"\x1f\x8b" else "plain")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found)], names=["path", "length", "kind"])
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -72,12 +78,15 @@ def read_bed_sniffed(spark: SparkSession, path: str, comment: str = "#", one_bas
                         yield pa.RecordBatch.from_arrays([pa.array([x.rstrip("\n") for x in some])], names=["value"])
 
     # a row for each file, as its listing has, too
-    files = spark.read.format("binaryFile").load(path).select("path").mapInArrow(sniff, "path string, gz boolean").collect()
-    plain = [r.path for r in files if not r.gz or r.path.endswith(".gz")]
-    packed = [(r.path,) for r in files if r.gz and not r.path.endswith(".gz")]
+    files = spark.read.format("binaryFile").load(path).select("path", "length").mapInArrow(sniff, "path string, length long, kind string").collect()
+    plain = [r.path for r in files if r.kind == "plain" or r.kind == "gzip" and r.path.endswith(".gz")]
+    packed = [(r.path,) for r in files if r.kind == "gzip" and not r.path.endswith(".gz")]
+    blocks = [(r.path, r.length) for r in files if r.kind == "blocks"]
     found = spark.read.text(plain) if plain else spark.createDataFrame([], "value string")
     if packed:
         found = found.union(spark.createDataFrame(packed, "path string").repartition(len(packed)).mapInArrow(lines, "value string"))
+    if blocks:
+        found = found.union(bgzf.read_lines(spark, spark.createDataFrame(blocks, "path string, length long"), split))
     return parse_lines(found, comment, one_based)
 
 

@@ -8,6 +8,8 @@ from typing import TextIO
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bgzf
+
 
 def line() -> Column:
     """chrom, start, end, rest by tabs; the tab before an empty rest stays."""
@@ -21,9 +23,11 @@ def display() -> Column:
 
 
 def write_tsv(rows: DataFrame, path: str, mode: str = "errorifexists", ordered: bool = False) -> None:
-    """A folder of text files, compressed if the path ends in .gz. ordered: by chrom, start, end over all files."""
+    """A folder of text files, gzip if the path ends in .gz, block gzip if in .bgz. ordered: by chrom, start, end over all files."""
     if ordered:
         rows = rows.orderBy("chrom", "start", "end")
+    if path.endswith(".bgz"):
+        return bgzf.write_lines(rows.select(line().alias("value")), path, mode=mode)
     writer = rows.select(line().alias("value")).write.mode(mode)
     (writer.option("compression", "gzip") if path.endswith(".gz") else writer).text(path)
 

@@ -94,7 +94,7 @@ class IntervalStore:
     """An opened store. key: a store's place among several under one root."""
 
     def __init__(self, spark: SparkSession, path: str, version: int, meta: dict):
-        self.spark, self.path, self.version, self._meta = spark, path, version, meta
+        self.spark, self.path, self.version, self._meta, self._files = spark, path, version, meta, None
 
     @staticmethod
     def _place(path: str, key: str | None) -> str:
@@ -246,7 +246,15 @@ class IntervalStore:
         return self._partials("sizes").groupBy("size").agg(F.sum("n").alias("n"))
 
     def files(self) -> DataFrame:
-        """file, seq, first, past, classes: what lies where. A row for each file."""
+        """file, seq, first, past, classes: what lies where. A row for each file; kept with the opened store where there are few."""
+        if self._files is None or self._files[0] != self.version:
+            found = self._listed_files()
+            if sum(s["files"] for s in self._meta["segments"]) <= layout.FEW_FILES:
+                found = self.spark.createDataFrame(found.collect(), found.schema).coalesce(1)
+            self._files = (self.version, found)
+        return self._files[1]
+
+    def _listed_files(self) -> DataFrame:
         bounds = F.collect_list(F.struct("class", "first", "past"))  # at most 64 a file
         return self._partials("files").groupBy("file", F.col("chrom").alias("seq")).agg(F.min("first").alias("first"), F.max("past").alias("past"), bounds.alias("classes"))
 
@@ -306,8 +314,10 @@ class IntervalStore:
 
 def pack(spark: SparkSession, source: str, output: str | None = None, *, bins: Bins | str = "dense", comment: str = "#", one_based: bool = False, force: bool = False) -> IntervalStore:
     """From a file of intervals to a store. force replaces a store that is there, with all its files."""
-    from .bed import read_bed
+    from .bed import read_bed, read_bed_sniffed
 
     if isinstance(bins, str) and bins.lower() not in PRESETS:
         raise IntervalError(f"no bin scheme {bins!r}")
-    return IntervalStore.create(read_bed(spark, source, comment, one_based), output or default_output(source), bins=bins, overwrite=force)
+    # gzip may be of blocks, which many tasks can read
+    read = read_bed_sniffed if source.endswith(("gz", ".bgzf")) and layout.can_open(source) else read_bed
+    return IntervalStore.create(read(spark, source, comment, one_based), output or default_output(source), bins=bins, overwrite=force)
