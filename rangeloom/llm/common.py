@@ -34,11 +34,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     session = f"{shared_dir(spark)}/rangeloom-{spark.sparkContext.applicationId}"
     if session not in _own:
         _own[session] = session
-        atexit.register(_delete, spark, session)
+        atexit.register(delete, spark, session)
     return f"{session}/{name}-{uuid.uuid4().hex}"
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a path with all in it, if that can be."""
     with contextlib.suppress(Exception):  # the JVM may have ended before
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free_names, text_or_empty, written
+from .common import delete, free_names, scratch, text_or_empty, written
 
 SCHEMA = "digest string, keep_id long, keep_chars long, keep_row long, batch string"
 #: Least buckets of an index, and about how many digests each is to hold.
@@ -64,8 +64,9 @@ class DigestIndex:
 
     @classmethod
     def for_rows(cls, rows: DataFrame) -> DigestIndex:
-        """A fresh one with buckets for so many rows."""
-        return cls(rows.sparkSession, f"digest_index_{uuid.uuid4().hex}", None, max(BUCKETS, rows.count() // PER_BUCKET))
+        """A fresh one with buckets for so many rows, in the shared folder."""
+        spark = rows.sparkSession
+        return cls(spark, f"digest_index_{uuid.uuid4().hex}", scratch(spark, "digest-index"), max(BUCKETS, rows.count() // PER_BUCKET))
 
     def _write(self, rows: DataFrame) -> None:
         # dealt as the buckets are, by the hash that they are numbered by: one file per bucket and append
@@ -94,6 +95,7 @@ class DigestIndex:
         return names
 
     def drop(self) -> None:
+        """From the catalog; what lies at a path of its own stays."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
@@ -112,11 +114,13 @@ def decide(rows: DataFrame, found: DataFrame, batches: list[str]) -> DataFrame:
 def _indexed(rows: DataFrame, index: DigestIndex | None) -> tuple[DataFrame, list[str]]:
     """Feed written rows to an index, one for this call if none is given; what it has of them, and the batches' names."""
     own = index or DigestIndex.for_rows(rows)
-    names = own.feed(rows)
-    found = keepers(rows, own)
-    if index is None:
-        own.drop()
-    return found, names
+    try:
+        names = own.feed(rows)
+        return keepers(rows, own), names
+    finally:
+        if index is None:
+            own.drop()
+            delete(rows.sparkSession, own.path)
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:

@@ -8,9 +8,10 @@
    changes the runs but neither the stream nor its sequences.
 3. A keyed Feistel network on the next even power of two, walked along its cycle until it falls below N, permutes the
    sequences: a sequence's slot in training order, known without a sort and invertible.
-4. Pieces of sequences are dealt out by shard (slot // records of a shard), a task for each, sorted, put together, and
-   written as records of one stride: record r of a shard is at byte r * stride. A shard's content depends on its slots
-   alone, so a second attempt writes the same bytes, and a reader goes on from any slot by one seek.
+4. Pieces of sequences are dealt out by shard (slot // records of a shard), a task for each, or for some neighbours where there are
+   more than `WRITERS`, sorted, put together, and written as records of one stride: record r of a shard is at byte r * stride, so a
+   reader goes on from any slot by one seek. A shard's content depends on its slots alone. It is written under a name of the
+   attempt's own and renamed when it is whole, so attempts at once, or one that is killed, leave whole shards behind.
 
 Defined results: a null text counts as empty and gives one end token; the last sequence is filled up by end tokens
 that n_tokens doesn't count; equal texts are kept as often as they come; a null doc_id is listed as null; rows of a
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +42,8 @@ CHUNK = 1 << 15
 #: About the bytes that a worker's encoder may remember while it does nothing else.
 MEMO_BYTES = 448 << 20
 SHARD_BYTES = 32 << 20
+#: Most tasks that write shards.
+WRITERS = 20_000
 END_TOKEN = "<|endoftext|>"
 HEAD = 4  # bytes of a record's count of tokens
 KEY = 0x5EED
@@ -204,8 +208,8 @@ RECORDS = "slot long, shard int, offset long, n_tokens int, doc_ids array<long>"
 _RECORDS = pa.schema([("slot", pa.int64()), ("shard", pa.int32()), ("offset", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64()))])
 
 
-def write_shards(placed: DataFrame, folder: str, n: int, length: int, width: int, end: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Write all shards, a task for each; a row for each record. end: the token that fills up the last sequence."""
+def shard_writer(folder: str, length: int, width: int, end: int, shard_bytes: int = SHARD_BYTES):
+    """What a task does with the sorted pieces (slot, at, n_tokens, doc_ids, payload) of its shards."""
     stride, per = records(length, width, shard_bytes)
     fill = np.full(length, end, f"<u{width}").tobytes()
 
@@ -213,18 +217,23 @@ def write_shards(placed: DataFrame, folder: str, n: int, length: int, width: int
         forget()
         unpack = _unpacker()
         fsys, base = filesystem(folder)
-        sink, shard, count = None, None, 0
+        sink, shard, count, beside = None, None, 0, ""
         held: list[tuple] = []  # the pieces of one slot
 
+        def finish() -> None:
+            if sink is not None:
+                sink.close()
+                fsys.move(beside, f"{base}/{shard_name(shard)}")
+
         def record() -> tuple:
-            nonlocal sink, shard, count
+            nonlocal sink, shard, count, beside
             slot = held[0][0]
             if slot // per != shard:
-                if sink is not None:
-                    sink.close()
+                finish()
                 shard, count = slot // per, 0
                 fsys.create_dir(base, recursive=True)
-                sink = fsys.open_output_stream(f"{base}/{shard_name(shard)}", buffer_size=1 << 20)
+                beside = f"{base}/.{shard_name(shard)}-{uuid.uuid4().hex}"
+                sink = fsys.open_output_stream(beside, buffer_size=1 << 20)
             if slot != shard * per + count:
                 raise ValueError(f"slot {shard * per + count} is missing")
             tokens, docs = 0, []
@@ -247,13 +256,20 @@ def write_shards(placed: DataFrame, folder: str, n: int, length: int, width: int
                 held.append(row)
             if out:
                 yield _batch(out, _RECORDS)
-        if held:
-            yield _batch([record()], _RECORDS)
-        if sink is not None:
-            sink.close()
+        last = record() if held else None
+        finish()
+        if last:
+            yield _batch([last], _RECORDS)
+
+    return run
+
 
-    dealt = placed.repartitionById(max(1, -(-n // per)), F.col("shard")).sortWithinPartitions("slot", "at")
-    return dealt.select("slot", "at", "n_tokens", "doc_ids", "payload").mapInArrow(run, RECORDS)
+def write_shards(placed: DataFrame, folder: str, n: int, length: int, width: int, end: int, shard_bytes: int = SHARD_BYTES, writers: int = WRITERS) -> DataFrame:
+    """Write all shards; a row for each record. end: the token that fills up the last sequence."""
+    shards = max(1, -(-n // records(length, width, shard_bytes)[1]))
+    each = -(-shards // writers)
+    dealt = placed.repartitionById(-(-shards // each), F.expr(f"shard div {each}").cast("int")).sortWithinPartitions("slot", "at")
+    return dealt.select("slot", "at", "n_tokens", "doc_ids", "payload").mapInArrow(shard_writer(folder, length, width, end, shard_bytes), RECORDS)
 
 
 def read_slots(folder: str, first: int, count: int, length: int, width: int, shard_bytes: int = SHARD_BYTES) -> Iterator[tuple[int, bytes]]:

@@ -801,3 +801,62 @@ def test_pipeline_stages_keep_columns(spark, docs):
         d = spark.createDataFrame(out.collect(), docs.schema)
     texts = [r.text for r in d.collect()]
     assert texts
+
+
+# Attempts that fail
+
+
+def test_attempts_of_a_shard_leave_it_whole(spark, docs, tmp_path):
+    """A second attempt that is killed midway, and one at the same time, change nothing of what the first wrote."""
+    from rangeloom.llm.common import written
+
+    enc = bpe.Encoder.get(bpe.vocabulary_path())
+    width, end = token_store.token_width(len(enc.pieces)), enc.tok.token_to_id(token_store.END_TOKEN)
+    per = token_store.records(64, width, 4000)[1]
+    placed, n = token_store.pieces(written(token_store.chunks(docs.limit(40), 512), "chunks"), 64, width, per)
+    rows = placed.orderBy("slot", "at").select("slot", "at", "n_tokens", "doc_ids", "payload").toArrow().to_batches(max_chunksize=50)
+    run = token_store.shard_writer(str(tmp_path), 64, width, end, 4000)
+    first = [r for b in run(iter(rows)) for r in b.to_pylist()]
+    files = {f.name: f.read_bytes() for f in tmp_path.iterdir()}
+    assert len(first) == n and sorted(files) == [token_store.shard_name(i) for i in range(-(-n // per))]
+    killed, beside = run(iter(rows)), run(iter(rows))
+    next(killed), next(beside), next(killed)
+    killed.close()
+    assert [r for b in beside for r in b.to_pylist()]
+    assert {f.name: f.read_bytes() for f in tmp_path.iterdir() if not f.name.startswith(".")} == files
+
+
+def test_few_writers_write_all_shards(spark, docs, tmp_path):
+    from rangeloom.llm.common import written
+
+    enc = bpe.Encoder.get(bpe.vocabulary_path())
+    width, end = token_store.token_width(len(enc.pieces)), enc.tok.token_to_id(token_store.END_TOKEN)
+    per = token_store.records(64, width, 4000)[1]
+    placed, n = token_store.pieces(written(token_store.chunks(docs.limit(60), 512), "chunks"), 64, width, per)
+    placed = written(placed, "pieces")
+    counts = {}
+    for writers in (3, 1000):
+        df = token_store.write_shards(placed, str(tmp_path / str(writers)), n, 64, width, end, 4000, writers)
+        assert sorted(r.slot for r in df.collect()) == list(range(n))
+        counts[writers] = df.rdd.getNumPartitions()
+    assert counts[3] <= 3 < counts[1000]
+    a, b = ({f.name: f.read_bytes() for f in (tmp_path / str(w)).iterdir()} for w in (3, 1000))
+    assert a == b
+
+
+def test_a_failing_dedup_leaves_no_index(spark, docs, monkeypatch):
+    made = []
+    keep = exact_dedup.DigestIndex.__init__
+
+    def seen(self, *args, **kw):
+        keep(self, *args, **kw)
+        made.append(self)
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "__init__", seen)
+    monkeypatch.setattr(exact_dedup, "keepers", lambda rows, index: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        exact_dedup.exact_dedup(docs)
+    index = made[0]
+    assert index.path.startswith(common.shared_dir(spark)) and not spark.catalog.tableExists(index.table)
+    at = spark._jvm.org.apache.hadoop.fs.Path(index.path)
+    assert not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
