@@ -158,9 +158,11 @@ _CENTROID_FIELDS = pa.schema([("lang", pa.string()), ("no", pa.int32()), ("membe
 
 def centroids(learn: DataFrame, idf: np.ndarray, sample: int = SAMPLE, k: int = CENTROIDS) -> DataFrame:
     """lang, no, members, radius, centre (32-bit floats) from rows doc_id, text, lang: a task clusters a language's sample."""
-    rate = learn.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count(F.lit(1))).alias("rate"))
+    each = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each language
+    rates = F.create_map(*(F.lit(x) for r in each for x in (r.lang, min(1.0, sample / r.n)))) if each else F.lit(None)
     place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
-    drawn = learn.join(rate, "lang").where(place < F.col("rate")).dropDuplicates(["lang", "doc_id", "text"]).drop("rate")
+    # filtered where it is read, so that only the sample's texts are shuffled
+    drawn = (learn.where(place < F.element_at(rates, F.col("lang"))) if each else learn.limit(0)).dropDuplicates(["lang", "doc_id", "text"])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
