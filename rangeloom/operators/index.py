@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import UnsortedFeaturesError
 from ..functions.bins import DEFAULT, Bins, scheme
+from ..scratch import written
 
 
 def bin_index(features: DataFrame, bins: Bins | str = DEFAULT, start: str = "start", end: str = "end") -> DataFrame:
@@ -68,27 +69,76 @@ def linear_lookup(regions: DataFrame, linear: DataFrame, bins: Bins | str = DEFA
     return regions.withColumn("win", F.shiftright(F.col("qstart"), shift)).join(linear, ["chrom", "win"], "left").drop("win")
 
 
-#: About how many features of a sequence are looked at together.
+#: Log2 of how many windows' bounds are found together.
+_BOUND_BLOCK = 16
+
+
+def linear_bounds(features: DataFrame, bins: Bins | str = DEFAULT, order: str = "ord", start: str = "start", end: str = "end") -> DataFrame:
+    """chrom, first_win, win, bound: for a region that starts in a window from first_win to win no feature before the bound, by order, overlaps it.
+
+    The bound is the least order of all features that end in the window or a later one, so it loses no row, whatever windows are empty
+    and however features are ordered; where they are ordered by start it skips those that end long before. No row covers the windows
+    after the last in which a feature ends. Suffix minima run within blocks of windows, and over the blocks' minima.
+    """
+    shift = scheme(bins).linear_shift
+    if shift is None:
+        raise ValueError("this bin scheme has no linear index")
+    last = F.shiftright(F.col(end).cast("long") - 1, shift)
+    own = features.where(F.col("chrom").isNotNull()).select("chrom", last.alias("win"), F.col(order).alias("o")).where("win IS NOT NULL").groupBy("chrom", "win").agg(F.min("o").alias("o"))
+    own = own.withColumn("block", F.shiftright("win", _BOUND_BLOCK))
+    after = Window.partitionBy("chrom").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = own.groupBy("chrom", "block").agg(F.min("o").alias("o"), F.max("win").alias("ends"))
+    before = Window.partitionBy("chrom").orderBy("block")
+    blocks = blocks.select("chrom", "block", F.min("o").over(after).alias("later"), F.lag("ends").over(before).alias("ended"))
+    within = Window.partitionBy("chrom", "block").orderBy(F.desc("win")).rowsBetween(Window.unboundedPreceding, 0)
+    previous = F.lag("win").over(Window.partitionBy("chrom", "block").orderBy("win"))
+    found = own.withColumns({"least": F.min("o").over(within), "previous": previous}).join(blocks, ["chrom", "block"])
+    return found.select("chrom", (F.coalesce("previous", "ended") + 1).alias("first_win"), "win", F.least("least", "later").alias("bound"))
+
+
+def linear_bound_lookup(regions: DataFrame, bounds: DataFrame, bins: Bins | str = DEFAULT, start: str = "qstart") -> DataFrame:
+    """Each region with the bound of the window in which it starts; null where no feature ends there or later. Regions need names (qid)."""
+    from .overlap import overlap_left
+
+    shift = scheme(bins).linear_shift
+    # a bound's windows as an interval, the region's window as another
+    spans = bounds.select("chrom", F.coalesce("first_win", F.least(F.col("win"), F.lit(-(1 << 50)))).alias("start"), (F.col("win") + 1).alias("end"), "bound")
+    own = F.shiftright(F.col(start).cast("long"), shift)
+    asked = regions.withColumns({"__win": own, "__past": own + 1})
+    found = overlap_left(spans, asked, region_start="__win", region_end="__past")
+    return found.drop("__win", "__past", "start", "end", "region_start", "region_end")
+
+
+def bounded_lookup(features: DataFrame, bounds: DataFrame, chrom: str, qstart: int, qend: int, bins: Bins | str = DEFAULT, order: str = "ord", start: str = "start", end: str = "end") -> DataFrame:
+    """The features that overlap one interval, read from the bound on: a comparison of the order that reaches the scan."""
+    from .overlap import lookup
+
+    win = qstart >> scheme(bins).linear_shift
+    row = bounds.where((F.col("chrom") == chrom) & (F.col("win") >= win)).orderBy("win").select("bound").first()
+    found = lookup(features, chrom, qstart, qend, start=start, end=end)
+    return found.where(F.col(order) >= row.bound) if row else found.limit(0)
+
+
+#: About how many features are looked at together.
 ORDERED = 1 << 20
 
 
 def unsorted(features: DataFrame, order: str = "ord", start: str = "start") -> DataFrame:
     """The features that start before the one before them in their sequence, with that one's start as previous.
 
-    The order (numbers, unique in a sequence) is cut into ranges, so that a sequence is dealt out to many tasks; a range's first
-    feature is held against the last start of the ranges before it, of which there is a row for each range and sequence.
+    Features are dealt out by ranges of (chrom, order) - numbers, unique in a sequence - and written, so that a sequence is many
+    tasks'; a range's first feature of a sequence is held against the last start of that sequence in the nearest range before that
+    has one, from a table of a row for each range and sequence in it.
     """
-    n = features.count()
-    cuts = features.agg(F.percentile_approx(order, [i / (n // ORDERED + 1) for i in range(1, n // ORDERED + 1)], 10_000)).first()[0] if n > ORDERED else []
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
-    rows = features.withColumn("__part", part)
-    own = Window.partitionBy("chrom", "__part").orderBy(order)
-    lasts = rows.groupBy("chrom", "__part").agg(F.max_by(F.struct(start), order).alias("__last"))
-    lasts = lasts.select(F.col("chrom").alias("__c"), F.col("__part").alias("__p"), F.lag("__last").over(Window.partitionBy("chrom").orderBy("__part")).alias("__last"))
-    rows = rows.withColumn("__lag", F.lag(F.struct(start)).over(own))
-    if cuts:
-        rows = rows.join(lasts, F.col("chrom").eqNullSafe(F.col("__c")) & (F.col("__part") == F.col("__p")), "left").withColumn("__lag", F.coalesce("__lag", "__last"))
-    return rows.select(*features.columns, F.col("__lag")[start].alias("previous")).where(F.col("previous") > F.col(start))
+    part, last, lag, c, p = ("__" + x * 3 for x in ("part", "last", "lag", "chrom", "at"))
+    n = max(int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")), features.count() // ORDERED + 1)
+    rows = written(features.repartitionByRange(n, "chrom", order).withColumn(part, F.spark_partition_id()), "ordered")
+    lasts = rows.groupBy("chrom", part).agg(F.max_by(F.struct(F.col(start).alias("s")), order).alias(last))
+    lasts = lasts.select(F.col("chrom").alias(c), F.col(part).alias(p), F.lag(last).over(Window.partitionBy("chrom").orderBy(part)).alias(last))
+    rows = rows.withColumn(lag, F.lag(F.struct(F.col(start).alias("s"))).over(Window.partitionBy("chrom", part).orderBy(order)))
+    rows = rows.join(lasts, F.col("chrom").eqNullSafe(F.col(c)) & (F.col(part) == F.col(p)))
+    previous = F.coalesce(lag, last)["s"].alias("previous")
+    return rows.select(*features.columns, previous).where(F.col("previous") > F.col(start))
 
 
 def check_sorted(features: DataFrame, order: str = "ord", start: str = "start") -> None:

@@ -259,9 +259,36 @@ def linear_lookup(spark, d):
     return index.linear_lookup(regions, index.linear_index(s, **NAMES)).select("ord", "min_ord")
 
 
-@query("SELECT ord, chrom, istart, previous FROM (SELECT *, lag(istart) OVER (PARTITION BY chrom ORDER BY ord) AS previous FROM spans) WHERE previous > istart")
+#: The events in another order than their own.
+_SHUFFLED = "(SELECT * EXCLUDE (ord), ord * 7919 % 1000003 AS ord FROM spans)"
+
+
+@query(f"SELECT ord, chrom, istart, previous FROM (SELECT *, lag(istart) OVER (PARTITION BY chrom ORDER BY ord) AS previous FROM {_SHUFFLED}) WHERE previous > istart")
 def sort_check(spark, d):
-    return index.unsorted(fx.spans(spark, d), start="istart").select("ord", "chrom", "istart", "previous")
+    s = fx.spans(spark, d).withColumn("ord", F.expr("ord * 7919 % 1000003"))
+    return index.unsorted(s, start="istart").select("ord", "chrom", "istart", "previous")
+
+
+_ENDS = "SELECT chrom, (iend - 1) >> 14 AS win, min(ord) AS o FROM spans GROUP BY ALL"
+
+
+@query(f"SELECT chrom, lag(win) OVER (PARTITION BY chrom ORDER BY win) + 1 AS first_win, win, min(o) OVER (PARTITION BY chrom ORDER BY win DESC) AS bound FROM ({_ENDS})")
+def linear_bounds(spark, d):
+    return index.linear_bounds(fx.spans(spark, d), **NAMES)
+
+
+@query(f"SELECT s.ord AS qid, min(e.o) AS bound FROM spans s LEFT JOIN ({_ENDS}) e ON e.chrom = s.chrom AND e.win >= ((s.istart + 90000) >> 14) GROUP BY s.ord")
+def linear_bound_lookup(spark, d):
+    s = fx.spans(spark, d)
+    regions = s.select(F.col("ord").alias("qid"), "chrom", (F.col("istart") + 90_000).alias("qstart"))
+    return index.linear_bound_lookup(regions, index.linear_bounds(s, **NAMES)).select("qid", "bound")
+
+
+@query("SELECT * FROM spans WHERE chrom = (SELECT min(chrom) FROM spans) AND istart < 2000000 AND iend > 1900000")
+def bounded_lookup(spark, d):
+    s = fx.spans(spark, d)
+    first = s.agg(F.min("chrom")).first()[0]
+    return index.bounded_lookup(s, index.linear_bounds(s, **NAMES), first, 1_900_000, 2_000_000, **NAMES)
 
 
 @query(f"SELECT ord, row_number() OVER (ORDER BY {level_case(TABIX, bin_case(TABIX))} DESC, {bin_case(TABIX)}, ord) AS place FROM spans WHERE chrom = (SELECT min(chrom) FROM spans) AND istart < 1000000 AND iend > 500000")
