@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from rangeloom.functions import DENSE, SPARSE, TABIX, UCSC
 from rangeloom.operators import bin_summary, level_stats, lookup, overlap_counts, overlap_join, overlap_semi, size_stats
 from rangeloom.plans import fixtures
+from rangeloom.scratch import folder
+from rangeloom.sources import IntervalStore
 
 
 def main() -> None:
@@ -34,7 +36,9 @@ def main() -> None:
     def pairs(bins) -> DataFrame:
         return overlap_join(f, q, bins, **names).agg(F.count(F.lit(1)), F.sum(F.col("istart") + F.col("qstart")))
 
+    store = IntervalStore.create(f.withColumnsRenamed({"istart": "start", "iend": "end"}), folder(spark, "bench"))
     runs = {
+        "store_join_regions": lambda: store.join_regions(q).agg(F.count(F.lit(1)), F.sum(F.col("start") + F.col("qstart"))),
         "overlap_join_tabix": lambda: pairs(TABIX),
         "overlap_join_ucsc": lambda: pairs(UCSC),
         "overlap_join_dense": lambda: pairs(DENSE),
