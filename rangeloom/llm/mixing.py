@@ -5,8 +5,9 @@ Slot i of the mix maps the golden-ratio point frac(i * phi) through the sources'
 slot's rank among that source's slots says which block it takes, pass after pass over the source. Joining slots to
 blocks and blocks to documents gives the words that the mix takes of each document.
 
-Ranks and stream positions are two-level: counts per chunk first, prefix sums over the chunks' table, then ranks
-within a chunk, so a source with a third of all rows is never one task's. All of it is DataFrame functions.
+Ranks and stream positions have three levels: counts per chunk, prefix sums over groups of chunks and within each group,
+then ranks within a chunk. So a source with a third of all rows is never one task's, nor is the table of its chunks: a task
+holds a row for each group of a source, or for each chunk of a group. All of it is DataFrame functions.
 
 Targets share all words by weight; none exceeds 3 times its source's words, and what a capped source leaves is shared
 by the others by weight. With the sources ordered by cap over weight this is one running sum: sources are capped
@@ -32,6 +33,8 @@ GOLDEN, MODULUS = 1_327_217_885, 1 << 31
 BLOCK = 64
 #: Slots of a chunk, and documents of one, about.
 CHUNK, DOC_CHUNK = 1 << 15, 1 << 12
+#: Chunks of a group.
+GROUP = 1 << 12
 
 
 def words(col: str = "text"):
@@ -95,6 +98,16 @@ def _mix(rows: DataFrame) -> DataFrame:
     )
 
 
+def _firsts(chunks: DataFrame, value: str) -> DataFrame:
+    """sid, chunk, first: the sum over a source's chunks before this one."""
+    chunks = written(chunks.withColumn("group", F.floor(F.col("chunk") / GROUP)), "mix-chunks")
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    groups = chunks.groupBy("sid", "group").agg(F.sum(value).alias("of_group"))
+    heads = groups.select("sid", "group", F.coalesce(F.sum("of_group").over(before("sid").orderBy("group")), F.lit(0)).alias("head"))
+    own = chunks.withColumn("in_group", F.coalesce(F.sum(value).over(before("sid", "group").orderBy("chunk")), F.lit(0)))
+    return own.join(heads, ["sid", "group"]).select("sid", "chunk", (F.col("head") + F.col("in_group")).alias("first"))
+
+
 def schedule(s: DataFrame) -> DataFrame:
     """The mix in order: slot, sid, rank (among the source's slots), block_no."""
     spark = s.sparkSession
@@ -108,9 +121,7 @@ def schedule(s: DataFrame) -> DataFrame:
     shares = s.where("hi > lo").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells).cast("int"), F.least(F.lit(cells - 1), F.floor(F.col("hi") * cells).cast("int")))))
     at = slots.join(shares.select("cell", "lo", "hi", "sid", "blocks"), "cell").where("point >= lo AND point < hi")
     at = at.select("slot", "chunk", "sid", "blocks")
-    counts = at.groupBy("sid", "chunk").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("sid", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    firsts = _firsts(at.groupBy("sid", "chunk").agg(F.count(F.lit(1)).alias("n")), "n")
     within = F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot")) - 1
     ranked = at.withColumn("in_chunk", within).join(firsts, ["sid", "chunk"]).withColumn("rank", F.col("first") + F.col("in_chunk"))
     # points may give a source at its cap a slot too many
@@ -125,9 +136,7 @@ def stream(rows: DataFrame, s: DataFrame) -> DataFrame:
     # chunks of a source: by the hash's first 32 bits, as many as its rows ask for
     first = F.conv(F.substring("h", 1, 8), 16, 10).cast("long")
     r = r.withColumn("chunk", F.floor(first * (F.floor(F.col("n") / DOC_CHUNK) + 1) / F.lit(4294967296.0)))
-    counts = r.groupBy("sid", "chunk").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("sid", "chunk", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("first"))
+    firsts = _firsts(r.groupBy("sid", "chunk").agg(F.sum("size").alias("words")), "words")
     upto = F.sum("size").over(Window.partitionBy("sid", "chunk").orderBy("h", "doc_id", "size", "row_no").rowsBetween(Window.unboundedPreceding, 0))
     r = r.withColumn("end", upto).join(firsts, ["sid", "chunk"])
     return r.select("row_no", "sid", "size", "block", (F.col("first") + F.col("end") - F.col("size")).alias("start"))

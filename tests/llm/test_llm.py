@@ -626,6 +626,15 @@ def test_mixing_caps(spark):
     check_mix(mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect())
 
 
+def test_mixing_is_the_same_by_any_chunks(spark, docs, monkeypatch):
+    want = counted(mixing.mix(docs).collect())
+    for name, value in (("CHUNK", 16), ("DOC_CHUNK", 2), ("GROUP", 3)):
+        monkeypatch.setattr(mixing, name, value)
+    rows = mixing.mix(docs)
+    assert counted(rows.collect()) == want
+    check_mix(rows.collect())
+
+
 def test_mixing_empty(empty, spark):
     assert mixing.mix(empty).count() == 0 and mixing.apply(empty).count() == 0
     blank = table(spark, [(1, None), (2, " \n")])
