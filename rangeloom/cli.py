@@ -50,7 +50,7 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         if args.region:
             rows = store.query(args.region)
         elif args.regions:
-            rows = store.query_regions(read_regions(spark, args.regions, args.comment))
+            rows = store.query_regions(read_regions(spark, args.regions, args.comment), order_by="qid")
         else:
             raise IntervalError("a region or a file of regions is needed")
         if args.output:

@@ -21,6 +21,14 @@ class CoordinateRangeError(IntervalError):
     """A coordinate beyond what a bin scheme covers."""
 
 
+class VisitError(IntervalError):
+    """A function that failed on a row: the row, the error as text, and how many rows went well in the tasks that ran."""
+
+    def __init__(self, row: dict, error: str, seen: int):
+        super().__init__(f"{error} (row {row})")
+        self.row, self.error, self.seen = row, error, seen
+
+
 class StoreError(IntervalError):
     """A path that holds no store, or more than one where one was expected."""
 

@@ -344,8 +344,13 @@ def map_overlapping(features: DataFrame, chrom: str, qstart: int, qend: int, fun
     return lookup(features, chrom, qstart, qend).mapInArrow(function, schema)
 
 
-def in_index_order(rows: DataFrame, bins: Bins | str = DEFAULT, order: str = "ord", start: str = "start", end: str = "end") -> DataFrame:
-    """Order of an index walk: finest level first, then by bin, then by order of insertion."""
+def index_keys(bins: Bins | str = DEFAULT, start: str = "start", end: str = "end") -> list[Column]:
+    """Keys of an index walk: the finest level first, then by bin."""
     bins = scheme(bins)
     own = bins.bin_of(F.col(start), F.col(end))
-    return rows.orderBy(bins.level_of(own).desc(), own, order)
+    return [bins.level_of(own).desc(), own]
+
+
+def in_index_order(rows: DataFrame, bins: Bins | str = DEFAULT, order: str = "ord", start: str = "start", end: str = "end") -> DataFrame:
+    """Order of an index walk: finest level first, then by bin, then by order of insertion."""
+    return rows.orderBy(*index_keys(bins, start, end), order)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import DENSE, PRESETS, SPARSE, TABIX, UCSC, Bins, autosomes, natural_order, parse_regions
 from ..operators import index, overlap, stats
-from ..sources import IntervalStore, bed, pack, sinks
+from ..sources import IntervalStore, bed, numbered_lines, pack, sinks
 from ..scratch import folder
 from . import fixtures as fx
 
@@ -419,6 +419,34 @@ def store_size_quantiles(spark, d):
     return _grown(spark, d).size_quantiles(list(_QUANTILES))
 
 
+@query("SELECT count(*) AS n, CAST(sum(iend - istart) AS bigint) AS bases FROM features WHERE chrom = 'chr2' AND istart < 30000000 AND iend > 1000000")
+def store_visit(spark, d):
+    """How many rows a function was called for, and what it added up over all tasks."""
+    bases = spark.sparkContext.accumulator(0)
+    n = _store(spark, d).visit("chr2", 1_000_000, 30_000_000, lambda row: bases.add(row["end"] - row["start"]))
+    return spark.createDataFrame([(n, bases.value)], "n long, bases long")
+
+
+@query(
+    f"""SELECT row_number() OVER (ORDER BY qid, {level_case(TABIX)} DESC, bin_id, istart, iend, rest) - 1 AS line_no, chrom, istart, iend, rest
+    FROM (SELECT f.*, q.qid, {bin_case(TABIX, 'f.istart', 'f.iend')} AS bin_id FROM features f JOIN regions q ON {_OVER})"""
+)
+def region_order(spark, d):
+    """What regions find, written in their order, and read back with the numbers of the lines."""
+    path = f"{folder(spark, 'found')}/a.bed"
+    sinks.write_tsv(_store(spark, d, bins="tabix").query_regions(fx.regions(spark, d), order_by="qid"), path)
+    return _own_names(bed.parse_lines(numbered_lines(spark, path), keep=("line_no",)))
+
+
+@query("SELECT row_number() OVER (ORDER BY qid) - 1 AS qid, chrom, qstart, qend FROM regions")
+def region_files(spark, d):
+    """Regions of several files, numbered in the order of the files and their lines."""
+    path = folder(spark, "regions")
+    lines = F.concat_ws("\t", "chrom", F.col("qstart").cast("string"), F.col("qend").cast("string"))
+    fx.regions(spark, d).repartitionByRange(7, "qid").sortWithinPartitions("qid").select(lines.alias("value")).write.text(path)
+    return bed.read_regions(spark, path)
+
+
 @query("SELECT 'sample' AS name, CAST(a AS bigint) AS a, CAST(b AS bigint) AS b, CAST(NULL AS varchar) AS without FROM (VALUES (1, 2)) t(a, b)")
 def store_metadata(spark, d):
     meta = _store(spark, d, metadata={"name": "sample", "values": {"a": 1, "b": 2}}).metadata

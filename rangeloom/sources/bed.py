@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import islice
 
 import pyarrow as pa
@@ -12,17 +12,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bgzf
+from .ordered import numbered_lines
 
 SCHEMA = "chrom string, start long, end long, rest string"
 
 
-def parse_lines(lines: DataFrame, comment: str = "#", one_based: bool = False) -> DataFrame:
-    """Lines (column value) to intervals. Blank and comment lines go; a line that is none fails the query.
+def _counts(line: Column, comment: str) -> Column:
+    """Whether a line is neither blank nor a comment."""
+    return (line != "") & ~line.startswith(comment) if comment else line != ""
+
+
+def parse_lines(lines: DataFrame, comment: str = "#", one_based: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """Lines (column value) to intervals. Blank and comment lines go; a line that is none fails the query. keep: further columns.
 
     start is 0-based; one_based input has it moved down by one, and a start below 1 is an error.
     """
     line = F.rtrim(F.col("value"), F.lit("\r"))
-    kept = lines.where((line != "") & ~line.startswith(comment)) if comment else lines.where(line != "")
+    kept = lines.where(_counts(line, comment))
     parts = F.split(line, "\t", 4)
     field = lambda i: F.get(parts, F.lit(i))
     fail = lambda why: F.raise_error(F.concat(F.lit(f"{why}: "), line))
@@ -37,7 +43,7 @@ def parse_lines(lines: DataFrame, comment: str = "#", one_based: bool = False) -
     end = number(2)
     end = F.when(end > start, end).otherwise(fail("end not above start").cast("long"))
     chrom = F.when(field(0) != "", field(0)).otherwise(fail("no sequence name"))
-    return kept.select(chrom.alias("chrom"), start.alias("start"), end.alias("end"), F.coalesce(field(3), F.lit("")).alias("rest"))
+    return kept.select(chrom.alias("chrom"), start.alias("start"), end.alias("end"), F.coalesce(field(3), F.lit("")).alias("rest"), *keep)
 
 
 def read_bed(spark: SparkSession, path: str | list[str], comment: str = "#", one_based: bool = False) -> DataFrame:
@@ -91,9 +97,9 @@ def read_bed_sniffed(spark: SparkSession, path: str | list[str], comment: str =
 
 
 def read_regions(spark: SparkSession, path: str | list[str], comment: str = "#") -> DataFrame:
-    """A file of regions (0-based, half-open; further columns are ignored): qid, chrom, qstart, qend. qid follows the order of lines within a file."""
-    rows = read_bed(spark, path, comment).select("chrom", F.col("start").alias("qstart"), F.col("end").alias("qend"))
-    return rows.withColumn("qid", F.monotonically_increasing_id()).select("qid", "chrom", "qstart", "qend")
+    """A file of regions (0-based, half-open; further columns are ignored): qid, chrom, qstart, qend. qid numbers the regions over all lines and files, in `ordered.file_order`."""
+    lines = numbered_lines(spark, path, lambda value: _counts(F.rtrim(value, F.lit("\r")), comment))
+    return parse_lines(lines, comment, keep=("line_no",)).select(F.col("line_no").alias("qid"), "chrom", F.col("start").alias("qstart"), F.col("end").alias("qend"))
 
 
 def has_header(spark: SparkSession, path: str, expect: str) -> bool:

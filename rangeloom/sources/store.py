@@ -21,12 +21,13 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import AtomicType, StructType
 
 from ..errors import IntervalError, StoreError, StoreExistsError
 from ..functions.bins import DEFAULT, PRESETS, Bins, scheme
 from ..functions.regions import parse_region
 from ..operators import layout, overlap, stats
+from ..operators.visit import visit
 from .snapshots import Snapshots
 
 SUFFIX = ".intervals"
@@ -293,9 +294,20 @@ class IntervalStore:
         found = layout.stored_join(self.files(), n_files, self.schema, own, q=q, chrom=q + region_chrom, qs=q + region_start, qe=q + region_end, keep=[q + c for c in keep])
         return found.withColumnsRenamed({q + c: name for c, name in keep.items()})
 
-    def query_regions(self, regions: DataFrame, *, region_chrom: str = "chrom", region_start: str = "qstart", region_end: str = "qend", strict: bool = True) -> DataFrame:
-        """regions: chrom, qstart, qend. The rows that overlap, once for each region. Only files that regions reach are read, none is shuffled."""
-        return self._stored(regions.select(region_chrom, region_start, region_end), {}, region_chrom, region_start, region_end, strict)
+    def query_regions(self, regions: DataFrame, *, region_chrom: str = "chrom", region_start: str = "qstart", region_end: str = "qend", strict: bool = True, order_by: str | None = None) -> DataFrame:
+        """regions: chrom, qstart, qend. The rows that overlap, once for each region. Only files that regions reach are read, none is shuffled.
+
+        order_by: a column of the regions (`qid` of `read_regions`) in whose order the rows come: of one region as an index walk
+        gives them, finest bins first, and then by the store's columns, so that one region's rows may be several tasks'. Written as
+        text, the order is that of the files (`ordered.numbered_lines`).
+        """
+        if order_by is None:
+            return self._stored(regions.select(region_chrom, region_start, region_end), {}, region_chrom, region_start, region_end, strict)
+        key = overlap._prefix(self.rows()) + "order"
+        own = regions.select(region_chrom, region_start, region_end, F.col(f"`{order_by}`").alias(key))
+        found = self._stored(own, {key: key}, region_chrom, region_start, region_end, strict)
+        ties = [F.col(f"`{f.name}`") for f in self.schema.fields if isinstance(f.dataType, AtomicType) and f.name not in ("chrom", "start", "end")]
+        return found.orderBy(key, *overlap.index_keys(self.bins), "chrom", "start", "end", *ties).select(*self.schema.names)
 
     def join_regions(self, regions: DataFrame, *, region_chrom: str = "chrom", region_start: str = "qstart", region_end: str = "qend", strict: bool = True) -> DataFrame:
         """Pairs, with columns as overlap_join's."""
@@ -305,6 +317,10 @@ class IntervalStore:
     def map_overlapping(self, chrom: str, start: int, end: int, function, schema: str) -> DataFrame:
         return overlap.map_overlapping(self.rows(), chrom, start, end, function, schema)
 
+    def visit(self, chrom: str, start: int, end: int, function) -> int:
+        """The function called with each overlapping row, as a dict; how many there were. It ends at the first failure (`operators.visit`)."""
+        return visit(self.get_overlapping(chrom, start, end), function)
+
     def summary(self) -> str:
         return stats.summary_text(self.bin_summary(), self.bins)
 
