@@ -55,6 +55,13 @@ def reached(files: DataFrame, n_files: int, regions: DataFrame, chrom: str, qs:
     return found.where(hit).select("file", *regions.columns)
 
 
+def may_hold(group, names: list[str], qs, qe) -> bool:
+    """Whether a row group's least start and greatest end leave room for an overlap with any of the regions."""
+    s, e = (group.column(names.index(c)).statistics for c in ("start", "end"))
+    known = s is not None and e is not None and s.has_min_max and e.has_min_max
+    return not known or bool(np.any((qs < e.max) & (qe > s.min)))
+
+
 def _classes(lengths: np.ndarray) -> np.ndarray:
     """log2 of each length, rounded up, as the join's classes are."""
     return np.ceil(np.log2(np.maximum(lengths, 1))).astype(np.int64) + (lengths > (1 << 40))  # one more is right, too, where doubles don't tell
@@ -91,9 +98,7 @@ def _sweep(path: str, own: pa.Table, columns: list[str]) -> Iterator[tuple[pa.Re
         file = pq.ParquetFile(source)
         names = file.schema_arrow.names
         for g in range(file.num_row_groups):
-            group = file.metadata.row_group(g)
-            s, e = (group.column(names.index(c)).statistics for c in ("start", "end"))
-            if s is not None and e is not None and s.has_min_max and e.has_min_max and not ((qs < e.max) & (qe > s.min)).any():
+            if not may_hold(file.metadata.row_group(g), names, qs, qe):
                 continue
             for rows in file.iter_batches(BATCH, row_groups=[g], columns=columns):
                 s, e = (rows.column(c).to_numpy() for c in ("start", "end"))

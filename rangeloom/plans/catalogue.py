@@ -390,6 +390,32 @@ def store_compact(spark, d):
     return _own_names(_grown(spark, d).compact().rows())
 
 
+def _indexed(spark, d) -> IntervalStore:
+    """A store of two indexed segments, and a third that was added since."""
+    path, f = folder(spark, "store"), _stored_names(spark, d)
+    IntervalStore.create(f.where("start % 3 = 0"), path)
+    IntervalStore.open(spark, path).append(f.where("start % 3 = 1")).build_index().append(f.where("start % 3 = 2"))
+    return IntervalStore.open(spark, path)
+
+
+@query("SELECT * FROM features WHERE chrom = 'chr3' AND istart < 20000000 AND iend > 1000000")
+def store_seek(spark, d):
+    """By the table of bins; the segment without one is filtered."""
+    return _own_names(_indexed(spark, d).seek("chr3", 1_000_000, 20_000_000))
+
+
+@query(f"SELECT * FROM features WHERE chrom = 'chr3' AND {bin_case(TABIX)} = {TABIX.offsets[3] + 20}")
+def store_bin_rows(spark, d):
+    return _own_names(_indexed(spark, d).bin_rows("chr3", TABIX.offsets[3] + 20))
+
+
+@query(f"SELECT chrom, {level_case(TABIX, bin_case(TABIX))} AS level, {bin_case(TABIX)} AS bin_id, count(*) AS n, min(istart) AS first, max(iend) AS past FROM features GROUP BY ALL")
+def store_bin_ranges(spark, d):
+    """The table of bins on disk, over its files."""
+    found = _indexed(spark, d).build_index().bin_ranges()
+    return found.groupBy("chrom", "level", "bin_id").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("past").alias("past"))
+
+
 @query("SELECT chrom, iend - istart AS size FROM features WHERE chrom = 'chr2' AND istart < 2000000 AND iend > 1000000")
 def store_map(spark, d):
     """A user's function over the rows that overlap."""

@@ -9,6 +9,7 @@ overwritten or added to is whole until then, and of writers at the same time eac
     manifests/<number>.json   which segments count, the scheme, columns, user's metadata
     rows/__segment=<id>/chrom=<name>/*.parquet
     partials/__segment=<id>/kind=<bins, sizes, files>/*.parquet
+    index/__index=<id>/chrom=<name>/*.parquet       where `build_index` made one: the rows and files of each bin (`bin_index`)
 """
 
 from __future__ import annotations
@@ -28,10 +29,11 @@ from ..functions.bins import DEFAULT, PRESETS, Bins, scheme
 from ..functions.regions import parse_region
 from ..operators import layout, overlap, stats
 from ..operators.visit import visit
+from . import bin_index
 from .snapshots import Snapshots
 
 SUFFIX = ".intervals"
-_SEGMENT = "__segment"
+_SEGMENT, _INDEX = "__segment", "__index"
 #: What a folder of rows without a sequence name would be called.
 _NULL_NAME = "__HIVE_DEFAULT_PARTITION__"
 
@@ -85,10 +87,27 @@ def _write(rows: DataFrame, place: str, bins: Bins, files: int | None) -> dict:
     return {"id": name, "rows": held.n, "files": held["files"], "spread": spread}
 
 
-def _drop(kept: Snapshots, segments: list[str]) -> None:
+def _write_index(spark: SparkSession, place: str, segment: str, schema: StructType, bins: Bins) -> str:
+    """The table of a segment's bins, under a name of its own: nobody reads it before a description names it."""
+    name = uuid.uuid4().hex
+    try:
+        bin_index.build(spark.read.schema(schema).parquet(f"{place}/rows/{_SEGMENT}={segment}"), bins).write.partitionBy("chrom").parquet(f"{place}/index/{_INDEX}={name}")
+    except Exception:
+        _drop(Snapshots(spark, place), [], [name])
+        raise
+    return name
+
+
+def _drop(kept: Snapshots, segments: list[str], indexes: list[str] = ()) -> None:
     for name in segments:
         kept.delete(f"rows/{_SEGMENT}={name}")
         kept.delete(f"partials/{_SEGMENT}={name}")
+    for name in indexes:
+        kept.delete(f"index/{_INDEX}={name}")
+
+
+def _indexes(segments: list[dict]) -> list[str]:
+    return [s["index"] for s in segments if s.get("index")]
 
 
 class IntervalStore:
@@ -125,7 +144,7 @@ class IntervalStore:
                 break
         if former:
             kept.forget(number)
-            _drop(kept, [s["id"] for s in former[1]["segments"]])
+            _drop(kept, [s["id"] for s in former[1]["segments"]], _indexes(former[1]["segments"]))
         return cls(spark, place, number, meta)
 
     def _change(self, change) -> IntervalStore:
@@ -166,6 +185,8 @@ class IntervalStore:
         if len(old) < 2:
             return self
         segment = _write(self.rows(), self.path, self.bins, files)
+        if len(_indexes(self._meta["segments"])) == len(old):
+            segment["index"] = _write_index(self.spark, self.path, segment["id"], self.schema, self.bins)
 
         def merged(meta: dict) -> dict:
             now = [s["id"] for s in meta["segments"]]
@@ -176,17 +197,34 @@ class IntervalStore:
         try:
             return self._change(merged)
         except StoreError:
-            _drop(Snapshots(self.spark, self.path), [segment["id"]])
+            _drop(Snapshots(self.spark, self.path), [segment["id"]], _indexes([segment]))
             raise
 
+    def build_index(self) -> IntervalStore:
+        """Write the table of bins of each segment that has none; the rows stay as they are.
+
+        What another writer noted first stays, and an index whose segment was replaced meanwhile goes again. Rows added later have
+        none until the next call and are looked up without; a compaction of indexed segments is indexed.
+        """
+        made = {s["id"]: _write_index(self.spark, self.path, s["id"], self.schema, self.bins) for s in self._meta["segments"] if not s.get("index")}
+        if not made:
+            return self
+
+        def noted(meta: dict) -> dict:
+            return meta | {"segments": [s | {"index": made[s["id"]]} if s["id"] in made and not s.get("index") else s for s in meta["segments"]]}
+
+        self._change(noted)
+        _drop(Snapshots(self.spark, self.path), [], sorted(set(made.values()) - set(_indexes(self._meta["segments"]))))
+        return self
+
     def vacuum(self) -> None:
         """Delete former descriptions and the segments that only they name. Readers of a former state lose it."""
         kept = Snapshots(self.spark, self.path)
         numbers = kept.numbers()
-        own = {s["id"] for s in kept.read(numbers[-1])["segments"]}
-        former = {s["id"] for n in numbers[:-1] for s in kept.read(n)["segments"]}
+        own = kept.read(numbers[-1])["segments"]
+        former = [s for n in numbers[:-1] for s in kept.read(n)["segments"]]
         kept.forget(numbers[-1])
-        _drop(kept, sorted(former - own))
+        _drop(kept, sorted({s["id"] for s in former} - {s["id"] for s in own}), sorted(set(_indexes(former)) - set(_indexes(own))))
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, key: str | None = None, version: int | None = None) -> IntervalStore:
@@ -229,8 +267,22 @@ class IntervalStore:
         return [f"{self.path}/{kind}/{_SEGMENT}={s['id']}" for s in self._meta["segments"]]
 
     def rows(self) -> DataFrame:
+        return self._rows(self._segments("rows"))
+
+    def _rows(self, places: list[str]) -> DataFrame:
         schema = self.schema
-        return self.spark.read.schema(schema).option("basePath", f"{self.path}/rows").parquet(*self._segments("rows")).select(*schema.names)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/rows").parquet(*places).select(*schema.names)
+
+    def bin_ranges(self) -> DataFrame:
+        """The segments' tables of bins (`bin_index.SCHEMA`). An error where a segment has none: `build_index` makes it."""
+        names = _indexes(self._meta["segments"])
+        if len(names) < len(self._meta["segments"]):
+            raise StoreError("the store has rows without an index")
+        return self._ranges(names)
+
+    def _ranges(self, names: list[str]) -> DataFrame:
+        found = self.spark.read.schema(bin_index.SCHEMA).option("basePath", f"{self.path}/index").parquet(*(f"{self.path}/index/{_INDEX}={n}" for n in names))
+        return found.drop(_INDEX)
 
     def _partials(self, kind: str) -> DataFrame:
         found = self.spark.read.schema(PARTIALS).option("basePath", f"{self.path}/partials").parquet(*self._segments("partials"))
@@ -278,6 +330,35 @@ class IntervalStore:
     def get_overlapping(self, chrom: str, start: int, end: int) -> DataFrame:
         return overlap.lookup(self.rows(), chrom, start, end)
 
+    def seek(self, chrom: str, start: int, end: int) -> DataFrame:
+        """As get_overlapping, by the table of bins: files in which it has nothing that may overlap are not opened, not even listed.
+
+        Segments without an index are filtered, and all are where tasks can't open the store's files by themselves.
+        """
+        return self._seek(chrom, start, end)
+
+    def bin_rows(self, chrom: str, bin_id: int) -> DataFrame:
+        """The rows of one bin: those for which it is the finest that holds them. None where the scheme has no such bin."""
+        for _, own, sh in self.bins.finest_first:
+            if own <= bin_id < own + (self.bins.limit >> sh):
+                return self._seek(chrom, (bin_id - own) << sh, (bin_id - own + 1) << sh, bin_id)
+        return self._rows(self._segments("rows")).where("false")
+
+    def _seek(self, chrom: str, start: int, end: int, bin_id: int | None = None) -> DataFrame:
+        if end <= start:
+            return self.get_overlapping(chrom, start, end)
+        usable = layout.can_open(self.path)
+        segments = [s for s in self._meta["segments"] if usable and s.get("index") and s["rows"]]
+        others = [f"{self.path}/rows/{_SEGMENT}={s['id']}" for s in self._meta["segments"] if s not in segments]
+        found = []
+        if segments:
+            reached = bin_index.reach(self._ranges(_indexes(segments)), self.bins, chrom, start, end, bin_id)
+            found.append(bin_index.read(reached, sum(s["files"] for s in segments), self.schema, chrom, start, end))
+        if others:
+            found.append(overlap.lookup(self._rows(others), chrom, start, end))
+        rows = reduce(DataFrame.union, found)
+        return rows if bin_id is None else rows.where(self.bins.bin_of(F.col("start"), F.col("end")) == bin_id)
+
     def query(self, region: str) -> DataFrame:
         """`name:start-end`, 1-based and inclusive."""
         return self.get_overlapping(*parse_region(region))
