@@ -126,16 +126,17 @@ ORDERED = 1 << 20
 def unsorted(features: DataFrame, order: str = "ord", start: str = "start") -> DataFrame:
     """The features that start before the one before them in their sequence, with that one's start as previous.
 
-    Features are dealt out by ranges of (chrom, order) - numbers, unique in a sequence - and written, so that a sequence is many
+    Features of one order come by their starts, so that they are not held to be out of order among themselves and every run says
+    the same. Features are dealt out by ranges of (chrom, order) and written, so that a sequence is many
     tasks'; a range's first feature of a sequence is held against the last start of that sequence in the nearest range before that
     has one, from a table of a row for each range and sequence in it.
     """
     part, last, lag, c, p = ("__" + x * 3 for x in ("part", "last", "lag", "chrom", "at"))
     n = max(int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")), features.count() // ORDERED + 1)
     rows = written(features.repartitionByRange(n, "chrom", order).withColumn(part, F.spark_partition_id()), "ordered")
-    lasts = rows.groupBy("chrom", part).agg(F.max_by(F.struct(F.col(start).alias("s")), order).alias(last))
+    lasts = rows.groupBy("chrom", part).agg(F.max_by(F.struct(F.col(start).alias("s")), F.struct(F.col(order), F.col(start))).alias(last))
     lasts = lasts.select(F.col("chrom").alias(c), F.col(part).alias(p), F.lag(last).over(Window.partitionBy("chrom").orderBy(part)).alias(last))
-    rows = rows.withColumn(lag, F.lag(F.struct(F.col(start).alias("s"))).over(Window.partitionBy("chrom", part).orderBy(order)))
+    rows = rows.withColumn(lag, F.lag(F.struct(F.col(start).alias("s"))).over(Window.partitionBy("chrom", part).orderBy(order, start)))
     rows = rows.join(lasts, F.col("chrom").eqNullSafe(F.col(c)) & (F.col(part) == F.col(p)))
     previous = F.coalesce(lag, last)["s"].alias("previous")
     return rows.select(*features.columns, previous).where(F.col("previous") > F.col(start))
