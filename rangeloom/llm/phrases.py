@@ -4,7 +4,8 @@
    of 2^`CELL_BITS` counters for each length, which stop at 255; the tables are added up by blocks. A phrase whose cell stays
    below the support is infrequent, whatever else hashes to it, and so is every longer one that begins with it.
 2. Occurrences are projected: of each place where a pair begins whose cell is full enough, the words that follow, for as long as
-   the phrase's cell is full enough, up to `LONGEST`; equal projections are counted together, in the task and then over all tasks.
+   the phrase's cell is full enough, up to `LONGEST`: a row for each place. Spark's aggregate counts equal projections together, in
+   the task and then over all tasks, so Python keeps nothing from one piece of text to the next.
 3. Projections are dealt out by ranges of prefixes, sorted, and each task grows its prefixes to the right, depth-first: it
    walks the sorted projections with one count for each word of the present prefix. So a prefix is one task's; one with too
    many projections for a task goes on in the next, and what both saw of it is added up. No task holds a prefix's projections.
@@ -37,8 +38,8 @@ COVERED = 80
 CELL_BITS, BLOCK = 24, 1 << 12
 #: About the bytes of text that are cut into words at once, and the words that a task remembers before it sends their counts on.
 PIECE_BYTES, REMEMBERED = 4 << 20, 1 << 20
-#: Different projections that a task holds at most before it sends them on.
-HELD = 1 << 20
+#: Projections that a task sends on at once.
+HELD = 1 << 16
 #: About how many projections a task walks.
 PER_TASK = 1 << 19
 NO_LANG = "und"
@@ -165,16 +166,7 @@ def frequent_cells(blocks: DataFrame, support: int, bits: int = CELL_BITS) -> np
 
 
 _WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
-PROJECTED = "lang string, " + ", ".join(f"{w} string" for w in _WORDS) + ", n long"
-
-
-def _summed(keys: list[np.ndarray] | np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal columns of keys once, with their summed counts."""
-    keys = np.asarray(keys)
-    order = np.lexsort(keys)
-    keys, n = keys[:, order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)]))
-    return keys[:, first], np.add.reduceat(n, first)
+PROJECTED = "lang string, " + ", ".join(f"{w} string" for w in _WORDS)
 
 
 def project(docs: DataFrame, frequent: np.ndarray, piece: int = PIECE_BYTES, most: int = HELD) -> DataFrame:
@@ -182,20 +174,6 @@ def project(docs: DataFrame, frequent: np.ndarray, piece: int = PIECE_BYTES, mos
     bits = (frequent.shape[1] * 8).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}  # the task's words and languages by number
-        langs: dict[str, int] = {}
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # projections as columns of numbers, and their counts
-
-        def send() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            keys, n = _summed(*(np.concatenate(c, -1) for c in zip(*held, strict=True)))
-            names, own = pa.array(list(known), pa.binary()).cast(pa.string()), pa.array(list(langs), pa.string())
-            for i in range(0, len(n), 1 << 16):
-                some = keys[:, i : i + (1 << 16)]
-                columns = [own.take(pa.array(some[0])), *(names.take(pa.array(c, mask=c < 0)) for c in some[1:])]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n[i : i + (1 << 16)])], names=["lang", *_WORDS, "n"])
-
         for words in _by_language(batches, piece):
             base = len(words.dictionary)  # stands for no word
             at = None
@@ -208,24 +186,13 @@ def project(docs: DataFrame, frequent: np.ndarray, piece: int = PIECE_BYTES, mos
                 else:
                     alive = alive & np.append(good, [False] * k)[at]
                     taken.append(np.where(alive, words.codes[np.minimum(at + k, len(words.codes) - 1)], base))
-            if not len(at):
-                continue
-            ids = np.full(base + 1, -1, np.int64)  # of the words used here, among those of the task
-            used = np.unique(np.concatenate(taken))
-            used = used[used < base]
-            ids[used] = [known.setdefault(w, len(known)) for w in words.dictionary.take(pa.array(used)).to_pylist()]
-            lang = langs.setdefault(words.lang, len(langs))
-            keys = [np.full(len(at), lang, np.int64), *(ids[c] for c in taken)]
-            held.append(_summed(keys, np.ones(len(at), np.int64)))
-            if sum(len(n) for _, n in held) >= 2 * most:
-                held = [_summed(*(np.concatenate(c, -1) for c in zip(*held, strict=True)))]
-                if len(held[0][1]) >= most:
-                    yield from send()
-                    known, langs, held = {}, {}, []
-        yield from send()
+            names = words.dictionary.cast(pa.string())
+            for i in range(0, len(at), most):
+                some = [c[i : i + most] for c in taken]
+                columns = [names.take(pa.array(c, mask=c == base)) for c in some]
+                yield pa.RecordBatch.from_arrays([pa.repeat(words.lang, len(some[0])), *columns], names=["lang", *_WORDS])
 
-    found = _texts(docs).mapInArrow(run, PROJECTED)
-    return found.groupBy("lang", *_WORDS).agg(F.sum("n").alias("n"))
+    return _texts(docs).mapInArrow(run, PROJECTED).groupBy("lang", *_WORDS).agg(F.count(F.lit(1)).alias("n"))
 
 
 def grow(projected: DataFrame, support: int = SUPPORT, per_task: int = PER_TASK) -> DataFrame:

@@ -110,3 +110,20 @@ def test_large_counts_are_exact(spark):
     assert got["a", "b", "c"][0] == min(2_000_000 * (big // 5 * 4) // (big + 7 + big // 5 * 4), 2_000_000 * (big // 5 * 4) // (2 * big))
     held = {tuple(r.words): r.held for r in phrases.covered(found).collect()}
     assert held == {("a", "b"): big // 5 * 4, ("b", "c"): big // 5 * 4}
+
+
+def _rows_from_python(spark, texts):
+    """How many rows the projection's Python makes, a task for each text, and how many places they stand for."""
+    df = spark.createDataFrame([(i, t, "en", "s", "x", "y") for i, t in enumerate(texts)], SCHEMA).repartitionByRange(len(texts), "doc_id")
+    bits = phrases.frequent_cells(phrases.count(df).where("block IS NOT NULL").select("block", "cells"), 30)
+    found = phrases.project(df, bits)
+    made = found._jdf.queryExecution().analyzed().child()  # what the aggregate gets
+    return spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, made).count(), sum(r.n for r in found.collect())
+
+
+def test_projections_grow_with_the_places_of_frequent_pairs(spark):
+    """Of five times the text, tasks alike: many more pairs reach the support, but a place is one row."""
+    text = "".join("hot pair. " * 2000) + "".join(f"w{i} v{i}. " * 10 for i in range(200))
+    (few, few_places), (many, many_places) = (_rows_from_python(spark, [text] * k) for k in (1, 5))
+    assert (few_places, many_places) == (2000, 20_000)
+    assert many < 12 * few
