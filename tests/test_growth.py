@@ -1,6 +1,8 @@
 """What must not come to one task, and what every run must say alike."""
 
-from rangeloom.operators import unsorted
+from pyspark.sql import functions as F
+
+from rangeloom.operators import overlap, unsorted
 from rangeloom.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -22,3 +24,30 @@ def test_features_of_one_order(spark):
     for turned in (rows, rows[::-1]):
         found = unsorted(spark.createDataFrame(turned, "chrom string, start long, ord long").coalesce(1))
         assert sorted((r.ord, r.start, r.previous) for r in found.collect()) == [(1, 6, 9), (2, 7, 10)]
+
+
+def _many_classes(spark):
+    """Features of eight powers of 2, and regions of a middling length."""
+    features = spark.range(4000).selectExpr("'a' AS chrom", "id * 9973 % 50000000 AS start", "id * 9973 % 50000000 + shiftleft(12000L, CAST(id % 8 AS int)) AS end")
+    regions = spark.range(3000).selectExpr("'a' AS chrom", "id * 7919 % 50000000 AS qstart", "id * 7919 % 50000000 + 20000 AS qend", "id AS qid")
+    return features, regions
+
+
+def test_visits_of_a_region(spark):
+    features, regions = _many_classes(spark)
+    sides = overlap._sides(features, regions, None, ("chrom", "start", "end", "chrom", "qstart", "qend"), None)
+    assert sides.coded_regions("code").count() < 13 * 3000
+
+
+def test_regions_are_dealt_out_by_place(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "DEALT", 4000)
+    monkeypatch.setattr(overlap, "BROADCAST_BYTES", 0)
+    features, regions = _many_classes(spark)
+    copies = regions.where("qid < 500").selectExpr("'a' AS chrom", "1000L AS qstart", "30000L AS qend", "qid + 10000 AS qid")
+    every = regions.unionByName(copies).coalesce(1)
+    sides = overlap._sides(features, every, None, ("chrom", "start", "end", "chrom", "qstart", "qend"), None)
+    held = sides.regions.select("qstart", F.spark_partition_id().alias("task")).groupBy("task").agg(F.min("qstart").alias("a"), F.max("qstart").alias("b"), F.sum(F.expr("int(qstart = 1000)")).alias("n")).orderBy("a", "b").collect()
+    assert len(held) > 4 and all(x.b <= y.a for x, y in zip(held, held[1:]))
+    assert max(r.n for r in held) < 500
+    found = overlap.overlap_join(features, every)
+    assert found.count() == found.distinct().count() == every.join(features.drop("chrom"), (F.col("start") < F.col("qend")) & (F.col("end") > F.col("qstart"))).count()
