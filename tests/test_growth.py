@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from rangeloom.operators import overlap, unsorted
+from rangeloom.operators import layout, overlap, unsorted
 from rangeloom.plans.catalogue import QUERIES
+from rangeloom.sources import IntervalStore
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +52,17 @@ def test_regions_are_dealt_out_by_place(spark, monkeypatch):
     assert max(r.n for r in held) < 500
     found = overlap.overlap_join(features, every)
     assert found.count() == found.distinct().count() == every.join(features.drop("chrom"), (F.col("start") < F.col("qend")) & (F.col("end") > F.col("qstart"))).count()
+
+
+def test_pairs_of_a_store_are_made_by_spark(spark, tmp_path, monkeypatch):
+    """What leaves Python grows as rows and regions do, not as their pairs; and regions of one file are several tasks'."""
+    monkeypatch.setattr(layout, "DEALT", 100)
+    rows = spark.range(600).selectExpr("'a' AS chrom", "id AS start", "id + 500 + id % 700 AS end", "id AS ord")
+    regions = spark.range(500).selectExpr("'a' AS chrom", "id AS qstart", "id + 400 + id % 300 AS qend", "id AS qid")
+    packed = []
+    expanded = layout._expanded
+    monkeypatch.setattr(layout, "_expanded", lambda found, *rest: packed.append(found) or expanded(found, *rest))
+    found = IntervalStore.create(rows, str(tmp_path / "s"), files=1).join_regions(regions)
+    assert found.count() == rows.join(regions.drop("chrom"), overlap.overlaps(*map(F.col, ("start", "end", "qstart", "qend")))).count() > 200_000
+    sizes = packed[0].select(F.sum(sum(F.size(c) for c in packed[0].columns[1:]))).first()[0]
+    assert sizes < 40_000 and packed[0].rdd.getNumPartitions() == 5
