@@ -1,8 +1,11 @@
 """What must not come to one task, and what every run must say alike."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from rangeloom.operators import layout, overlap, unsorted
+from rangeloom.functions import TABIX
+from rangeloom.operators import layout, lines, overlap, unsorted
 from rangeloom.plans.catalogue import QUERIES
 from rangeloom.sources import IntervalStore
 
@@ -66,3 +69,22 @@ def test_pairs_of_a_store_are_made_by_spark(spark, tmp_path, monkeypatch):
     assert found.count() == rows.join(regions.drop("chrom"), overlap.overlaps(*map(F.col, ("start", "end", "qstart", "qend")))).count() > 200_000
     sizes = packed[0].select(F.sum(sum(F.size(c) for c in packed[0].columns[1:]))).first()[0]
     assert sizes < 40_000 and packed[0].rdd.getNumPartitions() == 5
+
+
+def test_pairs_are_numbered_without_a_sort_of_them(spark, tmp_path, monkeypatch):
+    for module, name, value in ((lines, "PIECE", 7), (lines, "STRIP", 3), (lines, "ONES", 4), (layout, "DEALT", 50)):
+        monkeypatch.setattr(module, name, value)
+    rng = random.Random(5)
+    f = [(rng.choice("ab"), s := rng.randrange(1 << 18) // 3000 * 3000, s + rng.choice([1, 700, 40_000, 1 << 17]), rng.choice(["", "x", None]), i % 3) for i in range(300)]
+    q = [(i, rng.choice("abc"), s := rng.randrange(1 << 18), s + rng.choice([1, 9000])) for i in rng.sample(range(900), 80)]
+    rows = spark.createDataFrame(f, "chrom string, start long, end long, rest string, n int").repartition(3)
+    store = IntervalStore.create(rows.where("n < 2"), str(tmp_path / "s"), bins=TABIX, files=4).append(rows.where("n = 2"))
+    asked = spark.createDataFrame(q, "qid long, chrom string, qstart long, qend long")
+    want = [tuple(r) for r in store.query_regions(asked, order_by="qid").collect()]
+    twice = asked.withColumn("qid", F.expr("qid % 20"))
+    want_twice = [tuple(r) for r in store.query_regions(twice, order_by="qid").collect()]
+    lined = lambda df: [tuple(r)[1:] for i, r in enumerate(sorted(df.collect(), key=lambda r: r.line_no)) if r.line_no == i]
+    assert lined(store.numbered_regions(twice, order_by="qid")) == want_twice and len(want_twice) == len(want) > 500
+    assert store.numbered_regions(asked.limit(0), order_by="qid").collect() == []
+    monkeypatch.setattr(IntervalStore, "query_regions", None)
+    assert lined(store.numbered_regions(asked, order_by="qid")) == want
