@@ -1,7 +1,8 @@
 """Phrase collocation mining by contiguous pattern growth, as PrefixSpan does it.
 
-1. Words are counted by language, exactly. Beside that each task counts phrases of two, three and four words in a hashed table
-   of 2^`CELL_BITS` counters for each length, which stop at 255; the tables are added up by blocks. A phrase whose cell stays
+1. Words are counted by language, exactly. Beside that phrases of two, three and four words are counted by cells, to which they
+   hash: a cell for every `CELL_BYTES` bytes of text, from 2^`CELL_BITS` to 2^`MOST_CELL_BITS` for each length. Tasks send the
+   cells that they met, sorted, by blocks, and blocks are added up to at most 255. A phrase whose cell stays
    below the support is infrequent, whatever else hashes to it, and so is every longer one that begins with it.
 2. Occurrences are projected: of each place where a pair begins whose cell is full enough, the words that follow, for as long as
    the phrase's cell is full enough, up to `LONGEST`: a row for each place. Spark's aggregate counts equal projections together, in
@@ -13,8 +14,9 @@
    shuffled sides, which Spark splits where a part is hot. Each language's first phrases are found by a ranked window, whose
    limit Spark applies in each task before rows of a language meet.
 
-The tables of cells (a bit for each: 6 MB) are all that goes to every task; their size is a parameter and does not grow by itself.
-With many more different phrases than cells they fill, and then prune less: that costs projections, not results.
+The tables of cells (a bit for each: 6 MB, and 100 MB from 8.6 GB of text on) are all that goes to every task. With a fixed number of
+cells they would fill as text grows, and prune nothing: every place would be a projection. Beyond `MOST_CELL_BITS` that begins again,
+slowly; it costs projections, not results.
 
 Defined results: a null text is empty, a null lang is `und` (and counts with rows that say so); A-Z are lower-cased and no other
 letters; repeated rows count as often as they come; texts without words, and an empty table, give no rows; other columns are ignored.
@@ -22,6 +24,7 @@ letters; repeated rows count as often as they come; texts without words, and an
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +37,10 @@ from .common import parts, text_or_empty, written
 SUPPORT, LONGEST, FIRST = 30, 4, 2000
 #: A phrase goes if a longer one that holds it has this share of its occurrences, in hundredths.
 COVERED = 80
-#: Log2 of the counters for phrases of a length, and counters of a block.
-CELL_BITS, BLOCK = 24, 1 << 12
+#: Log2 of the cells for phrases of a length, at least and at most, and the bytes of text for which there is one, about ten words.
+CELL_BITS, MOST_CELL_BITS, CELL_BYTES = 24, 28, 64
+#: Cells of a block, and places whose cells a task remembers before it sends their counts on.
+BLOCK, PLACES = 1 << 16, 1 << 22
 #: About the bytes of text that are cut into words at once, and the words that a task remembers before it sends their counts on.
 PIECE_BYTES, REMEMBERED = 4 << 20, 1 << 20
 #: Projections that a task sends on at once.
@@ -60,9 +65,10 @@ class _Words:
 
         coded = pa.array([_STOP, *words_of(texts), _STOP], pa.binary()).dictionary_encode()
         self.lang, self.dictionary = lang, coded.dictionary
+        self.names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         self.codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)  # the stop has code 0
         seed = xxhash.xxh64_intdigest(lang.encode())
-        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.dictionary.to_pylist()), np.uint64, len(self.dictionary))
+        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.names), np.uint64, len(self.names))
 
     def cells(self, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For two words, three and so on: of the phrase at each place whether it is one (no stop in it), and its cell."""
@@ -105,12 +111,13 @@ def _counted(lang, word, n, block=None, cells=None) -> pa.RecordBatch:
 
 
 def count(docs: DataFrame, bits: int = CELL_BITS, piece: int = PIECE_BYTES, remembered: int = REMEMBERED) -> DataFrame:
-    """In one pass: counts of words (lang, word, n) and blocks of the tables of phrases (block, cells), both by task."""
+    """In one pass: counts of words (lang, word, n) and of the cells of phrases (block, cells), both some at a time."""
+    n_blocks = _blocks(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((LONGEST - 1, 1 << bits), np.uint8)
+        met: list[list[np.ndarray]] = [[] for _ in range(LONGEST - 1)]
         held: dict[str, dict[bytes, int]] = {}
-        size = 0
+        size = places = 0
 
         def send() -> Iterator[pa.RecordBatch]:
             for lang, own in held.items():
@@ -120,48 +127,79 @@ def count(docs: DataFrame, bits: int = CELL_BITS, piece: int = PIECE_BYTES, reme
                     yield _counted([lang] * len(some), [w.decode("utf-8", "replace") for w in some], [own[w] for w in some])
             held.clear()
 
+        def send_cells() -> Iterator[pa.RecordBatch]:
+            for k, own in enumerate(met):
+                cells = np.sort(np.concatenate([np.empty(0, np.uint32), *own]))
+                own.clear()
+                first = np.flatnonzero(np.diff(cells, prepend=~cells[:1]))
+                at, n = cells[first], np.minimum(np.diff(first, append=len(cells)), 255).astype(np.uint8)
+                cuts = np.searchsorted(at, np.arange(n_blocks + 1, dtype=np.uint64) * BLOCK)
+                used = np.flatnonzero(np.diff(cuts))
+                for i in range(0, len(used), 256):
+                    some = used[i : i + 256]
+                    none = [None] * len(some)
+                    yield _counted(none, none, none, k * n_blocks + some, [_packed(at[a:b], n[a:b]) for a, b in zip(cuts[some], cuts[some + 1], strict=True)])
+
         for words in _by_language(batches, piece):
             n = np.bincount(words.codes, minlength=len(words.dictionary)).tolist()
             own = held.setdefault(words.lang, {})
             before = len(own)
-            for w, k in zip(words.dictionary.to_pylist()[1:], n[1:], strict=True):
+            for w, k in zip(words.names[1:], n[1:], strict=True):
                 own[w] = own.get(w, 0) + k
             size += len(own) - before
-            for table, (good, cells) in zip(tables, words.cells(bits), strict=True):
-                found = np.sort(cells[good])
-                first = np.flatnonzero(np.diff(found, prepend=~found[:1]))
-                at = found[first]
-                table[at] = np.minimum(table[at] + np.diff(first, append=len(found)), 255)
+            for own_cells, (good, cells) in zip(met, words.cells(bits), strict=True):
+                own_cells.append(cells[good])
+            places += len(words.codes)
             if size >= remembered:
                 yield from send()
                 size = 0
+            if places >= PLACES:
+                yield from send_cells()
+                places = 0
         yield from send()
-        blocks = tables.reshape(-1, BLOCK)
-        used = np.flatnonzero(blocks.any(1))
-        for i in range(0, len(used), 256):
-            some = used[i : i + 256]
-            none = [None] * len(some)
-            yield _counted(none, none, none, some, [blocks[j].tobytes() for j in some])
+        yield from send_cells()
 
     return _texts(docs).mapInArrow(run, COUNTED)
 
 
+def cell_bits(size: int) -> int:
+    """Log2 of the cells for so many bytes of text."""
+    return min(max(CELL_BITS, (size // CELL_BYTES).bit_length()), MOST_CELL_BITS)
+
+
+def _blocks(bits: int) -> int:
+    return max(1, (1 << bits) // BLOCK)
+
+
+def _packed(cells: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted cells of one block, each after the one before it, and their counts."""
+    return np.diff((cells & np.uint32(BLOCK - 1)).astype(np.uint16), prepend=np.uint16(0)).tobytes() + n.tobytes()
+
+
+def _unpacked(cells: bytes) -> tuple[np.ndarray, np.ndarray]:
+    k = len(cells) // 3
+    return np.cumsum(np.frombuffer(cells, np.uint16, k), dtype=np.int64), np.frombuffer(cells, np.uint8, offset=2 * k)
+
+
 def frequent_cells(blocks: DataFrame, support: int, bits: int = CELL_BITS) -> np.ndarray:
     """From rows block, cells: for each length a bit for each cell that reaches the support. Blocks are added as they stream; the bits go to the driver."""
-    need = min(support, 255)
+    need, block = min(support, 255), min(BLOCK, 1 << bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            for block, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = total.setdefault(block, np.zeros(BLOCK, np.uint16))
-                np.minimum(own + np.frombuffer(cells, np.uint8), 255, out=own)
-        rows = [(k, np.packbits(v >= need).tobytes()) for k, v in total.items()]
+            for k, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if k not in total:
+                    total[k] = np.zeros(block, np.uint8)
+                own, (at, n) = total[k], _unpacked(cells)
+                own[at] = np.minimum(own[at] + n.astype(np.uint16), 255)
+        # few cells are frequent, so their bits take little room
+        rows = [(k, zlib.compress(np.packbits(v >= need).tobytes(), 1)) for k, v in total.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "bits"])
 
-    found = np.zeros((LONGEST - 1) * (1 << bits) // 8, np.uint8).reshape(-1, BLOCK // 8)
+    found = np.zeros(((LONGEST - 1) * _blocks(bits), block // 8), np.uint8)
     for r in blocks.repartition("block").mapInArrow(run, "block int, bits binary").collect():
-        found[r.block] = np.frombuffer(r.bits, np.uint8)
+        found[r.block] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
     return found.reshape(LONGEST - 1, -1)
 
 
@@ -261,8 +299,10 @@ def covered(found: DataFrame) -> DataFrame:
     return found.where(size > 2).select("lang", F.explode(inner).alias("words"), "f").groupBy("lang", "words").agg(F.max("f").alias("held"))
 
 
-def collocations(docs: DataFrame, support: int = SUPPORT, first: int = FIRST, bits: int = CELL_BITS, piece: int = PIECE_BYTES, remembered: int = REMEMBERED, per_task: int = PER_TASK, held: int = HELD) -> DataFrame:
-    """lang, rank, phrase, a, l, r, n, score: each language's first phrases by score, then count, then their bytes."""
+def collocations(docs: DataFrame, support: int = SUPPORT, first: int = FIRST, bits: int | None = None, piece: int = PIECE_BYTES, remembered: int = REMEMBERED, per_task: int = PER_TASK, held: int = HELD) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n, score: each language's first phrases by score, then count, then their bytes. bits: by the size of the texts."""
+    if bits is None:
+        bits = cell_bits(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     counted = written(count(docs, bits, piece, remembered), "counted")
     words = written(counted.where(F.col("word").isNotNull()).groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     frequent = frequent_cells(counted.where(F.col("block").isNotNull()).select("block", "cells"), support, bits)

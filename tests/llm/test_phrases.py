@@ -127,3 +127,18 @@ def test_projections_grow_with_the_places_of_frequent_pairs(spark):
     (few, few_places), (many, many_places) = (_rows_from_python(spark, [text] * k) for k in (1, 5))
     assert (few_places, many_places) == (2000, 20_000)
     assert many < 12 * few
+
+
+def test_cells_grow_with_the_text(spark, monkeypatch):
+    """However much text, few cells fill, so that places of infrequent phrases are no projections; cells are sent many times, in several blocks."""
+    monkeypatch.setattr(phrases, "CELL_BITS", 8)
+    monkeypatch.setattr(phrases, "PLACES", 500)
+    rows = [("en", " ".join(f"w{i * 7 % 300} v{(i * i + k) % 300}" for i in range(400))) for k in range(60)] + [("en", "of the end " * 20)] * 4
+    seen, project = [], phrases.project
+    monkeypatch.setattr(phrases, "project", lambda docs, frequent, *args: seen.append((frequent, found := project(docs, frequent, *args))) or found)
+    assert mined(frame(spark, rows)) == brute(rows)
+    (frequent, projected), words = seen[0], sum(len(t.split()) for _, t in rows)
+    assert frequent.shape[1] * 8 == 1 << phrases.cell_bits(sum(len(t) for _, t in rows)) > words / 20
+    assert projected.agg({"n": "sum"}).first()[0] < words / 4
+    assert mined(frame(spark, rows), 30, 2000, 19) == brute(rows)
+    assert (phrases.cell_bits(0), phrases.cell_bits(10 << 30), phrases.cell_bits(1 << 40)) == (8, 28, 28)
