@@ -1,6 +1,7 @@
 """Counts, coverage, records and left joins make no pairs: plans without a join of features and regions, against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -61,3 +62,17 @@ def test_many_regions_of_a_row(spark, tmp_path):
 def test_tallies():
     s, e, qs, qe = np.array([0, 5, 10]), np.array([5, 6, 20]), np.array([0, 5, 19]), np.array([5, 10, 30])
     assert layout.tallies(s, e, qs, qe).tolist() == [1, 1, 1]
+
+
+def test_regions_that_overlap_nothing(spark):
+    """Sparse sides, ends that touch, tiles without a mark; lone regions are found by one pass over the tiles."""
+    rng = random.Random(11)
+    at = lambda: rng.randrange(-40, 40) * (1 << 13) + rng.randrange(-1, 2)
+    f = [(rng.choice("ab"), s := at(), s + rng.choice([1, 1 << 13, 1 << 15]), i) for i in range(25)]
+    q = [(i, rng.choice("abc"), s := at(), s + rng.choice([1, 2, 1 << 13])) for i in range(200)]
+    left = overlap_left(spark.createDataFrame(f, F_SCHEMA).repartition(3), spark.createDataFrame(q, Q_SCHEMA).repartition(2))
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(tile#\d+L?, chrom", plan)) == 1
+    want = [(b[0], a[3]) for b in q for a in f if over(a, b)] + [(b[0], -1) for b in q if not any(over(a, b) for a in f)]
+    assert sum(i < 0 for _, i in want) > 50
+    assert sorted((r.qid, -1 if r.ord is None else r.ord) for r in left.collect()) == sorted(want)
